@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import table
+from .licenses import scan
+from .media import BLOCK, store_and_fingerprint
 from .packing import pack_documents
 from .token_counts import count_tokens
+from .topk import search
 
 
 def vocabulary(name: str) -> str:
@@ -34,6 +37,29 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = store_and_fingerprint(table(spark, sf_dir, "documents"))
+    size = F.octet_length("payload")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        size.cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", size - (BLOCK - 1), F.lit(BLOCK))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("times").cast("string"), F.hex(F.xxhash64("times", "codes"))).alias("feature"),
+    )
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -41,6 +67,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_licenses": op5_licenses,
+    "op6_media": op6_media,
+    "op7_topk": op7_topk,
     "op8_packing": op8_packing,
 }
 
