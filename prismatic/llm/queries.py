@@ -14,6 +14,7 @@ from .media import BLOCK, store_and_fingerprint
 from .packing import pack_documents
 from .token_counts import count_tokens
 from .topk import search
+from .toxicity import held_out, learn, score
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +33,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -66,6 +73,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_licenses": op5_licenses,
     "op6_media": op6_media,
