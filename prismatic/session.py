@@ -20,11 +20,17 @@ def local_session(name: str = "prismatic", cores: str = "*", shuffle_partitions:
     )
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame as written to the shared folder of spark.checkpoint.dir; a folder of this machine only where none is set (tests)."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a folder of this machine only where none is set (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         import tempfile
 
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="prismatic-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame as written to the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
