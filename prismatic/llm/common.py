@@ -27,12 +27,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, text_col: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches with a text column so that each has at most limit bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = text_bytes(batch.column("text"))
+        _, offsets = text_bytes(batch.column(text_col))
         first = 0
         while first < batch.num_rows:
             last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
@@ -50,11 +50,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def map_slices(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
-    """Run work on every slice of (doc_id, text) rows."""
+def map_slices(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, limit: int = SLICE_BYTES, text_col: str = "text") -> DataFrame:
+    """Run work on every slice of the frame's rows."""
 
     def run(batches):
-        for part in slices(batches, limit):
+        for part in slices(batches, limit, text_col):
             if (out := work(part)) is not None:
                 yield out
 

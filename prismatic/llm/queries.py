@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import debruijn, suffix_dedup
+from .bagminhash import near_duplicates
 from .bpe import encode_decode
 from .common import table
 from .licenses import scan
@@ -34,6 +35,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
@@ -89,6 +94,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_licenses": op5_licenses,

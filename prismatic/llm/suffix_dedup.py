@@ -211,3 +211,38 @@ def dedup(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_id", text_
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(found, spans_type), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return map_slices(texts.join(spans, "doc_id", "left"), cut, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+
+
+def without_repeats(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **sizes: int) -> DataFrame:
+    """The rows of docs, with all their columns, and texts without the bytes that `dedup` removes.
+
+    Characters of which only some bytes would go stay whole. The column of text lengths, if there is
+    one, follows. Texts that go altogether are empty ones then; null texts stay null.
+    """
+    spans = by_document(repeated_spans(id_and_text(docs, id_col, text_col), minimum, **sizes), "start", "n")
+    spans = spans.select(F.col("doc_id").alias("_span_doc"), F.col("spans").alias("_spans"))
+    kind = docs.schema
+
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        column = part.column(text_col)
+        data, at = text_bytes(column)
+        offsets, (start, n) = list_slices(part.column("_spans"), ("start", "n"))
+        texts = column.to_pylist()
+        for k in np.flatnonzero(np.diff(offsets)):
+            i, j = offsets[k], offsets[k + 1]
+            text = data[at[k] : at[k + 1]]
+            low, high = merged(start[i:j].astype(np.int64), n[i:j].astype(np.int64), minimum, len(text))
+            gone = np.zeros(len(text), bool)
+            for x, y in zip(low, high, strict=True):
+                while x < y and text[x] & 0xC0 == 0x80:
+                    x += 1
+                while y > x and y < len(text) and text[y] & 0xC0 == 0x80:
+                    y -= 1
+                gone[x:y] = True
+            texts[k] = text[~gone].tobytes().decode()
+        columns = [pa.array(texts, column.type) if name == text_col else part.column(name) for name in kind.names]
+        return pa.RecordBatch.from_arrays(columns, kind.names)
+
+    joined = docs.join(spans, docs[id_col] == spans["_span_doc"], "left").drop("_span_doc")
+    found = map_slices(joined, cut, kind, text_col=text_col)
+    return found.withColumn(chars_col, F.length(text_col).cast(kind[chars_col].dataType)) if chars_col in kind.names else found

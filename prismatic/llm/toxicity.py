@@ -185,14 +185,25 @@ def _fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
+def scores(texts: list[str], model: Model) -> np.ndarray:
+    found = {t: matcher(model).evidence(t) for t in set(texts)}
+    total, words = np.array([found[t] for t in texts], float).reshape(-1, 2).T
+    return 1 / (1 + np.exp(-np.clip(measures(total, words) @ np.array(model.curve), -30, 30)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) for every row of docs. A null or empty text has the score of one without any entry; repeated rows stay."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = part.column("text").to_pylist()
-        found = {t: matcher(model).evidence(t) for t in set(texts)}
-        total, words = np.array([found[t] for t in texts], float).T
-        scores = 1 / (1 + np.exp(-np.clip(measures(total, words) @ np.array(model.curve), -30, 30)))
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores(part.column("text").to_pylist(), model))], ["doc_id", "score"])
 
     return map_slices(id_and_text(docs, id_col, text_col), work, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold; null texts are scored as empty ones."""
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        return part.filter(pa.array(scores([t or "" for t in part.column(text_col).to_pylist()], model) < threshold))
+
+    return map_slices(docs, work, docs.schema, text_col=text_col)
