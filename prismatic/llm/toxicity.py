@@ -62,13 +62,13 @@ BETWEEN = {c: " " for c in [*map(chr, range(128)), *map(chr, range(0xA0, 0xC0)),
 ZERO_WIDTH = dict.fromkeys("­​‌‍⁠﻿", "")
 FOLD = str.maketrans(BETWEEN | LOOKALIKES | ZERO_WIDTH | {k: v for k, v in DIGITS.items() if k.isdigit()})
 #: Signs stand for letters only between letters.
-SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
+SIGN = re.compile(r"(?<=[^\W\d_])[@$!]+(?=[^\W\d_])")
 
 
 def fold(text: str) -> str:
     text = text.lower()
     if "@" in text or "$" in text or "!" in text:
-        text = SIGN.sub(lambda m: DIGITS[m[0]], text)
+        text = SIGN.sub(lambda m: "".join(DIGITS[c] for c in m[0]), text)
     return f" {text.translate(FOLD)} "
 
 
