@@ -113,10 +113,11 @@ def _spaces(text: Column) -> Column:
 def _detections(words: Column, rules: Column) -> Column:
     """All matches of the rules whose keyword the words hold: array of struct(start, end, priority, label)."""
 
-    def of_rule(rule: Column) -> Column:
-        hits = F.regexp_extract_all(words, rule["expression"], F.lit(0))
+    none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
+
+    def places(rule: Column, hits: Column) -> Column:
+        """Where the hits stand: what the expression splits the words into lies between them."""
         steps = F.zip_with(F.slice(F.split(words, rule["expression"]), F.lit(1), F.size(hits)), hits, lambda a, b: F.struct(F.length(a).alias("skip"), F.length(b).alias("hit")))
-        none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
 
         def on(state: Column, step: Column) -> Column:
             start = state["at"] + step["skip"]
@@ -126,6 +127,10 @@ def _detections(words: Column, rules: Column) -> Column:
 
         return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), on, lambda state: state["found"])
 
+    def of_rule(rule: Column) -> Column:
+        once = F.array(F.regexp_extract_all(words, rule["expression"], F.lit(0)))  # a lambda's argument is worked out once
+        return F.flatten(F.transform(once, lambda hits: F.when(F.size(hits) > 0, places(rule, hits)).otherwise(none)))
+
     return F.flatten(F.transform(F.filter(rules, lambda r: F.contains(words, r["keyword"])), of_rule))
 
 
@@ -179,8 +184,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
         F.when(n_base > 0, F.array_min(F.array(*(first(p) for p, _ in BASE)))).alias("first_word"),
         F.when(n_base > 0, F.array_max(F.array(*(last(p) for p, _ in BASE)))).alias("last_word"),
         base_labels.alias("base"),
-        F.when(gate, _kept(_detections(words, table))).otherwise(nothing).alias("detections"),
+        F.when(gate, _detections(words, table)).otherwise(nothing).alias("found"),
     )
+    # In a projection of its own: what it names more than once is worked out once.
+    rows = rows.withColumn("detections", _kept(F.col("found")))
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     priorities = F.transform(F.col("detections"), lambda d: d["priority"] / 100)
     return rows.select(

@@ -20,6 +20,8 @@ from ..session import shared_folder
 from .common import map_slices, text_bytes
 from .superwindows import signed
 
+#: Bytes of text in a slice; the hashes of a slice take some eighty bytes a byte.
+RUN_BYTES = 2 << 20
 RUN = "anchor long, content long, doc long, start int, n int, more array<struct<doc:long,start:int>>"
 MORE = pa.list_(pa.struct([("doc", pa.int64()), ("start", pa.int32())]))
 
@@ -99,4 +101,4 @@ def run_rows(docs: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple]) -
         doc = np.searchsorted(starts, start, side="right") - 1
         return run_batch(anchor, content, part.column("doc_id").to_numpy()[doc], start - starts[doc], n)
 
-    return map_slices(docs.where(F.col("doc_id").isNotNull()), work, RUN)
+    return map_slices(docs.where(F.col("doc_id").isNotNull()), work, RUN, limit=RUN_BYTES)
