@@ -27,7 +27,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, map_slices
@@ -260,24 +259,24 @@ class Encoder:
     """Whole texts to ids: special strings, normal form, words, then the automaton for words not met before."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.automaton = automaton(path)
         library = Tokenizer.from_file(path)
         pattern = json.loads(library.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.normal = library.normalizer.normalize_str
-        self.words = regex.compile(pattern).findall
-        self.special = regex.compile("(" + "|".join(map(regex.escape, self.automaton.special)) + ")")
+        self.split = Split(Regex(pattern), "removed", invert=True)  # letters and numerals are those of the library's Unicode version
+        self.special = re.compile("(" + "|".join(map(re.escape, self.automaton.special)) + ")")
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
 
     def pieces(self, text: str) -> list[str]:
-        if "<|" in text:
-            out = []
-            for part in self.special.split(text):
-                out += [part] if part in self.automaton.special else self.pieces(part.replace("<|", "<\0|")) if "<|" in part else self.pieces(part)
-            return [w.replace("<\0|", "<|") for w in out]
-        return PLAIN_WORDS.findall(text.lower()) if PLAIN.fullmatch(text) else self.words(self.normal(text))
+        parts = self.special.split(text) if "<|" in text else [text]
+        return [w for part in parts for w in ([part] if part in self.automaton.special else self.split_words(part))]
+
+    def split_words(self, text: str) -> list[str]:
+        return PLAIN_WORDS.findall(text.lower()) if PLAIN.fullmatch(text) else [w for w, _ in self.split.pre_tokenize_str(self.normal(text))]
 
     def looked_up(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
         """The ids (32-bit) and the joined labels of each word. Words of the last few slices are remembered."""

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -38,6 +38,8 @@ def test_no_rows(spark):
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
+@example(":\U0003d000")  # a letter for some Unicode tables only
+@example("<\0|x<|endoftext|>Y")
 def test_any_text_encodes_as_in_the_library(text):
     library = Tokenizer.from_file(WORD) if not hasattr(test_any_text_encodes_as_in_the_library, "tool") else test_any_text_encodes_as_in_the_library.tool
     test_any_text_encodes_as_in_the_library.tool = library
