@@ -28,6 +28,8 @@ from .repeats import written
 from .superwindows import BYTE_NUMBERS, FACTOR, mixed, prefix_hashes, span_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 5, 3
+#: Bytes of text in a slice; the hashes and processes of a slice take some hundred bytes a byte.
+BAG_BYTES = 1 << 20
 
 #: Bytes of words, and lower case for ASCII.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -111,7 +113,7 @@ def signed_up(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key[some].ravel().view(np.int64)))
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bag.view(np.int64)), lists], ["doc_id", "bag", "bands"])
 
-    return map_slices(texts, work, "doc_id long, bag long, bands array<long>")
+    return map_slices(texts, work, "doc_id long, bag long, bands array<long>", limit=BAG_BYTES)
 
 
 def bag_columns(texts: DataFrame, words: int) -> DataFrame:
@@ -123,7 +125,7 @@ def bag_columns(texts: DataFrame, words: int) -> DataFrame:
         small = (hashes >> np.uint64(32)).astype("<u4")
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([np.sort(small[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "hashes"])
 
-    return map_slices(texts, work, "doc_id long, hashes binary")
+    return map_slices(texts, work, "doc_id long, hashes binary", limit=BAG_BYTES)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
