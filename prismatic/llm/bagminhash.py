@@ -10,9 +10,10 @@ register: about m log m points a document and one or two a shingle are made.
 
 Equal bags are one class from the start. Of the others, those that agree in a band of registers are
 candidates; in each bucket all are compared with a pivot, by the exact overlap of their bags. Verified
-links make classes (connected components). Where a bucket still holds more than one class, the next
-rounds compare its documents with a pivot of another class. So work grows with the buckets' sizes, not
-with their squares.
+links make classes (connected components). Where a bucket still holds a document of another class than
+its first pivot's, such documents are pivots in the next rounds, up to four times as many a round, until
+no two documents of a bucket are of different classes without having been compared. So no candidate
+link is lost, and a bucket of one class costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .components import components
 from .repeats import written
 from .superwindows import BYTE_NUMBERS, FACTOR, mixed, prefix_hashes, span_hashes
 
-WORDS, SIMILARITY, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 5, 3
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
 #: Bytes of text in a slice; the hashes and processes of a slice take some hundred bytes a byte.
 BAG_BYTES = 1 << 20
 
@@ -95,7 +96,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: i
 
 
 def signed_up(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, bag (a hash of the whole bag; of the text where it has no words) and bands array<long> (empty where it has no words)."""
+    """doc_id, bag (a hash of the whole bag; of the text where it has no words), bands array<long> (empty where it has no words) and the bag's size."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = text_bytes(part.column("text"))
@@ -111,9 +112,9 @@ def signed_up(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             key = mixed(key * FACTOR + value[:, :, k])
         counts = np.where(some, bands, 0)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key[some].ravel().view(np.int64)))
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bag.view(np.int64)), lists], ["doc_id", "bag", "bands"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bag.view(np.int64)), lists, pa.array(np.diff(ends).astype(np.int32))], ["doc_id", "bag", "bands", "size"])
 
-    return map_slices(texts, work, "doc_id long, bag long, bands array<long>", limit=BAG_BYTES)
+    return map_slices(texts, work, "doc_id long, bag long, bands array<long>, size int", limit=BAG_BYTES)
 
 
 def bag_columns(texts: DataFrame, words: int) -> DataFrame:
@@ -128,16 +129,16 @@ def bag_columns(texts: DataFrame, words: int) -> DataFrame:
     return map_slices(texts, work, "doc_id long, hashes binary", limit=BAG_BYTES)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Of two sorted bags: how many elements they share, with multiplicity."""
-
-    def numbered(x: np.ndarray) -> np.ndarray:
-        lead = np.ones(len(x), bool)
-        lead[1:] = x[1:] != x[:-1]
-        at = np.arange(len(x))
-        return (x.astype(np.uint64) << np.uint64(32)) | (at - at[lead][np.cumsum(lead) - 1]).astype(np.uint64) if len(x) else x.astype(np.uint64)
-
-    return len(np.intersect1d(numbered(a), numbered(b), assume_unique=True))
+def overlaps(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray) -> np.ndarray:
+    """How many elements each bag of x shares with the one of y at its place, with multiplicity."""
+    n = len(x_at) - 1
+    number = np.arange(n, dtype=np.uint64) << np.uint64(33)
+    sides = [np.repeat(number, np.diff(at)) | (flat.astype(np.uint64) << np.uint64(1)) | np.uint64(side) for side, (flat, at) in enumerate(((x, x_at), (y, y_at)))]
+    key = np.sort(np.concatenate(sides))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    times, key = np.diff(np.concatenate([first, [len(key)]])), key[first]
+    both = np.flatnonzero(key[1:] >> np.uint64(1) == key[:-1] >> np.uint64(1))
+    return np.bincount((key[both] >> np.uint64(33)).astype(np.int64), weights=np.minimum(times[both], times[both + 1]), minlength=n).astype(np.int64)
 
 
 def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
@@ -145,21 +146,16 @@ def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     left = bag.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
     right = bag.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
 
-    def check(batches):
-        for part in batches:
-            xs, ys = part.column("x").to_pylist(), part.column("y").to_pylist()
-            good = []
-            for x, y in zip(xs, ys, strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                fits = min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9
-                both = overlap(x, y) if fits else 0
-                good.append(fits and both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def check(part: pa.RecordBatch) -> pa.RecordBatch:
+        (x, x_at), (y, y_at) = ((data.view("<u4"), at // 4) for data, at in (text_bytes(part.column(c)) for c in "xy"))
+        both = overlaps(x, x_at, y, y_at)
+        good = both >= similarity * (np.diff(x_at) + np.diff(y_at) - both) - 1e-9
+        return pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return map_slices(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), check, "a long, b long", limit=BAG_BYTES, text_col="x")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) for every row of docs with an id.
 
     Words are runs of letters and digits, ASCII ones lower-cased. Texts with the same bag are of one
@@ -171,34 +167,45 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     copies = known.groupBy("bag").agg(F.min("doc_id").alias("rep"))
     member = known.select("doc_id", "bag").join(copies, "bag").select("doc_id", "rep")
     reps = known.join(copies.select(F.col("rep").alias("doc_id"), "bag"), ["doc_id", "bag"]).where(F.size("bands") > 0)
-    entries = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("band"))
-    crowded = entries.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("band")
-    entries = written(entries.join(crowded, "band"))
-    needed = entries.select(F.col("doc").alias("doc_id")).distinct()
-    bag = written(bag_columns(texts.join(needed, "doc_id", "left_semi"), words))
-    labelled = entries.withColumn("class", F.col("doc"))
-    order = F.struct(F.xxhash64("doc", "band").alias("h"), "doc", "class")
-    links = classes = tried = None
-    for k in range(rounds):
-        pivot = labelled.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.doc").alias("a"), F.col("p.class").alias("pivot_class"))
-        together = labelled.join(pivot, "band")
-        pairs = together.where(F.col("class") != F.col("pivot_class")).select("a", F.col("doc").alias("b")).distinct()
-        if k:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if k and pairs.isEmpty():
-            break
+    entries = reps.select(F.col("doc_id").alias("doc"), "size", F.explode("bands").alias("band"))
+    crowds = entries.groupBy("band").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1)
+    entries = written(entries.join(crowds, "band"))
+    met = written(entries.groupBy("doc").agg(F.sum("crowd").alias("met")))
+    bag = written(bag_columns(texts.join(met.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), words))
+    # In half of the buckets the document that meets most others is the first pivot (as a rule, the original of many copies).
+    rank = F.struct(F.when(F.col("band") % 2 == 0, -F.col("met")).otherwise(0).alias("met"), F.xxhash64("doc", "band").alias("h"), "doc", "class", "size")
+    open_entries = entries.join(met, "doc").select("band", "doc", "size", "met", F.col("doc").alias("class"))
+    pivot = [F.col("p.doc").alias("pivot"), F.col("p.class").alias("pivot_class"), F.col("p.size").alias("pivot_size")]
+    pivots = open_entries.groupBy("band").agg(F.min(rank).alias("p")).select("band", *pivot)
+    homes = pivots.select("band", F.col("pivot").alias("home_doc"))
+    fits = F.least("size", "pivot_size") >= similarity * F.greatest("size", "pivot_size") - 1e-9
+    tried = links = None
+    k = 0
+    while True:
+        pivots = written(pivots)
+        met_here = open_entries.join(pivots, "band").where((F.col("class") != F.col("pivot_class")) & fits)
+        pairs = met_here.select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         more = written(verified(pairs, bag, similarity))
         links = more if links is None else links.unionByName(more)
         classes = components(links)
-        if k + 1 == rounds:
+        class_of = classes.select(F.col("node").alias("doc"), "component")
+        # Pivots have met all in their buckets. What remains: documents of another class than the first pivot's, and all that they have not met.
+        rest = open_entries.join(pivots.select("band", F.col("pivot").alias("doc")), ["band", "doc"], "left_anti").drop("class")
+        rest = rest.join(class_of, "doc", "left").select("band", "doc", "size", "met", F.coalesce("component", "doc").alias("class"))
+        home = written(homes.join(class_of.withColumnRenamed("doc", "home_doc"), "home_doc", "left").select("band", "home_doc", F.coalesce("component", "home_doc").alias("home")))
+        rest = rest.join(home.select("band", "home"), "band")
+        # A bucket is open while it holds a stranger and another document of another class.
+        kinds = rest.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where(F.col("low") != F.col("high")).select("band")
+        open_entries = written(rest.join(kinds, "band"))
+        k += 1
+        slot = F.pmod(F.xxhash64("doc", "band", F.lit(k)), F.lit(1 << min(2 * k, 30)))
+        strangers = open_entries.where(F.col("class") != F.col("home")).withColumn("slot", slot)
+        pivots = strangers.groupBy("band", "slot").agg(F.min(rank).alias("p")).select("band", *pivot)
+        if open_entries.isEmpty():
             break
-        # What is left of each bucket: documents that aren't of its pivots' classes.
-        again = classes.select(F.col("node").alias("doc"), "component")
-        pivots = pivot.join(again.select(F.col("doc").alias("a"), F.col("component").alias("c")), "a", "left").select("band", F.coalesce("c", "a").alias("pivot_class"))
-        labelled = labelled.drop("class").join(again, "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("class"))
-        labelled = written(labelled.join(pivots, "band").where(F.col("class") != F.col("pivot_class")).select("band", "doc", "class"))
+        open_entries = open_entries.drop("home")
     found = member.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = found.select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return found

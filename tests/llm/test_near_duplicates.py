@@ -55,8 +55,24 @@ def test_signatures_estimate_weighted_similarity(seed):
 
 def test_overlap_counts_multiplicity():
     a, b = np.array([1, 1, 1, 2, 5], "<u4"), np.array([1, 1, 2, 2, 9], "<u4")
-    assert bagminhash.overlap(a, b) == 3
-    assert bagminhash.overlap(a, b[:0]) == 0
+    x, y = np.concatenate([a, a, a[:0]]), np.concatenate([b, b[:0], b])
+    assert bagminhash.overlaps(x, np.array([0, 5, 10, 10]), y, np.array([0, 5, 5, 10])).tolist() == [3, 0, 0]
+    assert bagminhash.overlaps(a[:0], np.array([0]), b[:0], np.array([0])).tolist() == []
+
+
+def test_copies_alike_to_their_original_only(spark):
+    """Three edits part each copy from the original by little, and any two copies by too much."""
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for place in (k % 60, 60 + (7 * k) % 60, 120 + (11 * k) % 60):
+            w[place + 5] = f"edit{k}"
+        texts.append(" ".join(w))
+    rows = [*enumerate([*texts, " ".join(base)])]
+    found = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == classes(dict(rows))
+    assert set(found.values()) == {0}
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
