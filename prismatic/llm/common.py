@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a task works on; the working memory of a step is a small multiple of it.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and Python; a batch is held twice on either side.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +53,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def map_slices(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, limit: int = SLICE_BYTES, text_col: str = "text") -> DataFrame:
-    """Run work on every slice of the frame's rows."""
+    """Run work on every slice of the frame's rows. Sets the session's limit on the bytes of an Arrow batch, which rows alone don't bound."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches):
         for part in slices(batches, limit, text_col):
