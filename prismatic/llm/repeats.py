@@ -21,7 +21,7 @@ from .common import map_slices, text_bytes
 from .superwindows import signed
 
 #: Bytes of text in a slice; the hashes of a slice take some eighty bytes a byte.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 RUN = "anchor long, content long, doc long, start int, n int, more array<struct<doc:long,start:int>>"
 MORE = pa.list_(pa.struct([("doc", pa.int64()), ("start", pa.int32())]))
 
