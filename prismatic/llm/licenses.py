@@ -1,8 +1,9 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text becomes its words, lower-cased and with one space around each. A rule is a regular expression
-over that, gated by a keyword: only texts that hold a rule's keyword are searched for it, and only
-texts that hold a word of the first gate are looked at by any rule. All matches of the remaining rules
+over that, gated by a keyword that all its matches hold: only texts that hold a rule's keyword are
+searched for it, and only texts that hold a word of the first gate, of which every match of any rule
+holds one, are looked at by rules. All matches of the remaining rules
 are detections with a priority. A detection falls if another one contains its interval and has a
 higher priority, or the same and is longer. What is left gives the labels; the base phrases, which
 are counted in every text, always give theirs.
@@ -23,7 +24,8 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 #: Label, keyword and names of each family, over words with one space between them.
 FAMILIES = (
-    ("mit", "mit", "(?:mit|expat)"),
+    ("mit", "mit", "mit"),
+    ("mit", "expat", "expat"),
     ("mit-0", "mit", "mit (?:0|no attribution)"),
     ("x11", "x11", "x11"),
     ("isc", "isc", "isc"),
@@ -36,12 +38,16 @@ FAMILIES = (
     ("gpl-2.0", "general", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)?(?: version)? v?2(?: 0)?(?: of the license)?"),
     ("gpl-3.0", "general", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)?(?: version)? v?3(?: 0)?(?: of the license)?"),
     ("gpl", "general", "(?:gnu )?general public"),
+    ("gpl", "gpl", "(?:gnu )?gpl"),
     ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl ?(?:version )?v?2(?: 1| 0)?"),
     ("lgpl-3.0", "lgpl", "(?:gnu )?lgpl ?(?:version )?v?3(?: 0)?"),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public"),
+    ("lgpl", "general", "(?:gnu )?(?:lesser|library) general public"),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl"),
     ("agpl-3.0", "agpl", "(?:gnu )?agpl ?(?:version )?v?3(?: 0)?"),
     ("agpl", "affero", "(?:gnu )?affero general public"),
+    ("agpl", "agpl", "(?:gnu )?agpl"),
     ("gfdl", "documentation", "(?:gnu )?free documentation"),
+    ("gfdl", "gfdl", "(?:gnu )?gfdl"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
@@ -49,8 +55,15 @@ FAMILIES = (
     ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: version)? v?1 1"),
     ("mpl-2.0", "mozilla", "mozilla public(?: license)?(?: version)? v?2(?: 0)?"),
     ("mpl", "mozilla", "mozilla public"),
+    ("mpl-1.1", "mpl", "mpl ?(?:version )?v?1 1"),
+    ("mpl-2.0", "mpl", "mpl ?(?:version )?v?2(?: 0)?"),
+    ("mpl", "mpl", "mpl"),
     ("epl-1.0", "eclipse", "eclipse public(?: license)?(?: version)? v?1(?: 0)?"),
     ("epl-2.0", "eclipse", "eclipse public(?: license)?(?: version)? v?2(?: 0)?"),
+    ("epl-1.0", "epl", "epl ?(?:version )?v?1(?: 0)?"),
+    ("epl-2.0", "epl", "epl ?(?:version )?v?2(?: 0)?"),
+    ("epl", "eclipse", "eclipse public"),
+    ("epl", "epl", "epl"),
     ("cddl", "cddl", "cddl(?: v?1(?: [01])?)?"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"),
@@ -61,6 +74,7 @@ FAMILIES = (
     ("psf", "python", "python software foundation"),
     ("eupl", "eupl", "eupl(?: v?1 [012])?"),
     ("ofl", "font", "(?:sil )?open font"),
+    ("ofl", "ofl", "(?:sil )?ofl"),
     ("openssl", "openssl", "openssl"),
     ("ms-pl", "microsoft", "microsoft public"),
     ("postgresql", "postgresql", "postgresql"),
@@ -73,13 +87,14 @@ FAMILIES = (
     *((f"cc-{kind}", "cc", f"cc {kind.replace('-', ' ')}") for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")),
 )
 
-#: Priority and expression of each form; NAME is the family's. Without names a form is a notice of its own.
+#: Priority, gates and expression of each form; NAME is the family's. Without names a form is a notice of its own.
+#: Every match of a form or notice holds one of its gates, and every match of a family or notice holds its keyword.
 FORMS = (
-    (95, "spdx licen[cs]e identifier NAME"),
-    (90, "licen[cs]ed under (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?"),
-    (80, "(?:released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?"),
-    (70, "subject to (?:the )?(?:terms of )?(?:the )?NAME licen[cs]e"),
-    (60, "NAME licen[cs]e"),
+    (95, ("licen",), "spdx licen[cs]e identifier NAME"),
+    (90, ("licen",), "licen[cs]ed under (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?"),
+    (80, ("released under ", "distributed under ", "available under ", "published under ", "provided under "), "(?:released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?"),
+    (70, ("licen",), "subject to (?:the )?(?:terms of )?(?:the )?NAME licen[cs]e"),
+    (60, ("licen",), "NAME licen[cs]e"),
 )
 NOTICES = (
     (40, "proprietary", "reserved", "all rights reserved"),
@@ -89,10 +104,12 @@ NOTICES = (
     (50, "bsd", "redistribution", "redistribution and use in source and binary forms with or without modification"),
     (50, "isc", "permission", "permission to use copy modify and or distribute this software for any purpose"),
 )
-#: What a text that no rule needs to look at lacks altogether.
-FIRST_GATE = ("licen", "spdx", "rights reserved", "copyright", "public domain", "hereby granted", "redistribution and use", "permission to use")
+#: What every match of a notice holds, by keyword, where it says more than the keyword.
+NOTICE_GATES = {"reserved": "rights reserved", "domain": "public domain", "hereby": "hereby granted", "redistribution": "redistribution and use", "permission": "permission to use"}
+#: A text that holds none of these has no match of any rule.
+FIRST_GATE = tuple(dict.fromkeys((*(gate for _, gates, _ in FORMS for gate in gates), *(NOTICE_GATES.get(keyword, keyword) for _, _, keyword, _ in NOTICES))))
 
-RULES = tuple((priority, label, keyword, f"(?<= ){form.replace('NAME', name)}(?= )") for priority, form in FORMS for label, keyword, name in FAMILIES) + tuple(
+RULES = tuple((priority, label, keyword, f"(?<= ){form.replace('NAME', name)}(?= )") for priority, _, form in FORMS for label, keyword, name in FAMILIES) + tuple(
     (priority, label, keyword, f"(?<= ){expression}(?= )") for priority, label, keyword, expression in NOTICES
 )
 

@@ -49,6 +49,58 @@ def test_labels_as_by_hand(spark):
     assert {"cc-by-nc-4.0"} == by_hand(TEXTS[3]) and "gpl-3.0" in by_hand(TEXTS[2])
 
 
+def samples(pattern):
+    """Every text of a rule's expression, of character classes the first member."""
+    parts = [""]
+    for op, av in pattern:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(av)]
+        elif op == "IN":
+            more = [chr(x if str(k) == "LITERAL" else x[0]) for k, x in av][:1] if str(av[0][0]) == "RANGE" else [chr(x) for _, x in av]
+        elif op == "BRANCH":
+            more = [x for branch in av[1] for x in samples(branch)]
+        elif op == "SUBPATTERN":
+            more = samples(av[3])
+        elif op == "MAX_REPEAT":
+            low, high, inner = av
+            more = [x * high for x in samples(inner)] + ([] if low else [""])
+        else:
+            assert op == "ASSERT" or op == "ASSERT_NOT"
+            more = [""]
+        parts = [a + b for a in parts for b in more]
+    return parts
+
+
+def ungated(low):
+    found = [(m.start(), m.end(), p, label) for p, label, _, e in licenses.RULES for m in re.finditer(e, low)]
+    over = lambda d, e: e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or e[2] == d[2] and (e[1] - e[0] > d[1] - d[0] or e[:2] == d[:2] and e[3] < d[3]))
+    return {d[3] for d in found if not any(over(d, e) for e in found)}, max((d[2] for d in found), default=0) / 100
+
+
+def test_every_match_passes_its_gates():
+    for _, _, keyword, expression in licenses.RULES:
+        found = samples(re._parser.parse(expression))
+        assert found
+        for x in found:
+            low = f" {x} "
+            assert re.search(expression, low) and keyword in low and any(g in low for g in licenses.FIRST_GATE), (keyword, expression, x)
+
+
+def test_gated_labels_are_ungated_labels(spark):
+    texts = ["Distributed under GPL v3", "released under the Apache 2.0", "available under CC BY 4.0", "Expat license", "GNU Library General Public License", "Licensed under the GPL", "Released under the GNU LGPL.", "AGPL licence", "under the MPL 2.0 license", "is provided under EPL"]
+    texts += [f"x {samples(re._parser.parse(e))[-1]} y" for _, _, _, e in licenses.RULES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for k, t in enumerate(texts):
+        labels, score = ungated(f" {t.lower().replace('.', ' ')} ")
+        base = {label for _, label in base_scan(t)[1]}
+        assert set(filter(None, found[k]["labels"].split(","))) == labels | base and labels, t
+        assert found[k]["score"] == max(score, 0.6 if base else 0.0)
+    expected = ["gpl-3.0", "apache-2.0", "cc-by-4.0", "mit", "lgpl", "gpl", "lgpl", "agpl", "mpl-2.0", "epl"]
+    assert [label in found[k]["labels"].split(",") for k, label in enumerate(expected)] == [True] * len(expected)
+
+
 def test_no_rows(spark):
     assert licenses.scan(empty_documents(spark)).count() == 0
     assert media.store_and_fingerprint(empty_documents(spark)).count() == 0
