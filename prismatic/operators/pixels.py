@@ -60,7 +60,7 @@ def mosaic(image: np.ndarray, box: tuple[int, int, int, int], block: int) -> np.
     for y in range(y0, y1, block):
         for x in range(x0, x1, block):
             part = out[y : min(y + block, y1), x : min(x + block, x1)]
-            part[:] = np.rint(part.reshape(-1, *part.shape[2:]).mean(axis=0))
+            part[:] = np.rint(part.mean(axis=(0, 1)))
     return out
 
 
@@ -89,27 +89,32 @@ MEASURES = "image_id long, brightness double, deviation double, shadow double, h
 
 
 def measured(pictures: DataFrame) -> DataFrame:
-    """Quality measures of gray pictures: image_id, width, height, pixels (binary, row by row)."""
+    """Quality measures of gray pictures: image_id, width, height, pixels (binary, row by row). Null for a picture without pixels."""
+    names = ["brightness", "deviation", "shadow", "highlight", "edges", "noise"]
 
     def work(frames):
         for frame in frames:
-            rows = [quality(np.frombuffer(p, np.uint8).reshape(h, w)) for p, w, h in zip(frame["pixels"], frame["width"], frame["height"], strict=True)]
-            yield pd.DataFrame(rows).assign(image_id=frame["image_id"].to_numpy())[["image_id", "brightness", "deviation", "shadow", "highlight", "edges", "noise"]] if rows else pd.DataFrame()
+            rows = [quality(np.frombuffer(p, np.uint8).reshape(h, w)) if len(p) else {} for p, w, h in zip(frame["pixels"], frame["width"], frame["height"], strict=True)]
+            yield pd.DataFrame(rows, columns=names, dtype=float).assign(image_id=frame["image_id"].to_numpy())[["image_id", *names]] if rows else pd.DataFrame()
 
     return pictures.mapInPandas(work, MEASURES)
 
 
 def pixelated(pictures: DataFrame, block: int = 4) -> DataFrame:
-    """The same pictures with their box (x0, y0, x1, y1) in blocks, and the pixels changed outside it, which is none."""
+    """The same pictures with their box (x0, y0, x1, y1) in blocks, and the pixels changed outside it, which is none.
+
+    Pixels may hold any number of frames of width by height, one after the other; each has the box.
+    """
 
     def work(frames):
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                before = np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width)
-                box = (row.x0, row.y0, row.x1, row.y1)
-                after = mosaic(before, box, block)
-                out.append((row.image_id, after.tobytes(), changed_outside(before, after, [box]), int((before != after).sum())))
+                before = np.frombuffer(row.pixels, np.uint8).reshape(len(row.pixels) // row.width, row.width)
+                stack = before.reshape(len(before) // row.height, row.height, row.width).transpose(1, 2, 0)
+                after = mosaic(stack, (row.x0, row.y0, row.x1, row.y1), block).transpose(2, 0, 1).reshape(before.shape)
+                boxes = [(row.x0, y + row.y0, row.x1, y + row.y1) for y in range(0, len(before), row.height)]
+                out.append((row.image_id, after.tobytes(), changed_outside(before, after, boxes), int((before != after).sum())))
             yield pd.DataFrame(out, columns=["image_id", "pixels", "outside", "inside"])
 
     return pictures.mapInPandas(work, "image_id long, pixels binary, outside long, inside long")

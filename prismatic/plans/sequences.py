@@ -63,21 +63,30 @@ def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.suppressed(predictions(spark, sf_dir)[0], 0.45)
 
 
-def pictures(spark: SparkSession, sf_dir: str, side: int = 16) -> DataFrame:
-    """Gray pictures from the bytes of texts."""
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") >= side * side)
-    box = {"x0": F.lit(2), "y0": F.lit(3), "x1": F.lit(12), "y1": F.lit(11)}
-    return docs.select(F.col("doc_id").alias("image_id"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.substring(F.col("text").cast("binary"), 1, side * side).alias("pixels")).withColumns(box)
+def pictures(docs: DataFrame, side: int = 16, rows: int = 1) -> DataFrame:
+    """A gray picture from all bytes of each text, as wide as side, padded with zero bytes to whole multiples of rows; without height where there is no byte."""
+    payload = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    unit = side * rows
+    padding = F.substring(F.lit(bytes(unit)), F.lit(1), F.pmod(-F.octet_length("payload"), F.lit(unit)))
+    filled = docs.select(F.col("doc_id").alias("image_id"), payload.alias("payload")).select("image_id", F.concat("payload", padding).alias("pixels"))
+    return filled.select("image_id", F.lit(side).alias("width"), F.floor(F.octet_length("pixels") / side).cast("int").alias("height"), "pixels")
 
 
 @query("i3_quality_measures")
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.measured(pictures(spark, sf_dir))
+    """Measures of a picture from each whole text; null where it has no byte."""
+    return pixels.measured(pictures(table(spark, sf_dir, "documents")))
+
+
+def mosaics(docs: DataFrame, side: int = 16) -> DataFrame:
+    """Each whole text as frames of side by side, each with its box in blocks."""
+    box = {"x0": F.lit(2), "y0": F.lit(3), "x1": F.lit(12), "y1": F.lit(11)}
+    return pixels.pixelated(pictures(docs, side, side).withColumns({"height": F.lit(side), **box}))
 
 
 @query("i19_mosaic")
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.pixelated(pictures(spark, sf_dir)).select("image_id", F.sha2("pixels", 256).alias("sha"), "outside", "inside")
+    return mosaics(table(spark, sf_dir, "documents")).select("image_id", F.sha2("pixels", 256).alias("sha"), "outside", "inside")
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:

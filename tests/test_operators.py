@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prismatic.functions import geometry, score, text, vector
 from prismatic.operators import duplicates, matching, pixels, sequential
+from prismatic.plans import sequences
 from prismatic.sources import files
 from prismatic.streaming import stages
 
@@ -155,6 +156,24 @@ def test_pixels():
     assert abs(pixels.white_balanced(np.dstack([gray + 50, gray + 100, gray + 150]), 1.0).mean(axis=(0, 1)) - 100).max() <= 1
 
 
+def test_pictures_of_whole_texts(spark):
+    rng = np.random.default_rng(2)
+    texts = [None, "", "a", "é" * 7, *("".join(chr(c) for c in rng.integers(32, 127, n)) for n in (255, 256, 257, 5000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    measured = {r["image_id"]: r for r in pixels.measured(sequences.pictures(docs)).collect()}
+    tiled = {r["image_id"]: r for r in sequences.mosaics(docs).collect()}
+    assert set(measured) == set(tiled) == set(range(len(texts)))
+    for k, t in enumerate(texts):
+        payload = (t or "").encode()
+        picture = np.frombuffer(payload + bytes(-len(payload) % 16), np.uint8)
+        expected = pixels.quality(picture.reshape(-1, 16)) if len(payload) else dict.fromkeys(("brightness", "deviation", "shadow", "highlight", "edges", "noise"))
+        assert {c: measured[k][c] for c in expected} == expected
+        frames = [np.frombuffer((payload + bytes(-len(payload) % 256))[x : x + 256], np.uint8).reshape(16, 16) for x in range(0, len(payload), 256)]
+        after = [pixels.mosaic(f, (2, 3, 12, 11), 4) for f in frames]
+        assert bytes(tiled[k]["pixels"]) == b"".join(f.tobytes() for f in after)
+        assert (tiled[k]["outside"], tiled[k]["inside"]) == (0, sum(int((a != f).sum()) for a, f in zip(after, frames, strict=True)))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "x", "group_id": "g", "tags": ["t"], "embedding": "[1.0, 2.0]", "analysis_json": "{\\"scene\\": \\"hall\\"}"}\n{"asset_id": "y", "group_id": "g", "embedding": [3.0]}\n{"id": "z"}\n')
     found = {r["id"]: r["embedding"] for r in files.assets_jsonl(spark, str(tmp_path / "a.jsonl")).select("id", "embedding").collect()}
