@@ -109,14 +109,57 @@ def diverse(ids: np.ndarray, vectors: np.ndarray, limit: int) -> list[int]:
     mean = unit.mean(axis=0)
     size = float(np.linalg.norm(mean))
     near = unit @ (mean / size) if size > 0 else np.zeros(len(unit))
-    taken = [int(np.argmax(near))]
-    closest = unit @ unit[taken[0]]
-    while len(taken) < min(limit, len(unit)):
+    return usable[_spread(unit, int(np.argmax(near)), limit)].tolist()
+
+
+def _spread(unit: np.ndarray, first: int, limit: int, without: np.ndarray | None = None) -> list[int]:
+    """Places of the first row and then, one by one, of the row least like those taken, of all rows but those left out."""
+    without = np.zeros(0, np.int64) if without is None else without
+    taken = [first]
+    closest = unit @ unit[first]
+    while len(taken) < min(limit, len(unit) - len(without)):
         left = closest.copy()
         left[taken] = np.inf
+        left[without] = np.inf
         taken.append(int(np.argmin(left)))
         closest = np.maximum(closest, unit @ unit[taken[-1]])
-    return usable[taken].tolist()
+    return taken
+
+
+def diverse_without(vectors: np.ndarray, classes: np.ndarray, limit: int) -> list[list[int]]:
+    """For each class of rows (0, 1, ...), what `diverse` gives for the rows that aren't of it. Rows by id, all usable.
+
+    Leaving out k rows of length 1 moves a row's product with the sum of all by k at most, so only rows
+    within 2 k of the best one left can be next to the mean. What follows the first row stays the same
+    unless one of the rows left out is in it.
+    """
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    exact = unit.astype(np.float64)
+    total = exact.sum(axis=0)
+    pull = exact @ total
+    order = np.argsort(-pull, kind="stable")
+    falling = -pull[order]
+    members = np.split(np.argsort(classes, kind="stable"), np.cumsum(np.bincount(classes))[:-1])
+    chains: dict[int, list[int]] = {}
+    out = []
+    for gone in members:
+        k = len(gone)
+        if k == len(unit) or limit <= 0:
+            out.append([])
+            continue
+        removed = exact[gone].sum(axis=0)
+        near = order[: np.searchsorted(falling, falling[k] + 2 * k + 1e-6, side="right")]
+        near = np.sort(near[~np.isin(near, gone)])
+        if np.linalg.norm(total - removed) > 1e-9 * len(unit):
+            left = pull[near] - exact[near] @ removed
+            first = int(near[np.argmax(left >= left.max() - 1e-9)])
+        else:
+            first = int(np.setdiff1d(np.arange(len(unit)), gone)[0])
+        if first not in chains:
+            chains[first] = _spread(unit, first, limit)
+        chain = chains[first]
+        out.append(_spread(unit, first, limit, gone) if np.isin(gone, chain).any() else chain)
+    return out
 
 
 def prototypes(library: DataFrame, limit: int = 12) -> DataFrame:
@@ -137,6 +180,46 @@ def prototypes(library: DataFrame, limit: int = 12) -> DataFrame:
     return library.select("group_id", "asset_id", "vector").groupBy("group_id").applyInPandas(choose, "group_id int, asset_id long, rank int")
 
 
+def prototypes_without(library: DataFrame, limit: int = 12) -> DataFrame:
+    """group_id, copy, asset_id and similarity: each group's prototypes chosen anew without the rows of each of its copies (rows of equal `copy` have equal vectors).
+
+    library: group_id, asset_id, copy and usable vectors of one size. Similarity, 0 to 1, is that of the copy left out.
+    """
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("asset_id", kind="stable", ignore_index=True)
+        vectors = np.stack(frame["vector"])
+        unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        classes, copies = pd.factorize(frame["copy"])
+        ids, some = frame["asset_id"].to_numpy(), np.zeros(len(copies), np.int64)
+        some[classes] = np.arange(len(frame))
+        chosen = diverse_without(vectors.astype(np.float32), classes, limit)
+        places = np.array([p for taken in chosen for p in taken], np.int64)
+        of = np.repeat(np.arange(len(copies)), [len(taken) for taken in chosen])
+        similarity = np.clip((unit[some[of]] * unit[places]).sum(axis=1), 0.0, 1.0)
+        return pd.DataFrame({"group_id": frame["group_id"].iloc[0], "copy": np.asarray(copies)[of], "asset_id": ids[places], "similarity": similarity})
+
+    return library.select("group_id", "asset_id", "copy", "vector").groupBy("group_id").applyInPandas(choose, "group_id int, copy string, asset_id long, similarity double")
+
+
+def leave_one_out_scores(library: DataFrame, limit: int = 12) -> DataFrame:
+    """query_id, asset_id, group_id and similarity of every usable asset against each group's prototypes, chosen without it and its equal copies.
+
+    Groups without the asset or a copy of it keep their usual prototypes. An asset whose own group has
+    nothing else is not asked.
+    """
+    library = library.where(vector.usable(F.col("vector"))).withColumn("copy", F.sha2(F.col("vector").cast("string"), 256))
+    unit = unit_vectors(library)
+    copies = library.groupBy("group_id", "copy").agg(F.count("*").alias("n"))
+    held = copies.withColumn("total", F.sum("n").over(Window.partitionBy("group_id")))
+    asked = unit.join(held.where("n < total").select("group_id", "copy"), ["group_id", "copy"], "left_semi").select(F.col("asset_id").alias("query_id"), F.col("vector").alias("query_vector"), "copy")
+    usual = unit.join(prototypes(library, limit).select("asset_id"), "asset_id")
+    own = asked.select("query_id", "copy").join(copies.select("copy", "group_id"), "copy").select("query_id", "group_id")
+    others = scored(asked, usual).join(own, ["query_id", "group_id"], "left_anti")
+    anew = asked.select("query_id", "copy").join(prototypes_without(library, limit), "copy")
+    return others.select("query_id", "asset_id", "group_id", "similarity").unionByName(anew.select("query_id", "asset_id", "group_id", "similarity"))
+
+
 def rule_evidence(facts: DataFrame, rules: DataFrame, least_confidence: float = 0.60) -> DataFrame:
     """query_id, group_id, score and mode of groups' rules against queries' texts.
 

@@ -24,13 +24,10 @@ def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v18_leave_one_out")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every asset against the prototypes of each group, itself left out; with one more prototype than the limit, which takes its place."""
-    unit = matching.unit_vectors(assets(spark, sf_dir))
-    chosen = unit.join(matching.prototypes(assets(spark, sf_dir), 13).select("asset_id", "rank"), "asset_id")
-    asked = unit.select(F.col("asset_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("group_id").alias("expected"))
-    scores = matching.scored(asked, chosen).where(F.col("query_id") != F.col("asset_id"))
-    rows = matching.group_scores(scores, support=0.25).withColumns({"final_score": F.col("similarity"), "feature_score": F.lit(None).cast("double")})
-    return report(matching.decided(rows, auto=0.35).join(asked.select("query_id", "expected"), "query_id").rollup("expected"))
+    """Every asset against the prototypes of each group, chosen without it and its equal copies."""
+    asked = assets(spark, sf_dir).select(F.col("asset_id").alias("query_id"), F.col("group_id").alias("expected"))
+    rows = matching.group_scores(matching.leave_one_out_scores(assets(spark, sf_dir), 12), support=0.25).withColumns({"final_score": F.col("similarity"), "feature_score": F.lit(None).cast("double")})
+    return report(matching.decided(rows, auto=0.35).join(asked, "query_id").rollup("expected"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -95,6 +95,30 @@ def test_prototypes(spark):
     assert a == b and x @ y / np.linalg.norm(x) / np.linalg.norm(y) < 0.1
 
 
+def test_leave_one_out_as_the_reference_chooses(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(90, 6)) + rng.normal(size=(3, 6))[np.arange(90) % 3] * 0.7
+    groups = np.arange(90) % 3
+    vectors[[33, 63]] = vectors[3]  # copies in their own group
+    vectors[[34, 65]] = vectors[4]  # and in two groups
+    vectors = np.vstack([vectors, rng.normal(size=(4, 6)), np.zeros((1, 6))])
+    vectors[93] = vectors[92]
+    groups = np.array([*groups, 3, 4, 5, 5, 0])
+    rows = spark.createDataFrame([(k, int(g), v.tolist()) for k, (g, v) in enumerate(zip(groups, vectors, strict=True))], "asset_id long, group_id int, vector array<double>")
+    for limit in (4, 12):
+        expected = {}
+        for q in range(94):
+            same = (vectors == vectors[q]).all(axis=1)
+            by_group = {g: (ids := np.flatnonzero((groups == g) & ~same))[matching.diverse(ids, vectors[ids].astype(np.float32), limit)] for g in set(groups)}
+            if len(by_group[groups[q]]):
+                for g, ids in by_group.items():
+                    for k in ids:
+                        cosine = vectors[q] @ vectors[k] / np.linalg.norm(vectors[q]) / np.linalg.norm(vectors[k])
+                        expected[q, int(k), int(g)] = max(0.0, min(1.0, cosine))
+        found = [((r["query_id"], r["asset_id"], r["group_id"]), r["similarity"]) for r in matching.leave_one_out_scores(rows, limit).collect()]
+        assert len(found) == len(expected) and dict(found) == pytest.approx(expected)
+
+
 def test_scores_in_blocks_are_the_same(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = spark.createDataFrame([(k, k % 3, rng.normal(size=4).tolist()) for k in range(60)], "asset_id long, group_id int, vector array<double>")
