@@ -49,15 +49,39 @@ DICE = """grams AS (SELECT item_id, x, y, list_distinct(list_transform(range(1,
     dice AS (SELECT item_id, x, y, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) ELSE 0.0 END AS d FROM grams)"""
 
 
+def whole_pairs(benchmark: DataFrame) -> DataFrame:
+    whole = benchmark.select("item_id", text.normalized(F.col("text")).alias("x"))
+    other = whole.select(F.col("item_id").alias("o"), F.col("x").alias("y"))
+    return whole.join(other, F.col("o") == F.col("item_id") - F.col("item_id") % 3).select("item_id", "x", "y")
+
+
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = table(spark, sf_dir, "benchmark").select("item_id", F.left(text.normalized(F.col("text")), F.lit(40)).alias("x"))
-    other = short.select(F.col("item_id").alias("o"), F.col("x").alias("y"))
-    return short.join(other, F.col("o") == F.col("item_id") - F.col("item_id") % 3).select("item_id", "x", "y")
+    """The first 40 characters of each side, as the SQL has them."""
+    return whole_pairs(table(spark, sf_dir, "benchmark")).select("item_id", *(F.left(c, F.lit(40)).alias(c) for c in ("x", "y")))
+
+
+def pair_dice(pairs: DataFrame) -> DataFrame:
+    return pairs.select("item_id", rounded(text.dice(F.col("x"), F.col("y")), 6).alias("dice"))
+
+
+def pair_evidence(pairs: DataFrame) -> DataFrame:
+    e = pairs.select("item_id", matching.phrase_evidence(F.col("x"), F.col("y")).alias("e"))
+    return e.select("item_id", rounded(F.col("e.score"), 6).alias("score"), "e.reliability", "e.method")
+
+
+@query("x8_dice_whole")
+def dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_dice(whole_pairs(table(spark, sf_dir, "benchmark")))
+
+
+@query("x12_phrase_evidence_whole")
+def phrase_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_evidence(whole_pairs(table(spark, sf_dir, "benchmark")))
 
 
 @query("x8_dice", f"WITH {PAIRS}, {DICE} SELECT item_id, round(d, 6) AS dice FROM dice")
 def dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_pairs(spark, sf_dir).select("item_id", rounded(text.dice(F.col("x"), F.col("y")), 6).alias("dice"))
+    return pair_dice(text_pairs(spark, sf_dir))
 
 
 @query(
@@ -66,8 +90,7 @@ def dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN x = y OR contains(x, y) OR contains(y, x) OR d >= 0.35 THEN 1.0 ELSE 0.0 END AS reliability, CASE WHEN x = y THEN 'exact' WHEN contains(x, y) OR contains(y, x) THEN 'normalized' WHEN d >= 0.35 THEN 'lexical' ELSE 'inconclusive' END AS method FROM dice""",
 )
 def phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = text_pairs(spark, sf_dir).select("item_id", matching.phrase_evidence(F.col("x"), F.col("y")).alias("e"))
-    return e.select("item_id", rounded(F.col("e.score"), 6).alias("score"), "e.reliability", "e.method")
+    return pair_evidence(text_pairs(spark, sf_dir))
 
 
 @query("x16_concepts", "SELECT doc_id, contains(lower(text), 'license') OR contains(lower(text), 'licence') AS licensed, contains(lower(text), 'the ') AS english FROM documents")

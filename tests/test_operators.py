@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prismatic.functions import geometry, score, text, vector
 from prismatic.operators import duplicates, matching, pixels, sequential
-from prismatic.plans import sequences
+from prismatic.plans import scalars, sequences
 from prismatic.sources import files
 from prismatic.streaming import stages
 
@@ -198,6 +198,22 @@ def test_pictures_of_whole_texts(spark):
         assert (tiled[k]["outside"], tiled[k]["inside"]) == (0, sum(int((a != f).sum()) for a, f in zip(after, frames, strict=True)))
 
 
+def test_whole_texts_are_compared(spark):
+    texts = ["A b" * 20, "a B" * 20 + " tail one", "ab" * 20 + "zz" * 9, "x" * 60, "q" * 40 + "r" * 30, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    plain = ["".join(t.lower().split()) if t is not None else None for t in texts]
+    grams = lambda t: {t[k : k + 2] for k in range(len(t) - 1)}
+    dice = {r["item_id"]: r["dice"] for r in scalars.pair_dice(scalars.whole_pairs(docs)).collect()}
+    methods = {r["item_id"]: r["method"] for r in scalars.pair_evidence(scalars.whole_pairs(docs)).collect()}
+    for k in range(5):
+        x, y = plain[k], plain[k - k % 3]
+        a, b = grams(x), grams(y)
+        d = 2 * len(a & b) / (len(a) + len(b))
+        assert dice[k] == round(d, 6)
+        assert methods[k] == ("exact" if x == y else "normalized" if x in y or y in x else "lexical" if d >= 0.35 else "inconclusive")
+    assert methods[1] == "normalized" and methods[5] is None
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "x", "group_id": "g", "tags": ["t"], "embedding": "[1.0, 2.0]", "analysis_json": "{\\"scene\\": \\"hall\\"}"}\n{"asset_id": "y", "group_id": "g", "embedding": [3.0]}\n{"id": "z"}\n')
     found = {r["id"]: r["embedding"] for r in files.assets_jsonl(spark, str(tmp_path / "a.jsonl")).select("id", "embedding").collect()}
