@@ -368,7 +368,17 @@ def fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, group_id, avg(direct::INT) AS score, CASE WHEN bool_and(direct AND confidence >= 0.6) THEN 'supported' WHEN bool_or(hard AND NOT (direct AND confidence >= 0.6)) THEN 'conflicted' ELSE 'unsupported' END AS mode FROM d GROUP BY query_id, group_id""",
 )
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = table(spark, sf_dir, "documents").where("n_chars < 3000").select(F.col("doc_id").alias("query_id"), F.lower("text").alias("haystack"), (F.col("doc_id") % 10 / 10.0).alias("confidence"))
+    """Only of texts under 3,000 characters, as the SQL has it."""
+    return evidence(spark, table(spark, sf_dir, "documents").where("n_chars < 3000"))
+
+
+@query("v10_rule_evidence_whole")
+def rules_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence(spark, table(spark, sf_dir, "documents"))
+
+
+def evidence(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    facts = docs.select(F.col("doc_id").alias("query_id"), F.lower("text").alias("haystack"), (F.col("doc_id") % 10 / 10.0).alias("confidence"))
     rows = [(1, "space", ["the", "and"], 2, True), (1, "stage", ["license", "licence"], 1, False), (2, "space", ["der", "und"], 1, True), (3, "stage", ["que", "los"], 2, False)]
     table_of_rules = spark.createDataFrame(rows, "group_id int, dimension string, keywords array<string>, least_hits int, hard_gate boolean")
     return matching.rule_evidence(facts, table_of_rules)

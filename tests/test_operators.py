@@ -198,6 +198,15 @@ def test_pictures_of_whole_texts(spark):
         assert (tiled[k]["outside"], tiled[k]["inside"]) == (0, sum(int((a != f).sum()) for a, f in zip(after, frames, strict=True)))
 
 
+def test_rule_evidence_of_long_and_unmeasured_texts(spark):
+    texts = {8: ("x" * 4000 + " the license and", 4016), 17: ("the and licence", None), 9: (None, None), 6: ("", 0)}
+    docs = spark.createDataFrame([(k, t, n) for k, (t, n) in texts.items()], "doc_id long, text string, n_chars long")
+    found = {(r["query_id"], r["group_id"]): (r["score"], r["mode"]) for r in scalars.evidence(spark, docs).collect()}
+    assert len(found) == 12
+    assert [found[8, g] for g in (1, 2, 3)] == [(1.0, "supported"), (0.0, "conflicted"), (0.0, "unsupported")]
+    assert found[17, 1] == (1.0, "supported") and found[9, 1] == found[6, 1] == (0.0, "conflicted")
+
+
 def test_whole_texts_are_compared(spark):
     texts = ["A b" * 20, "a B" * 20 + " tail one", "ab" * 20 + "zz" * 9, "x" * 60, "q" * 40 + "r" * 30, None]
     docs = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
