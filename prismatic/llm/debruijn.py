@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_slices, text_bytes
-from .repeats import RUN, by_document, list_slices, meet, merged, run_batch, run_rows, written
-from .superwindows import prefix_hashes, runs, span_hashes, word_numbers
+from .repeats import RUN, by_document, list_slices, meet, merged, own_runs, run_batch, run_rows, written
+from .superwindows import Spans, runs, word_numbers
 
-WINDOW, GRAM = 13, 3
+WINDOW, GRAM = 13, 5
 
 
 def _other_document(run: Column, first: Column) -> Column:
@@ -31,11 +31,11 @@ def _first_document(run: Column, first: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc, start, n: edges that also start in a smaller document, n from each word on. docs: doc_id, text."""
+    """doc, start, n, content: edges that also start in a smaller document, n from each word on, and the hash of their words. docs: doc_id, text."""
 
     def find(data: np.ndarray, ends: np.ndarray) -> tuple:
         numbers, _, _, word_ends = word_numbers(data, ends)
-        return *runs(numbers, word_ends, window, gram), np.concatenate([[0], word_ends[:-1]])
+        return *runs(Spans(numbers, 4), len(numbers), word_ends, window, gram), np.concatenate([[0], word_ends[:-1]])
 
     found = written(meet(run_rows(docs, find), _other_document, _first_document))
     asked = found.where(F.col("anchor").isNotNull())
@@ -50,13 +50,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         place, doc = np.repeat(start, n) + inner, np.repeat(row, n)
         fits = starts[doc] + place + window <= word_ends[doc]  # not so only for a text that shares its id with another
         place, doc = place[fits], doc[fits]
-        prefix = prefix_hashes(numbers)
-        content = span_hashes(prefix, starts[doc] + place, starts[doc] + place + window)
+        content = Spans(numbers, 4).of(starts[doc] + place, starts[doc] + place + window)
         return run_batch(content, content, part.column("doc_id").to_numpy()[doc], place, np.ones(len(doc), np.int64))
 
     with_text = docs.join(by_document(asked, "start", "n"), "doc_id")
     branching = meet(map_slices(with_text, edges, RUN), _other_document, lambda run, first: F.lit(False))
-    return found.where(F.col("anchor").isNull()).select("doc", "start", "n").unionByName(branching.select("doc", "start", "n"))
+    return found.where(F.col("anchor").isNull()).select("doc", "start", "n", "content").unionByName(branching.select("doc", "start", "n", "content"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,21 +64,21 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
     Words are what white space parts. A word goes if a window covers it whose words also start in a
     document with a smaller id; windows are judged on the input and never cross documents. Kept words
     are joined by one space. Null and empty texts have no words; shorter texts than a window stay
-    whole. doc_id is a key: rows that repeat an id are one document at one place, so equal rows get
-    equal results. Rows without id are left as they are.
+    whole. Rows that repeat an id are never compared with each other, and each is cut by its own text:
+    equal rows get equal results. Rows without id are left as they are.
     """
     texts = id_and_text(docs, id_col, text_col)
-    spans = by_document(repeated_spans(texts, window, gram), "start", "n")
+    spans = by_document(repeated_spans(texts, window, gram), "start", "n", "content")
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = text_bytes(part.column("text"))
-        _, first, last, word_ends = word_numbers(data, at[1:])
+        numbers, first, last, word_ends = word_numbers(data, at[1:])
         starts = np.concatenate([[0], word_ends[:-1]])
-        offsets, (start, n) = list_slices(part.column("spans"), ("start", "n"))
+        offsets, start, n = own_runs(Spans(numbers, 4), starts, word_ends, part.column("spans"), window)
         kept, found = [], []
         for k, (i, j) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
             a, size = starts[k], int(word_ends[k] - starts[k])
-            low, high = merged(start[i:j].astype(np.int64), n[i:j].astype(np.int64), window, size)
+            low, high = merged(start[i:j], n[i:j], window, size)
             stay = np.ones(size, bool)
             for x, y in zip(low, high, strict=True):
                 stay[x:y] = False

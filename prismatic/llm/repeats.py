@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from .common import map_slices, text_bytes
-from .superwindows import signed
+from .superwindows import Spans, signed
 
 #: Bytes of text in a slice; the hashes of a slice take some eighty bytes a byte.
 RUN_BYTES = 1 << 20
@@ -42,7 +42,7 @@ def run_batch(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: n
 
 
 def meet(runs: DataFrame, removed: Callable[[Column, Column], Column], asked: Callable[[Column, Column], Column]) -> DataFrame:
-    """Rows (anchor, crowd, doc, start, n) of the runs that share an anchor with others.
+    """Rows (anchor, crowd, doc, start, n, content) of the runs that share an anchor with others.
 
     removed(run, first) tells for a run, a struct of doc and start, and the first run of its content
     whether all its windows go; these rows have no anchor. asked(run, first) tells whether a run stands
@@ -55,17 +55,27 @@ def meet(runs: DataFrame, removed: Callable[[Column, Column], Column], asked: Ca
     rows = rows.withColumns({"crowd": F.count("*").over(by_anchor), "low": F.min("content").over(by_anchor), "high": F.max("content").over(by_anchor)})
     rows = rows.where((F.col("crowd") > 1) | F.col("more").isNotNull())
     each = F.explode(F.concat(F.array(own), F.coalesce("more", F.array().cast("array<struct<doc:long,start:int>>"))))
-    rows = rows.select("anchor", "crowd", "first", (F.col("low") != F.col("high")).alias("mixed"), "n", each.alias("run"))
+    rows = rows.select("anchor", "content", "crowd", "first", (F.col("low") != F.col("high")).alias("mixed"), "n", each.alias("run"))
     goes = removed(F.col("run"), F.col("first"))
     rows = rows.where(goes | (F.col("mixed") & asked(F.col("run"), F.col("first"))))
-    return rows.select(F.when(~goes, F.col("anchor")).alias("anchor"), "crowd", F.col("run.doc").alias("doc"), F.col("run.start").alias("start"), "n")
+    return rows.select(F.when(~goes, F.col("anchor")).alias("anchor"), "crowd", F.col("run.doc").alias("doc"), F.col("run.start").alias("start"), "n", "content")
 
 
 def written(frame: DataFrame) -> DataFrame:
     """The frame, written to the shared folder and read again."""
     path = f"{shared_folder(frame.sparkSession)}/prismatic-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    found = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of written frames that nothing reads any more: all that was made from them is written itself."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def by_document(spans: DataFrame, *columns: str) -> DataFrame:
@@ -92,6 +102,21 @@ def list_slices(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray,
     return np.concatenate([[0], np.cumsum(counts)]), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
 
 
+def own_runs(spans: Spans, begin: np.ndarray, end: np.ndarray, column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, starts and numbers of windows of the runs in a column of lists, by text.
+
+    Only those whose content stands there in the text (from begin to end of the units): where texts
+    share an id, each has the runs of all of them in its list.
+    """
+    offsets, (start, n, content) = list_slices(column, ("start", "n", "content"))
+    start, n = start.astype(np.int64), n.astype(np.int64)
+    of = np.repeat(np.arange(len(column)), np.diff(offsets))
+    low, high = begin[of] + start, begin[of] + start + n - 1 + window
+    stands = high <= end[of]
+    stands[stands] = spans.of(low[stands], high[stands]) == content[stands].astype(np.int64).view(np.uint64)
+    return np.concatenate([[0], np.cumsum(np.bincount(of[stands], minlength=len(column)))]), start[stands], n[stands]
+
+
 def run_rows(docs: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
     """Runs of all documents with an id; find(bytes, ends) gives anchor, content, start, n and where each document's units start."""
 

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_slices, text_bytes
-from .repeats import RUN, by_document, list_slices, meet, merged, run_batch, run_rows, written
-from .superwindows import BYTE_NUMBERS, prefix_hashes, runs, span_hashes
+from .repeats import RUN, by_document, list_slices, meet, merged, own_runs, run_batch, run_rows, written
+from .superwindows import byte_spans, runs
 
 MINIMUM, GRAM = 100, 24
 #: Runs in a block, about; an anchor with over MOST_RUNS of them is resolved by windows.
@@ -88,8 +88,8 @@ def borders(text: np.ndarray, order: np.ndarray, place: np.ndarray, depth: int)
     return known[:n]
 
 
-def repeated_windows(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, minimum: int = MINIMUM) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the strings of the minimum length that also start in another of the texts, at an earlier doc or start."""
+def repeated_windows(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, minimum: int = MINIMUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of the minimum length that also start in another of the texts, at an earlier doc or start: doc, start, in which text and where."""
     sizes = np.array([len(t) for t in texts], np.int64)
     text = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
     ends = np.cumsum(sizes + 1)
@@ -107,12 +107,12 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, m
     of, offset = of[valid], offset[valid]
     doc, start = docs[of], starts[of] + offset
     by = np.lexsort((start, doc, group))
-    group, doc, start = group[by], doc[by], start[by]
+    group, doc, start, of, offset = group[by], doc[by], start[by], of[by], offset[by]
     lead = np.ones(len(group), bool)
     lead[1:] = group[1:] != group[:-1]
     first = np.flatnonzero(lead)[np.cumsum(lead) - 1]
     later = (doc != doc[first]) | (start != start[first])
-    return doc[later], start[later]
+    return doc[later], start[later], of[later], offset[later]
 
 
 def _later(run: Column, first: Column) -> Column:
@@ -124,13 +124,13 @@ def _first(run: Column, first: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, block_runs: int = BLOCK_RUNS, most_runs: int = MOST_RUNS) -> DataFrame:
-    """doc, start, n: strings of the minimum length that also start earlier, n from each start on. docs: doc_id, text."""
+    """doc, start, n, content: strings of the minimum length that also start earlier, n from each start on, and the hash of their bytes. docs: doc_id, text."""
 
     def find(data: np.ndarray, ends: np.ndarray) -> tuple:
-        return *runs(BYTE_NUMBERS[data], ends, minimum, gram), np.concatenate([[0], ends[:-1]])
+        return *runs(byte_spans(data), len(data), ends, minimum, gram), np.concatenate([[0], ends[:-1]])
 
     found = written(meet(run_rows(docs, find), _later, _first))
-    whole = found.where(F.col("anchor").isNull()).select("doc", "start", "n")
+    whole = found.where(F.col("anchor").isNull()).select("doc", "start", "n", "content")
     asked = found.where(F.col("anchor").isNotNull())
 
     def fetch(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -149,36 +149,40 @@ def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, bl
     blocks = max(1, -(-asked.count() // block_runs))
 
     def expand(frame: pd.DataFrame) -> pd.DataFrame:
-        doc, start = repeated_windows(frame["bytes"].tolist(), frame["doc"].to_numpy(), frame["start"].to_numpy(np.int64), minimum)
-        return pd.DataFrame(dict(zip(("doc", "start", "n"), in_rows(doc, start), strict=True)))
+        texts = frame["bytes"].tolist()
+        doc, start, of, offset = repeated_windows(texts, frame["doc"].to_numpy(), frame["start"].to_numpy(np.int64), minimum)
+        return pd.DataFrame(dict(zip(("doc", "start", "n", "content"), in_rows(texts, doc, start, of, offset, minimum), strict=True)))
 
     few = contexts.where(F.col("crowd") <= most_runs).withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
-    by_blocks = few.groupBy("block").applyInPandas(expand, "doc long, start int, n int")
+    by_blocks = few.groupBy("block").applyInPandas(expand, "doc long, start int, n int, content long")
 
     def windows(batches):
         for part in batches:
             data, at = text_bytes(part.column("bytes"))
-            prefix = prefix_hashes(BYTE_NUMBERS[data])
             counts = np.maximum(np.diff(at) - minimum + 1, 0)
             row = np.repeat(np.arange(part.num_rows), counts)
             offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            content = span_hashes(prefix, at[row] + offset, at[row] + offset + minimum)
+            content = byte_spans(data).of(at[row] + offset, at[row] + offset + minimum)
             anchor = part.column("anchor").to_numpy().view(np.uint64)[row] ^ content
             yield run_batch(anchor, content, part.column("doc").to_numpy()[row], part.column("start").to_numpy()[row] + offset, np.ones(len(row), np.int64))
 
     many = contexts.where(F.col("crowd") > most_runs).mapInArrow(windows, RUN)
-    by_windows = meet(many, _later, lambda run, first: F.lit(False)).select("doc", "start", "n")
+    by_windows = meet(many, _later, lambda run, first: F.lit(False)).select("doc", "start", "n", "content")
     return whole.unionByName(by_blocks).unionByName(by_windows)
 
 
-def in_rows(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring starts as doc, first start and how many."""
-    by = np.lexsort((start, doc))
-    doc, start = doc[by], start[by]
+def in_rows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, of: np.ndarray, offset: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring starts in one text as doc, first start, how many, and the hash of their bytes."""
+    by = np.lexsort((offset, of))
+    doc, start, of, offset = doc[by], start[by], of[by], offset[by]
     lead = np.ones(len(doc), bool)
-    lead[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    lead[1:] = (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)
     at = np.flatnonzero(lead)
-    return doc[at], start[at].astype(np.int32), np.diff(np.concatenate([at, [len(doc)]])).astype(np.int32)
+    n = np.diff(np.concatenate([at, [len(doc)]]))
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = (np.cumsum(sizes) - sizes)[of[at]] + offset[at]
+    content = byte_spans(np.frombuffer(b"".join(texts), np.uint8)).of(begin, begin + n - 1 + minimum)
+    return doc[at], start[at].astype(np.int32), n.astype(np.int32), content.view(np.int64)
 
 
 def dedup(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
@@ -186,16 +190,17 @@ def dedup(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_id", text_
 
     A byte goes if a string of `minimum` bytes covers it that also starts earlier: in a document with a
     smaller id, or in the same one before. Strings are judged on the input and never cross documents.
-    Null texts are empty; texts shorter than the minimum stay whole. doc_id is a key: rows that repeat
-    an id are one document at one place, so equal rows get equal results. Rows without id are left as
-    they are.
+    Null texts are empty; texts shorter than the minimum stay whole. Rows that repeat an id are one
+    document at one place: what starts earlier in one of them goes from the others, strings at one start
+    stay, equal rows get equal results, and each row is cut by its own text. Rows without id are left
+    as they are.
     """
     texts = id_and_text(docs, id_col, text_col)
-    spans = by_document(repeated_spans(texts, minimum, **sizes), "start", "n")
+    spans = by_document(repeated_spans(texts, minimum, **sizes), "start", "n", "content")
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = text_bytes(part.column("text"))
-        offsets, (start, n) = list_slices(part.column("spans"), ("start", "n"))
+        offsets, start, n = own_runs(byte_spans(data), at[:-1], at[1:], part.column("spans"), minimum)
         kept, found = [], []
         for k, (a, b, i, j) in enumerate(zip(at[:-1], at[1:], offsets[:-1], offsets[1:], strict=True)):
             text = data[a:b]
@@ -203,7 +208,7 @@ def dedup(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_id", text_
                 kept.append(text.tobytes())
                 found.append([])
                 continue
-            low, high = merged(start[i:j].astype(np.int64), n[i:j].astype(np.int64), minimum, len(text))
+            low, high = merged(start[i:j], n[i:j], minimum, len(text))
             ends = [0, *np.column_stack([low, high]).ravel().tolist(), len(text)]
             kept.append(b"".join(text[x:y].tobytes() for x, y in zip(ends[::2], ends[1::2], strict=True)))
             found.append([{"start": x, "end": y} for x, y in zip(low.tolist(), high.tolist(), strict=True)])
@@ -219,19 +224,19 @@ def without_repeats(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_
     Characters of which only some bytes would go stay whole. The column of text lengths, if there is
     one, follows. Texts that go altogether are empty ones then; null texts stay null.
     """
-    spans = by_document(repeated_spans(id_and_text(docs, id_col, text_col), minimum, **sizes), "start", "n")
+    spans = by_document(repeated_spans(id_and_text(docs, id_col, text_col), minimum, **sizes), "start", "n", "content")
     spans = spans.select(F.col("doc_id").alias("_span_doc"), F.col("spans").alias("_spans"))
     kind = docs.schema
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         column = part.column(text_col)
         data, at = text_bytes(column)
-        offsets, (start, n) = list_slices(part.column("_spans"), ("start", "n"))
+        offsets, start, n = own_runs(byte_spans(data), at[:-1], at[1:], part.column("_spans"), minimum)
         texts = column.to_pylist()
         for k in np.flatnonzero(np.diff(offsets)):
             i, j = offsets[k], offsets[k + 1]
             text = data[at[k] : at[k + 1]]
-            low, high = merged(start[i:j].astype(np.int64), n[i:j].astype(np.int64), minimum, len(text))
+            low, high = merged(start[i:j], n[i:j], minimum, len(text))
             gone = np.zeros(len(text), bool)
             for x, y in zip(low, high, strict=True):
                 while x < y and text[x] & 0xC0 == 0x80:

@@ -9,12 +9,13 @@ anchor and meet in one shuffle by it.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-#: Fixed odd factors of the hashes, and a number for each byte.
+#: Fixed odd factors of the hashes.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-BASE = 0xD1342543DE82EF95
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -28,47 +29,87 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64))
-
-
-class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as needed."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = max(n, 2 * len(self.up))
-            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
-def prefix_hashes(numbers: np.ndarray) -> np.ndarray:
-    up, _ = POWERS.upto(len(numbers) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers * up[: len(numbers)], dtype=np.uint64)])
-
-
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the numbers from start to end, the same wherever they stand."""
-    _, down = POWERS.upto(len(prefix))
-    return mixed((prefix[end] - prefix[start]) * down[start])
+def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two hashes as one. Not linear: no choice of words cancels out, as it does in polynomials modulo 2**64."""
+    y = a * FACTOR
+    y += b
+    y ^= y >> np.uint64(29)
+    return y
+
+
+class Spans:
+    """Hashes of spans of a sequence of 64-bit numbers, the same wherever a span stands.
+
+    A span of 2**k numbers folds its halves; another length folds the longest such spans at its begin
+    and end, and its length. Levels up to `whole` are kept for all places, longer ones are worked out
+    where asked. The first level's numbers may stand for `width` units each, from each place on.
+    """
+
+    def __init__(self, numbers: np.ndarray, whole: int, width: int = 1):
+        self.width, self.levels = width, {width: numbers}
+        while width < whole:
+            level = self.levels[width]
+            self.levels[2 * width] = folded(level[:-width], level[width:]) if len(level) > width else level[:0]
+            width *= 2
+
+    def power(self, start: np.ndarray, size: int) -> np.ndarray:
+        if size in self.levels:
+            return self.levels[size][start]
+        return folded(self.power(start, size // 2), self.power(start + size // 2, size // 2))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the units from each start to its end, `width` at least."""
+        length = end - start
+        out = np.empty(len(length), np.uint64)
+        size = np.frexp(length / self.width)[1] - 1
+        for k in np.unique(size):
+            at = np.flatnonzero(size == k)
+            p = self.width << int(k)
+            out[at] = mixed(folded(self.power(start[at], p), self.power(end[at] - p, p)) + length[at].astype(np.uint64) * MIX)
+        return out
+
+    def grams(self, k: int, units: int) -> np.ndarray:
+        """Hashes of the k units from each place on, of `units` in all; k - 1 places fewer."""
+        n = max(0, units - k + 1)
+        size = self.width
+        while 2 * size <= k:
+            size *= 2
+        level = self.levels[size]
+        return mixed(folded(level[:n], level[k - size :][:n]) + np.uint64(k * int(MIX) % (1 << 64)))
+
+
+def packed(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; after the end come bytes 0."""
+    x = np.zeros(len(data) + 7, np.uint64)
+    x[: len(data)] = data
+    for k in (1, 2, 4):
+        x[:-k] |= x[k:] << np.uint64(8 * k)
+    return x[: len(data)]
+
+
+def byte_spans(data: np.ndarray) -> Spans:
+    """Of spans of eight bytes or more."""
+    return Spans(mixed(packed(data)), 16, 8)
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each word, from its bytes: up to 16 of them as numbers, a digest of longer ones."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    eight, length = packed(data), last - first
+    bits = np.uint64(8) * np.minimum(length, 8).astype(np.uint64)
+    out = mixed((eight[first] & (~np.uint64(0) >> (np.uint64(64) - bits))) + length.astype(np.uint64) * MIX)
+    longer = np.flatnonzero(length > 8)
+    out[longer] = mixed(folded(out[longer], mixed(eight[last[longer] - 8])))
+    raw = None
+    for k in np.flatnonzero(length > 16).tolist():
+        raw = data.tobytes() if raw is None else raw
+        out[k] = digest(raw[first[k] : last[k]])
+    return out
 
 
-def gram_hashes(numbers: np.ndarray, k: int) -> np.ndarray:
-    """A hash of the k numbers from each place on; k - 1 places fewer."""
-    n = len(numbers) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    prefix = prefix_hashes(numbers)
-    _, down = POWERS.upto(len(prefix))
-    return mixed((prefix[k:] - prefix[:n]) * down[:n])
+def digest(raw: bytes) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little"))
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -80,12 +121,12 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(x) - w + 1], out[w - size :][: len(x) - w + 1]) if w > size else out
 
 
-def runs(numbers: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, content, first window's start and number of windows of each run; ends: where each document ends in numbers."""
+def runs(spans: Spans, units: int, ends: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, content, first window's start and number of windows of each run; ends: where each document ends in the units."""
     none = np.zeros(0, np.uint64)
-    if len(numbers) < window:
+    if units < window:
         return none, none, none.astype(np.int64), none.astype(np.int64)
-    hashes = gram_hashes(numbers, k)
+    hashes = spans.grams(k, units)
     place = np.arange(len(hashes), dtype=np.uint64)
     bits = np.uint64(max(1, int(len(hashes)).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
@@ -101,8 +142,7 @@ def runs(numbers: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np
     last = good.copy()
     last[:-1] &= (at[1:] != at[:-1]) | ~good[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last)
-    prefix = prefix_hashes(numbers)
-    return hashes[at[start]], span_hashes(prefix, start, end + window), start, end - start + 1
+    return hashes[at[start]], spans.of(start, end + window), start, end - start + 1
 
 
 #: Bytes that part words: white space as ASCII has it.
@@ -120,8 +160,7 @@ def word_numbers(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     stop = inside.copy()
     stop[:-1] &= ~inside[1:] | edge[1:-1]
     first, last = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    numbers = span_hashes(prefix_hashes(BYTE_NUMBERS[data]), first, last)
-    return numbers, first, last, np.searchsorted(first, ends, side="left")
+    return word_hashes(data, first, last), first, last, np.searchsorted(first, ends, side="left")
 
 
 def signed(x: np.ndarray) -> pa.Array:

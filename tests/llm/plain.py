@@ -25,6 +25,14 @@ def empty_documents(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def thue_morse(n):
+    """Two words of a and b that have one value as polynomials modulo 2**64, whatever the base."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def removed_bytes(texts: dict[int, str | None], minimum: int) -> dict[int, bytes]:
     seen, out = set(), {}
     for i in sorted(texts):

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 
 from prismatic.llm import debruijn, suffix_dedup
-from prismatic.llm.superwindows import runs, sliding_least
+from prismatic.llm.superwindows import Spans, byte_spans, runs, sliding_least, word_numbers
 
-from .plain import empty_documents, hard_documents, removed_bytes, removed_words
+from .plain import empty_documents, hard_documents, removed_bytes, removed_words, thue_morse
 
 
 @pytest.mark.parametrize("sizes", [{}, {"block_runs": 2}, {"most_runs": 0}], ids=["one block", "small blocks", "by windows"])
@@ -45,6 +45,43 @@ def test_equal_rows_and_rows_without_id(spark):
     assert all(r["kept"] == by_hand[r["doc_id"]] for r in words if r["doc_id"] is not None)
 
 
+def test_rows_that_repeat_an_id_are_cut_by_their_own_texts(spark):
+    rng = random.Random(8)
+    a, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a), (5, a), (5, c), (7, c)], "doc_id long, text string")
+    assert sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in suffix_dedup.dedup(docs).collect()) == [(1, a), (5, ""), (5, c), (7, "")]
+    assert sorted((r["doc_id"], r["kept"]) for r in debruijn.dedup(docs).collect()) == [(1, a), (5, ""), (5, c), (7, "")]
+    assert sorted((r["doc_id"], r["text"]) for r in suffix_dedup.without_repeats(docs).collect()) == [(1, a), (5, ""), (5, c), (7, "")]
+
+
+def test_words_whose_polynomials_are_equal_stay(spark):
+    x, y = thue_morse(2048)
+    lead = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{lead} {x}"), (2, f"{lead} {y}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["kept"] for r in debruijn.dedup(docs).collect()} == {1: f"{lead} {x}", 2: f"{lead} {y}"}
+    rows = {1: x, 2: y}
+    found = suffix_dedup.dedup(spark.createDataFrame([*rows.items()], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in found} == removed_bytes(rows, 100)
+
+
+def test_span_hashes_follow_content_alone():
+    rng = random.Random(4)
+    text = bytes(rng.choice(b"ab") for _ in range(400))
+    data = np.frombuffer(text * 2, np.uint8)
+    spans = byte_spans(data)
+    seen = {}
+    for _ in range(3000):
+        a = rng.randrange(700)
+        b = min(800, a + rng.randrange(8, 120))
+        if b - a >= 8:
+            h = int(spans.of(np.array([a]), np.array([b]))[0])
+            assert seen.setdefault(h, bytes(data[a:b])) == bytes(data[a:b])
+            assert int(byte_spans(data[a:b]).of(np.array([0]), np.array([b - a]))[0]) == h
+    words = b"a aa aaa aaaaaaaaa aaaaaaaaaaaaaaaaa aaaaaaaaaaaaaaaaaa a aaaaaaaaaaaaaaaaa b"
+    numbers, *_ = word_numbers(np.frombuffer(words, np.uint8), np.array([len(words)]))
+    assert len(set(numbers.tolist())) == 7 and numbers[0] == numbers[6] and numbers[4] == numbers[7]
+
+
 def test_no_rows(spark):
     assert suffix_dedup.dedup(empty_documents(spark)).count() == 0
     assert debruijn.dedup(empty_documents(spark)).count() == 0
@@ -73,15 +110,16 @@ def test_intervals_against_all_strings():
             for k in range(len(t) - least + 1):
                 places.setdefault(t[k : k + least], set()).add((d, s + k))
         expected = {p for at in places.values() for p in at if p != min(at)}
-        found = suffix_dedup.repeated_windows(texts, docs, starts, least)
-        assert set(zip(*(x.tolist() for x in found), strict=True)) == expected
+        doc, start, of, offset = suffix_dedup.repeated_windows(texts, docs, starts, least)
+        assert set(zip(doc.tolist(), start.tolist(), strict=True)) == expected
+        assert all(starts[k] + o == s and docs[k] == d for d, s, k, o in zip(doc, start, of, offset, strict=True))
 
 
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(0)
     numbers = rng.integers(0, 50, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     numbers[250:350] = numbers[50:150]
-    anchor, _, start, n = runs(numbers, np.array([200, 400]), 13, 3)
+    anchor, _, start, n = runs(Spans(numbers, 4), 400, np.array([200, 400]), 13, 3)
     of = {int(s) + k: int(a) for a, s, c in zip(anchor, start, n, strict=True) for k in range(c)}
     assert set(of) == {*range(188), *range(200, 388)}
     assert all(of[50 + k] == of[250 + k] for k in range(88))
