@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import written
+from .repeats import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         large = stars(doubled(edges), both_ways=True)
         downwards = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = written(stars(downwards, both_ways=False))
+        older, edges = edges, written(stars(downwards, both_ways=False))
+        discard(older)
         now = state(edges)
         if now == before:
             break

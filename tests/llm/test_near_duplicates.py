@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -5,7 +8,7 @@ from prismatic.llm import bagminhash
 from prismatic.llm.components import components
 from prismatic.llm.superwindows import mixed
 
-from .plain import classes, empty_documents, hard_documents
+from .plain import classes, empty_documents, hard_documents, thue_morse
 
 
 def near_copies():
@@ -33,6 +36,55 @@ def test_one_row_of_each_class_stays(spark):
     assert bagminhash.one_of_each(docs).schema == docs.schema
 
 
+def test_texts_whose_polynomials_are_equal_are_no_copies(spark):
+    x, y = thue_morse(2048)
+    rows = [(1, x), (2, y), (3, f"{x} one two three four five"), (4, f"{y} one two three four five")]
+    found = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_texts(spark):
+    a, b, c = "a text of its own kind", "another text that has a copy", "a third one"
+    docs = spark.createDataFrame([(2, b), (5, a), (5, b), (5, c), (5, c), (7, c)], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["class_id"]) for r in bagminhash.near_duplicates(docs).collect())
+    assert found == [(2, 2), (5, 2), (5, 5), (5, 5), (5, 5), (7, 5)]
+    assert sorted((r["doc_id"], r["text"]) for r in bagminhash.one_of_each(docs).collect()) == sorted([(2, b), (5, c), (5, c), (5, a)])
+
+
+def test_a_crowd_of_loosely_alike_documents(spark):
+    """Copies of one text with few to many edits, the text itself not among them, so that links are scattered."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(220)]
+    texts = []
+    for k in range(160):
+        w = list(base)
+        for place in rng.sample(range(220), 1 + k % 14):
+            w[place] = f"edit{k}x{place}"
+        texts.append(" ".join(w[: rng.choice([220, 220, 200, 160])]))
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = classes(dict(rows))
+    assert found == expected
+    assert 1 < len(set(expected.values())) < 150
+
+
+def test_rare_elements_lose_no_pair(spark):
+    """Of bags in classes of their own, all pairs that are similar enough are among those found, and few others."""
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join([*common[: rng.randrange(20, 60)], *(f"d{rng.randrange(400)}" for _ in range(rng.randrange(30)))]) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bag = bagminhash.written(bagminhash.bag_columns(docs, 5))
+    rows = bag.collect()
+    members = bag.select("bag", bag["bag"].alias("class")).distinct()
+    found = {(r["a"], r["b"]) for r in bagminhash.sharing_rare(members, bag, 0.8).collect()}
+    elements = {r["bag"]: Counter(np.frombuffer(r["hashes"], "<u4").tolist()) for r in rows}
+    alike = {(a, b) for a in elements for b in elements if a < b and (elements[a] & elements[b]).total() >= 0.8 * (elements[a] | elements[b]).total()}
+    assert alike and alike <= found
+    assert {(r["a"], r["b"]) for r in bagminhash.verified(bagminhash.sharing_rare(members, bag, 0.8), bag, 0.8).collect()} == alike
+    assert len(found) < 120 * 119 / 4
+
+
 def test_repeated_rows_and_no_rows(spark):
     rows, docs = hard_documents(spark)
     found = bagminhash.near_duplicates(docs.unionByName(docs)).collect()
