@@ -3,21 +3,25 @@
 Thirteen words in a row are an edge between two nodes of twelve words. A run of edges of a document
 that share an anchor is a path. Paths meet by anchor in one shuffle. Where all paths of an anchor are
 equal the graph doesn't branch there, and they compact to one, whose source is the first document that
-has it: the copies in later documents go whole. Where paths differ, the graph branches; those of each
+has it: the copies in later documents go whole, joined to the longest spans that their sources are
+neighbours in, too. The words at a span's source coordinates are looked up, and the span goes only if its
+own words are the same, by a digest of 128 bits. Where paths differ, the graph branches; those of each
 content's first document are taken apart again, and their edges meet by content, each with its own
 source. So only branching places are looked at edge by edge.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_slices, text_bytes
-from .repeats import RUN, by_document, list_slices, meet, merged, own_runs, run_batch, run_rows, written
-from .superwindows import Spans, runs, word_numbers
+from .repeats import DIGESTED, asked_for, by_document, claims, list_slices, meet, merged, own_runs, run_batch, run_rows, with_digests, witnessed, written
+from .superwindows import Spans, mixed, runs, word_numbers
 
 WINDOW, GRAM = 13, 5
 
@@ -31,31 +35,45 @@ def _first_document(run: Column, first: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc, start, n, content: edges that also start in a smaller document, n from each word on, and the hash of their words. docs: doc_id, text."""
+    """doc, start, n: edges that also start in a smaller document, n from each word on, with the digest of the words at their source or the hash of their own. docs: doc_id, text."""
 
     def find(data: np.ndarray, ends: np.ndarray) -> tuple:
         numbers, _, _, word_ends = word_numbers(data, ends)
         return *runs(Spans(numbers, 4), len(numbers), word_ends, window, gram), np.concatenate([[0], word_ends[:-1]])
 
     found = written(meet(run_rows(docs, find), _other_document, _first_document))
-    asked = found.where(F.col("anchor").isNotNull())
+    claimed = written(claims(found.where(F.col("anchor").isNull())))
+    wanted = asked_for(claimed, found.where(F.col("anchor").isNotNull()))
 
-    def edges(part: pa.RecordBatch) -> pa.RecordBatch:
+    def look(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = text_bytes(part.column("text"))
-        numbers, _, _, word_ends = word_numbers(data, at[1:])
+        numbers, first, last, word_ends = word_numbers(data, at[1:])
         starts = np.concatenate([[0], word_ends[:-1]])
-        offsets, (start, n) = list_slices(part.column("spans"), ("start", "n"))
+        offsets, (apart, start, n) = list_slices(part.column("spans"), ("taken_apart", "start", "n"))
         row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+        fits = starts[row] + start + n - 1 + window <= word_ends[row]  # not so only for a text that shares its id with another
+        asked = fits & apart.astype(bool)
+        ids = part.column("doc_id").to_numpy()
+        of = np.flatnonzero(fits & ~asked)
+        low = starts[row[of]] + start[of]
+        digests = ids[row[of]], start[of], n[of], [words_digest(data, first, last, a, b) for a, b in zip(low.tolist(), (low + n[of] - 1 + window).tolist(), strict=True)]
+        row, start, n = row[asked], start[asked], n[asked]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         place, doc = np.repeat(start, n) + inner, np.repeat(row, n)
-        fits = starts[doc] + place + window <= word_ends[doc]  # not so only for a text that shares its id with another
-        place, doc = place[fits], doc[fits]
-        content = Spans(numbers, 4).of(starts[doc] + place, starts[doc] + place + window)
-        return run_batch(content, content, part.column("doc_id").to_numpy()[doc], place, np.ones(len(doc), np.int64))
+        low = starts[doc] + place
+        spans = Spans(numbers, 4)
+        # Two hashes that don't follow from each other: a window is its own anchor, by another one than its content.
+        edges = run_batch(mixed(spans.of(low, low + window - 1)) ^ spans.of(low + 1, low + window), spans.of(low, low + window), ids[doc], place, np.ones(len(doc), np.int64))
+        return with_digests(edges, *digests)
+
+    seen = written(map_slices(docs.join(wanted, "doc_id"), look, DIGESTED))
+    branching = meet(seen.where(F.col("digest").isNull()).drop("digest"), _other_document, lambda run, first: F.lit(False))
+    return witnessed(claimed, seen.where(F.col("digest").isNotNull())).unionByName(branching.select("doc", "start", "n", "content", F.lit(None).cast("binary").alias("digest")))
+
 
-    with_text = docs.join(by_document(asked, "start", "n"), "doc_id")
-    branching = meet(map_slices(with_text, edges, RUN), _other_document, lambda run, first: F.lit(False))
-    return found.where(F.col("anchor").isNull()).select("doc", "start", "n", "content").unionByName(branching.select("doc", "start", "n", "content"))
+def words_digest(data: np.ndarray, first: np.ndarray, last: np.ndarray, a: int, b: int) -> bytes:
+    """A digest of the words from a to b, whatever parts them."""
+    return hashlib.blake2b(b" ".join(data[first[a] : last[b - 1]].tobytes().split()), digest_size=16).digest()
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,13 +86,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
     equal rows get equal results. Rows without id are left as they are.
     """
     texts = id_and_text(docs, id_col, text_col)
-    spans = by_document(repeated_spans(texts, window, gram), "start", "n", "content")
+    spans = by_document(repeated_spans(texts, window, gram), "start", "n", "content", "digest")
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = text_bytes(part.column("text"))
         numbers, first, last, word_ends = word_numbers(data, at[1:])
         starts = np.concatenate([[0], word_ends[:-1]])
-        offsets, start, n = own_runs(Spans(numbers, 4), starts, word_ends, part.column("spans"), window)
+        offsets, start, n = own_runs(Spans(numbers, 4), starts, word_ends, part.column("spans"), window, lambda a, b: words_digest(data, first, last, a, b))
         kept, found = [], []
         for k, (i, j) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
             a, size = starts[k], int(word_ends[k] - starts[k])

@@ -23,6 +23,7 @@ from .superwindows import Spans, signed
 #: Bytes of text in a slice; the hashes of a slice take some eighty bytes a byte.
 RUN_BYTES = 1 << 20
 RUN = "anchor long, content long, doc long, start int, n int, more array<struct<doc:long,start:int>>"
+DIGESTED = f"{RUN}, digest binary"
 MORE = pa.list_(pa.struct([("doc", pa.int64()), ("start", pa.int32())]))
 
 
@@ -42,10 +43,10 @@ def run_batch(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: n
 
 
 def meet(runs: DataFrame, removed: Callable[[Column, Column], Column], asked: Callable[[Column, Column], Column]) -> DataFrame:
-    """Rows (anchor, crowd, doc, start, n, content) of the runs that share an anchor with others.
+    """Rows (anchor, crowd, doc, start, n, content, source, source_start) of the runs that share an anchor with others.
 
-    removed(run, first) tells for a run, a struct of doc and start, and the first run of its content
-    whether all its windows go; these rows have no anchor. asked(run, first) tells whether a run stands
+    removed(run, first) tells for a run, a struct of doc and start, and the first run of its content,
+    its source, whether all its windows go; these rows have no anchor. asked(run, first) tells whether a run stands
     for its content where contents differ; these rows have the anchor and the number of rows (crowd)
     that met there.
     """
@@ -58,7 +59,31 @@ def meet(runs: DataFrame, removed: Callable[[Column, Column], Column], asked: Ca
     rows = rows.select("anchor", "content", "crowd", "first", (F.col("low") != F.col("high")).alias("mixed"), "n", each.alias("run"))
     goes = removed(F.col("run"), F.col("first"))
     rows = rows.where(goes | (F.col("mixed") & asked(F.col("run"), F.col("first"))))
-    return rows.select(F.when(~goes, F.col("anchor")).alias("anchor"), "crowd", F.col("run.doc").alias("doc"), F.col("run.start").alias("start"), "n", "content")
+    return rows.select(F.when(~goes, F.col("anchor")).alias("anchor"), "crowd", F.col("run.doc").alias("doc"), F.col("run.start").alias("start"), "n", "content", F.col("first.doc").alias("source"), F.col("first.start").alias("source_start"))
+
+
+CLAIM = ("source", "source_start", "n")
+
+
+def claims(gone: DataFrame) -> DataFrame:
+    """doc, start, n, source, source_start: neighbouring runs that go, as one wherever their sources are neighbours too."""
+    by_start = Window.partitionBy("doc").orderBy("start", "content")
+    before = F.lag(F.struct(F.col("source").alias("source"), (F.col("source_start") + F.col("n")).alias("source_start"), (F.col("start") + F.col("n")).alias("start"))).over(by_start)
+    goes_on = before == F.struct("source", "source_start", "start")
+    islands = gone.withColumn("lead", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("lead").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = islands.groupBy("doc", "island").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("source").alias("source"), F.min("source_start").alias("source_start"))
+    return joined.drop("island")
+
+
+def sources(claimed: DataFrame) -> DataFrame:
+    """doc, start, n: the places that claims name as their sources, each once."""
+    return claimed.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "n").distinct()
+
+
+def witnessed(claimed: DataFrame, digests: DataFrame) -> DataFrame:
+    """The claims with the digest of what stands at their source. digests: doc, start, n, digest."""
+    seen = digests.select(F.col("doc").alias("source"), F.col("start").alias("source_start"), "n", "digest")
+    return claimed.join(seen, [*CLAIM]).select("doc", "start", "n", F.lit(0).cast("long").alias("content"), "digest")
 
 
 def written(frame: DataFrame) -> DataFrame:
@@ -102,21 +127,39 @@ def list_slices(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray,
     return np.concatenate([[0], np.cumsum(counts)]), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
 
 
-def own_runs(spans: Spans, begin: np.ndarray, end: np.ndarray, column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def own_runs(spans: Spans, begin: np.ndarray, end: np.ndarray, column: pa.Array, window: int, digest: Callable[[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets, starts and numbers of windows of the runs in a column of lists, by text.
 
-    Only those whose content stands there in the text (from begin to end of the units): where texts
+    Only those that the text (from begin to end of the units) holds: what stands there must have the
+    digest of what stands at the run's source, or the content that the run was found by. Where texts
     share an id, each has the runs of all of them in its list.
     """
-    offsets, (start, n, content) = list_slices(column, ("start", "n", "content"))
+    offsets, (start, n, content, seen) = list_slices(column, ("start", "n", "content", "digest"))
     start, n = start.astype(np.int64), n.astype(np.int64)
     of = np.repeat(np.arange(len(column)), np.diff(offsets))
     low, high = begin[of] + start, begin[of] + start + n - 1 + window
     stands = high <= end[of]
-    stands[stands] = spans.of(low[stands], high[stands]) == content[stands].astype(np.int64).view(np.uint64)
+    claimed = np.array([x is not None for x in seen], bool)
+    stands[claimed] = np.array([stands[k] and digest(int(low[k]), int(high[k])) == seen[k] for k in np.flatnonzero(claimed)], bool)
+    found = np.flatnonzero(stands & ~claimed)
+    stands[found] = spans.of(low[found], high[found]) == content[found].astype(np.int64).view(np.uint64)
     return np.concatenate([[0], np.cumsum(np.bincount(of[stands], minlength=len(column)))]), start[stands], n[stands]
 
 
+def asked_for(claimed: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id and spans, what is wanted of its text: the digest of each source, and runs to be taken apart."""
+    digests = sources(claimed).select(F.lit(False).alias("taken_apart"), F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("crowd"), "doc", "start", "n")
+    return by_document(digests.unionByName(asked.select(F.lit(True).alias("taken_apart"), "anchor", "crowd", "doc", "start", "n")), "taken_apart", "anchor", "crowd", "start", "n")
+
+
+def with_digests(rows: pa.RecordBatch, doc: np.ndarray, start: np.ndarray, n: np.ndarray, digests: list[bytes]) -> pa.RecordBatch:
+    """The rows, then those of digests, which have nothing in the other columns."""
+    own = {"doc": pa.array(doc), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "digest": pa.array(digests, pa.binary())}
+    columns = [pa.concat_arrays([rows.column(f.name), own.get(f.name, pa.nulls(len(doc), f.type))]) for f in rows.schema]
+    columns.append(pa.concat_arrays([pa.nulls(rows.num_rows, pa.binary()), own["digest"]]))
+    return pa.RecordBatch.from_arrays(columns, [*rows.schema.names, "digest"])
+
+
 def run_rows(docs: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
     """Runs of all documents with an id; find(bytes, ends) gives anchor, content, start, n and where each document's units start."""
 

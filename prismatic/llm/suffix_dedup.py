@@ -1,7 +1,8 @@
 """Suffix-array dedup: repeated byte strings of a minimum length go, but for their first place.
 
 Runs of windows (strings of the minimum length) that share an anchor meet in one shuffle. Runs of one
-content need no more: all but the first go. Where contents differ, one run of each is fetched from
+content need no more: all but the first go, if the bytes at their source have the same digest as their
+own. Where contents differ, one run of each is fetched from
 its document, and blocks of such runs are resolved by threshold-bounded interval expansion: on the
 Burrows-Wheeler transform of a block, breadth-first backward extension of intervals finds the common
 prefixes of neighbouring suffixes by increasing value and stops at the minimum length. Suffixes with
@@ -11,6 +12,9 @@ with more runs than a block should hold is resolved by its single windows instea
 
 from __future__ import annotations
 
+import hashlib
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_slices, text_bytes
-from .repeats import RUN, by_document, list_slices, meet, merged, own_runs, run_batch, run_rows, written
+from .repeats import RUN, asked_for, by_document, claims, list_slices, meet, merged, own_runs, run_batch, run_rows, witnessed, written
 from .superwindows import byte_spans, runs
 
 MINIMUM, GRAM = 100, 24
@@ -124,28 +128,31 @@ def _first(run: Column, first: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, block_runs: int = BLOCK_RUNS, most_runs: int = MOST_RUNS) -> DataFrame:
-    """doc, start, n, content: strings of the minimum length that also start earlier, n from each start on, and the hash of their bytes. docs: doc_id, text."""
+    """doc, start, n: strings of the minimum length that also start earlier, n from each start on, with the digest of the bytes at their source or the hash of their own. docs: doc_id, text."""
 
     def find(data: np.ndarray, ends: np.ndarray) -> tuple:
         return *runs(byte_spans(data), len(data), ends, minimum, gram), np.concatenate([[0], ends[:-1]])
 
     found = written(meet(run_rows(docs, find), _later, _first))
-    whole = found.where(F.col("anchor").isNull()).select("doc", "start", "n", "content")
+    claimed = written(claims(found.where(F.col("anchor").isNull())))
     asked = found.where(F.col("anchor").isNotNull())
 
     def fetch(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = text_bytes(part.column("text"))
         raw, ends = data.tobytes(), at
-        offsets, (anchor, crowd, start, n) = list_slices(part.column("spans"), ("anchor", "crowd", "start", "n"))
+        offsets, (apart, anchor, crowd, start, n) = list_slices(part.column("spans"), ("taken_apart", "anchor", "crowd", "start", "n"))
         row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
         begin = ends[row] + start
         stop = np.minimum(begin + n - 1 + minimum, ends[row + 1])
-        texts = [raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
-        doc = part.column("doc_id").to_numpy()[row]
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(crowd), pa.array(doc), pa.array(start), pa.array(texts, pa.binary())], ["anchor", "crowd", "doc", "start", "bytes"])
-
-    with_text = docs.join(by_document(asked, "anchor", "crowd", "start", "n"), "doc_id")
-    contexts = map_slices(with_text, fetch, "anchor long, crowd long, doc long, start int, bytes binary")
+        doc, apart = part.column("doc_id").to_numpy()[row], apart.astype(bool)
+        texts = [raw[a:b] if whole else None for a, b, whole in zip(begin.tolist(), stop.tolist(), apart.tolist(), strict=True)]
+        digests = [None if whole else bytes_digest(raw, a, b) for a, b, whole in zip(begin.tolist(), stop.tolist(), apart.tolist(), strict=True)]
+        columns = [pa.array(anchor), pa.array(crowd), pa.array(doc), pa.array(start), pa.array(n), pa.array(texts, pa.binary()), pa.array(digests, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["anchor", "crowd", "doc", "start", "n", "bytes", "digest"])
+
+    seen = written(map_slices(docs.join(asked_for(claimed, asked), "doc_id"), fetch, "anchor long, crowd long, doc long, start int, n int, bytes binary, digest binary"))
+    whole = witnessed(claimed, seen.where(F.col("digest").isNotNull()))
+    contexts = seen.where(F.col("digest").isNull()).select("anchor", "crowd", "doc", "start", "bytes")
     blocks = max(1, -(-asked.count() // block_runs))
 
     def expand(frame: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +175,11 @@ def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, bl
 
     many = contexts.where(F.col("crowd") > most_runs).mapInArrow(windows, RUN)
     by_windows = meet(many, _later, lambda run, first: F.lit(False)).select("doc", "start", "n", "content")
-    return whole.unionByName(by_blocks).unionByName(by_windows)
+    return whole.unionByName(by_blocks.unionByName(by_windows).withColumn("digest", F.lit(None).cast("binary")))
+
+
+def bytes_digest(raw: bytes, a: int, b: int) -> bytes:
+    return hashlib.blake2b(memoryview(raw)[a:b], digest_size=16).digest()
 
 
 def in_rows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, of: np.ndarray, offset: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -196,11 +207,11 @@ def dedup(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_id", text_
     as they are.
     """
     texts = id_and_text(docs, id_col, text_col)
-    spans = by_document(repeated_spans(texts, minimum, **sizes), "start", "n", "content")
+    spans = by_document(repeated_spans(texts, minimum, **sizes), "start", "n", "content", "digest")
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = text_bytes(part.column("text"))
-        offsets, start, n = own_runs(byte_spans(data), at[:-1], at[1:], part.column("spans"), minimum)
+        offsets, start, n = own_runs(byte_spans(data), at[:-1], at[1:], part.column("spans"), minimum, partial(bytes_digest, data.tobytes()))
         kept, found = [], []
         for k, (a, b, i, j) in enumerate(zip(at[:-1], at[1:], offsets[:-1], offsets[1:], strict=True)):
             text = data[a:b]
@@ -224,14 +235,14 @@ def without_repeats(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_
     Characters of which only some bytes would go stay whole. The column of text lengths, if there is
     one, follows. Texts that go altogether are empty ones then; null texts stay null.
     """
-    spans = by_document(repeated_spans(id_and_text(docs, id_col, text_col), minimum, **sizes), "start", "n", "content")
+    spans = by_document(repeated_spans(id_and_text(docs, id_col, text_col), minimum, **sizes), "start", "n", "content", "digest")
     spans = spans.select(F.col("doc_id").alias("_span_doc"), F.col("spans").alias("_spans"))
     kind = docs.schema
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         column = part.column(text_col)
         data, at = text_bytes(column)
-        offsets, start, n = own_runs(byte_spans(data), at[:-1], at[1:], part.column("_spans"), minimum)
+        offsets, start, n = own_runs(byte_spans(data), at[:-1], at[1:], part.column("_spans"), minimum, partial(bytes_digest, data.tobytes()))
         texts = column.to_pylist()
         for k in np.flatnonzero(np.diff(offsets)):
             i, j = offsets[k], offsets[k + 1]

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prismatic.llm import debruijn, suffix_dedup
+from prismatic.llm.repeats import own_runs
 from prismatic.llm.superwindows import Spans, byte_spans, runs, sliding_least, word_numbers
 
 from .plain import empty_documents, hard_documents, removed_bytes, removed_words, thue_morse
@@ -129,3 +131,15 @@ def test_sliding_least():
     x = np.random.default_rng(2).permutation(100)
     for w in (1, 2, 7, 64, 100):
         assert (sliding_least(x, w) == [x[k : k + w].min() for k in range(101 - w)]).all()
+
+
+def test_a_run_goes_only_if_its_text_has_what_stands_at_the_source():
+    text = b"x" * 50 + bytes(range(200)) + b"y" * 50
+    spans, ends = byte_spans(np.frombuffer(text * 2, np.uint8)), np.array([300, 600])
+    good = int(spans.of(np.array([60]), np.array([170]))[0].view(np.int64))
+    digest = lambda a, b: (text * 2)[a:b]
+    run = lambda start, content, seen: {"start": start, "n": 11, "content": content, "digest": seen}
+    lists = [[run(60, 0, text[60:170]), run(61, 0, text[60:170]), run(250, 0, text[250:])], [run(60, good, None), run(61, good, None), run(200, good, None)]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("content", pa.int64()), ("digest", pa.binary())]))
+    offsets, start, n = own_runs(spans, ends - 300, ends, pa.array(lists, kind), 100, digest)
+    assert (offsets.tolist(), start.tolist(), n.tolist()) == ([0, 1, 2], [60, 60], [11, 11])
