@@ -92,7 +92,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
         data, at = text_bytes(part.column("text"))
         numbers, first, last, word_ends = word_numbers(data, at[1:])
         starts = np.concatenate([[0], word_ends[:-1]])
-        offsets, start, n = own_runs(Spans(numbers, 4), starts, word_ends, part.column("spans"), window, lambda a, b: words_digest(data, first, last, a, b))
+        offsets, start, n = own_runs(lambda: Spans(numbers, 4), starts, word_ends, part.column("spans"), window, lambda a, b: words_digest(data, first, last, a, b))
         kept, found = [], []
         for k, (i, j) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
             a, size = starts[k], int(word_ends[k] - starts[k])

@@ -127,7 +127,7 @@ def list_slices(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray,
     return np.concatenate([[0], np.cumsum(counts)]), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
 
 
-def own_runs(spans: Spans, begin: np.ndarray, end: np.ndarray, column: pa.Array, window: int, digest: Callable[[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def own_runs(spans: Callable[[], Spans], begin: np.ndarray, end: np.ndarray, column: pa.Array, window: int, digest: Callable[[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets, starts and numbers of windows of the runs in a column of lists, by text.
 
     Only those that the text (from begin to end of the units) holds: what stands there must have the
@@ -142,7 +142,8 @@ def own_runs(spans: Spans, begin: np.ndarray, end: np.ndarray, column: pa.Array,
     claimed = np.array([x is not None for x in seen], bool)
     stands[claimed] = np.array([stands[k] and digest(int(low[k]), int(high[k])) == seen[k] for k in np.flatnonzero(claimed)], bool)
     found = np.flatnonzero(stands & ~claimed)
-    stands[found] = spans.of(low[found], high[found]) == content[found].astype(np.int64).view(np.uint64)
+    if len(found):
+        stands[found] = spans().of(low[found], high[found]) == content[found].astype(np.int64).view(np.uint64)
     return np.concatenate([[0], np.cumsum(np.bincount(of[stands], minlength=len(column)))]), start[stands], n[stands]
 
 

@@ -39,7 +39,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         key[: n - k] |= text[k:]
     known = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.zeros(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[False], sorted_key[1:] != sorted_key[:-1]]))
@@ -61,29 +61,28 @@ def borders(text: np.ndarray, order: np.ndarray, place: np.ndarray, depth: int)
     are not followed. No interval is extended over a parting symbol.
     """
     n = len(text)
-    bwt = text[order - 1]
-    forward = place[order - 1]  # the row of the suffix one symbol longer
-    back = np.empty(n, np.int64)
-    back[forward] = np.arange(n)
-    first_symbol = text[order]
+    precedes = (text != 0)[order - 1]
+    forward = place[order - 1].astype(np.int32)  # the row of the suffix one symbol longer
+    back = np.empty(n, np.int32)
+    back[forward] = np.arange(n, dtype=np.int32)
+    # What is before and after a row that begins with the same symbol, one symbol shorter.
+    alike = text[order][1:] == text[order][:-1]
+    above, below = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    above[1:][alike] = back[:-1][alike]
+    below[:-1][alike] = back[1:][alike]
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n - 1)
+    low, high = np.zeros(1, np.int32), np.full(1, n - 1, np.int32)
     for level in range(depth):
         sizes = high - low + 1
-        rows = np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        total = int(sizes.sum(dtype=np.int64))
+        rows = np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32), sizes) + np.arange(total, dtype=np.int32)
         a, b = np.repeat(low, sizes), np.repeat(high, sizes)
-        if level:
-            keep = bwt[rows] != 0
+        if level and not (keep := precedes[rows]).all():
             rows, a, b = rows[keep], a[keep], b[keep]
         to = forward[rows]
-
-        def with_neighbour(step: int, to=to, a=a, b=b) -> np.ndarray:
-            other = np.clip(to + step, 0, n - 1)
-            came = back[other]
-            return (other != to) & (first_symbol[other] == first_symbol[to]) & (came >= a) & (came <= b)
-
-        starts, ends = np.sort(to[~with_neighbour(-1)]), np.sort(to[~with_neighbour(1)])
+        x, y = above[to], below[to]
+        starts, ends = np.sort(to[(x < a) | (x > b)]), np.sort(to[(y < a) | (y > b)])
         new = ~known[ends + 1]
         low, high = starts[new], ends[new]
         known[high + 1] = True
@@ -103,20 +102,20 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, m
     text[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
     order, place = suffix_ranks(text, minimum)
     border = borders(text, order, place, minimum)
-    of = np.searchsorted(ends, order, side="left")
-    of = np.minimum(of, len(texts) - 1)
+    of = np.concatenate([[0], np.repeat(np.arange(len(texts)), sizes + 1)])[order]
     offset = order - (ends[of] - sizes[of])
     valid = (offset >= 0) & (offset + minimum <= sizes[of])
     group = np.cumsum(border)[valid]
     of, offset = of[valid], offset[valid]
-    doc, start = docs[of], starts[of] + offset
-    by = np.lexsort((start, doc, group))
-    group, doc, start, of, offset = group[by], doc[by], start[by], of[by], offset[by]
-    lead = np.ones(len(group), bool)
-    lead[1:] = group[1:] != group[:-1]
-    first = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-    later = (doc != doc[first]) | (start != start[first])
-    return doc[later], start[later], of[later], offset[later]
+    if not len(of):
+        return (np.zeros(0, np.int64),) * 4
+    # Places as numbers in their order.
+    place = (np.unique(docs, return_inverse=True)[1][of] << 32) | (starts[of] + offset)
+    lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    first = np.repeat(np.minimum.reduceat(place, lead), np.diff(np.concatenate([lead, [len(group)]])))
+    later = place != first
+    of, offset = of[later], offset[later]
+    return docs[of], starts[of] + offset, of, offset
 
 
 def _later(run: Column, first: Column) -> Column:
@@ -128,7 +127,7 @@ def _first(run: Column, first: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, block_runs: int = BLOCK_RUNS, most_runs: int = MOST_RUNS) -> DataFrame:
-    """doc, start, n: strings of the minimum length that also start earlier, n from each start on, with the digest of the bytes at their source or the hash of their own. docs: doc_id, text."""
+    """doc, start, n: strings of the minimum length that also start earlier, n from each start on, with the digest of the bytes at their source (or their own, if those were compared) or the hash of their own. docs: doc_id, text."""
 
     def find(data: np.ndarray, ends: np.ndarray) -> tuple:
         return *runs(byte_spans(data), len(data), ends, minimum, gram), np.concatenate([[0], ends[:-1]])
@@ -158,10 +157,10 @@ def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, bl
     def expand(frame: pd.DataFrame) -> pd.DataFrame:
         texts = frame["bytes"].tolist()
         doc, start, of, offset = repeated_windows(texts, frame["doc"].to_numpy(), frame["start"].to_numpy(np.int64), minimum)
-        return pd.DataFrame(dict(zip(("doc", "start", "n", "content"), in_rows(texts, doc, start, of, offset, minimum), strict=True)))
+        return pd.DataFrame(dict(zip(("doc", "start", "n", "digest"), in_rows(texts, doc, start, of, offset, minimum), strict=True)))
 
     few = contexts.where(F.col("crowd") <= most_runs).withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
-    by_blocks = few.groupBy("block").applyInPandas(expand, "doc long, start int, n int, content long")
+    by_blocks = few.groupBy("block").applyInPandas(expand, "doc long, start int, n int, digest binary").withColumn("content", F.lit(0).cast("long"))
 
     def windows(batches):
         for part in batches:
@@ -175,25 +174,23 @@ def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, bl
 
     many = contexts.where(F.col("crowd") > most_runs).mapInArrow(windows, RUN)
     by_windows = meet(many, _later, lambda run, first: F.lit(False)).select("doc", "start", "n", "content")
-    return whole.unionByName(by_blocks.unionByName(by_windows).withColumn("digest", F.lit(None).cast("binary")))
+    return whole.unionByName(by_blocks).unionByName(by_windows.withColumn("digest", F.lit(None).cast("binary")))
 
 
 def bytes_digest(raw: bytes, a: int, b: int) -> bytes:
     return hashlib.blake2b(memoryview(raw)[a:b], digest_size=16).digest()
 
 
-def in_rows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, of: np.ndarray, offset: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring starts in one text as doc, first start, how many, and the hash of their bytes."""
+def in_rows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, of: np.ndarray, offset: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Neighbouring starts in one text as doc, first start, how many, and the digest of their bytes."""
     by = np.lexsort((offset, of))
     doc, start, of, offset = doc[by], start[by], of[by], offset[by]
     lead = np.ones(len(doc), bool)
     lead[1:] = (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)
     at = np.flatnonzero(lead)
     n = np.diff(np.concatenate([at, [len(doc)]]))
-    sizes = np.array([len(t) for t in texts], np.int64)
-    begin = (np.cumsum(sizes) - sizes)[of[at]] + offset[at]
-    content = byte_spans(np.frombuffer(b"".join(texts), np.uint8)).of(begin, begin + n - 1 + minimum)
-    return doc[at], start[at].astype(np.int32), n.astype(np.int32), content.view(np.int64)
+    digests = [bytes_digest(texts[k], a, a + m - 1 + minimum) for k, a, m in zip(of[at].tolist(), offset[at].tolist(), n.tolist(), strict=True)]
+    return doc[at], start[at].astype(np.int32), n.astype(np.int32), digests
 
 
 def dedup(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
@@ -211,7 +208,7 @@ def dedup(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_id", text_
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = text_bytes(part.column("text"))
-        offsets, start, n = own_runs(byte_spans(data), at[:-1], at[1:], part.column("spans"), minimum, partial(bytes_digest, data.tobytes()))
+        offsets, start, n = own_runs(lambda: byte_spans(data), at[:-1], at[1:], part.column("spans"), minimum, partial(bytes_digest, data.tobytes()))
         kept, found = [], []
         for k, (a, b, i, j) in enumerate(zip(at[:-1], at[1:], offsets[:-1], offsets[1:], strict=True)):
             text = data[a:b]
@@ -242,7 +239,7 @@ def without_repeats(docs: DataFrame, minimum: int = MINIMUM, id_col: str = "doc_
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         column = part.column(text_col)
         data, at = text_bytes(column)
-        offsets, start, n = own_runs(byte_spans(data), at[:-1], at[1:], part.column("_spans"), minimum, partial(bytes_digest, data.tobytes()))
+        offsets, start, n = own_runs(lambda: byte_spans(data), at[:-1], at[1:], part.column("_spans"), minimum, partial(bytes_digest, data.tobytes()))
         texts = column.to_pylist()
         for k in np.flatnonzero(np.diff(offsets)):
             i, j = offsets[k], offsets[k + 1]

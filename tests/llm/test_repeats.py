@@ -141,5 +141,5 @@ def test_a_run_goes_only_if_its_text_has_what_stands_at_the_source():
     run = lambda start, content, seen: {"start": start, "n": 11, "content": content, "digest": seen}
     lists = [[run(60, 0, text[60:170]), run(61, 0, text[60:170]), run(250, 0, text[250:])], [run(60, good, None), run(61, good, None), run(200, good, None)]]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("content", pa.int64()), ("digest", pa.binary())]))
-    offsets, start, n = own_runs(spans, ends - 300, ends, pa.array(lists, kind), 100, digest)
+    offsets, start, n = own_runs(lambda: spans, ends - 300, ends, pa.array(lists, kind), 100, digest)
     assert (offsets.tolist(), start.tolist(), n.tolist()) == ([0, 1, 2], [60, 60], [11, 11])
