@@ -35,6 +35,8 @@ END = "</w>"
 NONE = np.int64(-1)
 #: Words that a task remembers, and slots of its transition table.
 MEMORY_WORDS, TRANSITION_SLOTS = 250_000, 1 << 20
+#: Bytes from which on a word is walked by itself, a letter at a time.
+LONG_WORD = 256
 
 
 def byte_letters() -> list[str]:
@@ -124,7 +126,9 @@ class MergeAutomaton:
             (at_end if ends else inside)[node] = n
         self.inside, self.at_end = np.array(inside), np.array(at_end)
         self.step = Table(np.fromiter(step.keys(), np.int64, len(step)), np.fromiter(step.values(), np.int64, len(step)))
+        self.steps = step
         self.transitions = np.full(TRANSITION_SLOTS, NONE)
+        self.arc_of: dict[int, bool] = {}
 
     def allowed(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether the state after `first` still has an arc `second`."""
@@ -163,6 +167,9 @@ class MergeAutomaton:
         lengths = np.array([len(w) for w in words], np.int64)
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
+        for i in order[lengths[order] >= LONG_WORD].tolist():
+            out[i] = np.array(self._walk_long(words[i]), "<i4").tobytes()
+        order = order[lengths[order] < LONG_WORD]
         first = 0
         while first < len(order):  # words of like length go together
             least = int(lengths[order[first]])
@@ -180,6 +187,36 @@ class MergeAutomaton:
             first = last
         return out
 
+    def _arc(self, first: int, second: int) -> bool:
+        key = first * self.size + second
+        if (found := self.arc_of.get(key)) is None:
+            if len(self.arc_of) >= TRANSITION_SLOTS:
+                self.arc_of.clear()
+            found = self.arc_of[key] = bool(self.arcs(np.array([first]), np.array([second]))[0])
+        return found
+
+    def _walk_long(self, word: bytes) -> list[int]:
+        """The ids of one word: its lattice again, with as many steps as it has letters, times the length of the longest entry at most."""
+        steps, inside, at_end, size = self.steps, self.inside.tolist(), self.at_end.tolist(), len(word)
+        last, came, going = [-1] * (size + 1), [0] * (size + 1), []
+        for j, byte in enumerate(word, 1):
+            going.append((j - 1, 0))
+            still, free = [], True
+            ids = at_end if j == size else inside
+            for i, node in going:
+                node = steps.get(node * 256 + byte)
+                if node is None:
+                    continue
+                still.append((i, node))
+                if free and ids[node] >= 0 and (not i or self._arc(last[i], ids[node])):
+                    last[j], came[j], free = ids[node], i, False
+            going = still
+        found, at = [], size
+        while at:
+            found.append(last[at])
+            at = came[at]
+        return found[::-1]
+
     def _walk(self, text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A word a row, shortest first. The last token of each prefix, then the way back along the lattice. All ids, and where each row's end."""
         n, size = text.shape
@@ -249,9 +286,11 @@ def automaton(path: str) -> MergeAutomaton:
     return MergeAutomaton(path)
 
 
-#: Letters and numerals below U+0250; in texts of these, ASCII signs and U+00A1 to U+024F but for U+0130, the library's normal form is the lower case.
+#: Letters and numerals below U+0250.
 LETTERS, NUMERALS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u012f\u0131-\u024f]*")
+#: Characters whose lower case is one of them, too. In texts of these the library's normal form is the lower case.
+PLAIN_ONES = "".join(c for c in map(chr, [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)]) if len(c.lower()) == 1 and ord(c.lower()) < 0x250)
+PLAIN = re.compile(f"[{re.escape(PLAIN_ONES)}]*")
 PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMERALS}]|[^\\s{LETTERS}{NUMERALS}]+")
 
 
@@ -310,7 +349,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """doc_id, ids array<int>, decoded string for every row of docs; one task-local pass, no shuffle.
 
     A null or empty text has no ids and decodes to an empty text. A special string in a text is one
-    id, as the vocabulary defines it. Repeated ids stay repeated rows; extra columns are not read.
+    id, as the vocabulary defines it. Repeated rows and rows without id stay; extra columns are not read.
     """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:

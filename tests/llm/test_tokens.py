@@ -47,6 +47,23 @@ def test_any_text_encodes_as_in_the_library(text):
     assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_letter_beside_others(library):
+    texts = [t for c in map(chr, [*range(1, 0x250), *range(0x250, 0x3100, 7), 0x1E9E, 0x2126, 0x212A, 0xFB01]) for t in (f"b{c}1", f"{c}b", f"'{c}", f"'s{c} {c}")]
+    for text, ids in zip(texts, bpe.encoder(WORD).encode(texts)[0], strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_long_words(library):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in (255, 256, 257, 3000, 20_000)] + ["ab" * 2000, "é" * 900, "x" * 5000]
+    tool = bpe.automaton(WORD)
+    for word in words:
+        ids = np.frombuffer(bpe.encoder(WORD).encode([word])[0][0], "<i4").tolist()
+        assert ids == library.encode(word, add_special_tokens=False).ids
+    rows = [w.encode() for w in words[:3]]
+    assert [tool._walk_long(w) for w in rows] == [tool._walk(np.frombuffer(w, np.uint8).astype(np.int64)[None], np.array([len(w)]))[0].tolist() for w in rows]
+
+
 def merged_in_order(word, merges):
     parts = list(word)
     for u, v in merges:
