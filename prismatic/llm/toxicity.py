@@ -7,8 +7,8 @@ whole words or beginnings of words. All are found in one pass; an entry inside a
 summed weight and the same per thousand words enter a logistic curve.
 
 Weights are log odds, learned with the curve from labelled rows; hand-written words keep their own
-weight until the labels show enough of them. The model is of fixed size: at most MOST_ENTRIES entries,
-from at most SAMPLE_ROWS labelled rows, which a hash picks where there are more.
+weight until the labels show enough of them. At most SAMPLE_ROWS labelled rows are learned from, which a
+hash picks where there are more; so the model stays small, whatever the corpus's size.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_slices
+from .repeats import written
 
-SAMPLE_ROWS, MOST_ENTRIES, LEAST_LOG_ODDS, HAND_WEIGHT = 20_000, 512, 2.5, 5.0
+SAMPLE_ROWS, LEAST_LOG_ODDS, HAND_WEIGHT = 20_000, 2.5, 5.0
 #: Lengths of the word beginnings that may become entries.
 BEGINNINGS = (4, 5, 6)
 
@@ -103,8 +104,8 @@ class Matcher:
             elif weight > best.get(start, 0.0):
                 best[start] = weight
         for a, b in exempt:
-            for start in [s for s in best if a <= s < b]:
-                del best[start]
+            for start in range(a, b):
+                best.pop(start, None)
         return math.fsum(best.values()), len(folded.split()) if best else 0
 
 
@@ -130,47 +131,49 @@ def features(text: str) -> set[str]:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the labelled rows that are not held out. Without any it is the hand-written words and a fixed curve.
 
-    Null labels, labels of no document and documents without label are not learned from.
+    Null labels, labels of no document and documents without label are not learned from. Of labels that
+    repeat an id the highest counts, of documents that do the one whose text sorts first; equal texts of
+    one label count once. So the model doesn't depend on how rows are dealt.
     """
     labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     labelled = labelled.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    rows = written(rows.select("text", (F.col("label") > 0).alias("toxic")).distinct())
+    total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    weights = {f" {w} ": HAND_WEIGHT for w in WORDS}
+    if len(total) < 2:
+        return Model(tuple(sorted(weights.items())), (-6.0, 2.0, 1.0))
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
         found = (Counter(), Counter())
-        for text, label in {(t, label) for t, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True)}:
-            found[label > 0].update(features(text))
-            found[label > 0][""] += 1
+        for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+            found[toxic].update(features(text))
         keys = list(found[0] | found[1])
         return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array([c[k] for k in keys], pa.int64()) for c in found)], ["entry", "clean", "toxic"])
 
     counted = map_slices(rows, count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    total = counted.where(F.col("entry") == "").first()
-    weights = {f" {w} ": HAND_WEIGHT for w in WORDS}
-    if total and total["clean"] and total["toxic"]:
-        odds = F.log((F.col("toxic") + 0.5) / (total["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (total["clean"] + 1))
-        least = max(4, math.ceil(0.005 * total["toxic"]))
-        seen = counted.where(F.col("entry").isin([*weights]) & (F.col("clean") + F.col("toxic") >= 5) & (odds < LEAST_LOG_ODDS)).select("entry").collect()
-        for row in seen:
-            del weights[row["entry"]]
-        strong = counted.where((F.col("entry") != "") & (F.col("toxic") >= least)).withColumn("weight", odds).where(F.col("weight") >= LEAST_LOG_ODDS)
-        found = strong.orderBy(F.desc(F.col("weight") * F.col("toxic")), "entry").limit(4 * MOST_ENTRIES).collect()
-        for row in sorted(found, key=lambda r: (-r["weight"] * r["toxic"], r["entry"])):
-            begins = (weights.get(row["entry"].rstrip()[: n + 1], 0.0) for n in BEGINNINGS if n + 1 < len(row["entry"]))
-            if len(weights) < MOST_ENTRIES and max(begins, default=0.0) < row["weight"] - 0.5:
-                weights[row["entry"]] = max(row["weight"], weights.get(row["entry"], 0.0))
+    least = max(4, math.ceil(0.005 * total[True]))
+    strong = (F.col("toxic") >= least) & (F.log((F.col("toxic") + 0.5) / (total[True] + 1)) - F.log((F.col("clean") + 0.5) / (total[False] + 1)) >= LEAST_LOG_ODDS)
+    # Few come back: an entry needs `least` of the sample's toxic rows, each of which has no more entries than its words have beginnings.
+    found = {r["entry"]: (r["clean"], r["toxic"]) for r in counted.where(strong | F.col("entry").isin([*weights])).collect()}
+    odds = {e: math.log((toxic + 0.5) / (total[True] + 1)) - math.log((clean + 0.5) / (total[False] + 1)) for e, (clean, toxic) in found.items()}
+    for entry in weights.keys() & found.keys():
+        if sum(found[entry]) >= 5 and odds[entry] < LEAST_LOG_ODDS:
+            del weights[entry]
+    for entry in sorted((e for e in found if found[e][1] >= least and odds[e] >= LEAST_LOG_ODDS), key=lambda e: (-round(odds[e] * found[e][1], 6), e)):
+        begins = (weights.get(entry.rstrip()[: n + 1], 0.0) for n in BEGINNINGS if n + 1 < len(entry))
+        if max(begins, default=0.0) < odds[entry] - 0.5:
+            weights[entry] = max(odds[entry], weights.get(entry, 0.0))
     model = Model(tuple(sorted(weights.items())), (-6.0, 2.0, 1.0))
-    if not total or not total["clean"] or not total["toxic"]:
-        return model
 
     def weigh(part: pa.RecordBatch) -> pa.RecordBatch:
         found = [matcher(model).evidence(t) for t in part.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([part.column("label"), *(pa.array(x, pa.float64()) for x in zip(*found, strict=True))], ["label", "total", "words"])
+        return pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(x, pa.float64()) for x in zip(*found, strict=True))], ["toxic", "total", "words"])
 
     # Of fixed size: no more than the sample's rows.
-    table = map_slices(rows, weigh, "label int, total double, words double").toPandas().sort_values(["label", "total", "words"])
-    return Model(model.entries, _fitted(measures(table["total"].to_numpy(), table["words"].to_numpy()), (table["label"] > 0).to_numpy(float)))
+    table = map_slices(rows, weigh, "toxic boolean, total double, words double").toPandas().sort_values(["toxic", "total", "words"])
+    return Model(model.entries, _fitted(measures(table["total"].to_numpy(), table["words"].to_numpy()), table["toxic"].to_numpy(float)))
 
 
 def _fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -201,7 +204,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold; null texts are scored as empty ones."""
+    """The rows of docs, with all their columns, whose score is below the threshold; null texts are scored as empty ones. Each of repeated rows stays or goes as the others do."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         return part.filter(pa.array(scores([t or "" for t in part.column(text_col).to_pylist()], model) < threshold))
