@@ -152,15 +152,30 @@ def _detections(words: Column, rules: Column) -> Column:
 
 
 def _kept(found: Column) -> Column:
-    """Detections that no other one suppresses."""
+    """Detections that no other one suppresses, by their start.
+
+    One pass: a detection that contains another stands before it in the order of starts (later ends
+    first, then higher priorities), and those that end before the next start contain no later one.
+    """
+    kind = "array<struct<start:int,back:int,rank:int,label:string>>"
+    none = F.array().cast(kind)
 
     def over(d: Column, e: Column) -> Column:
-        contains = (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-        longer = e["end"] - e["start"] > d["end"] - d["start"]
-        equal = (e["start"] == d["start"]) & (e["end"] == d["end"]) & (e["label"] < d["label"])
-        return contains & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (longer | equal)))
+        contains = e["back"] <= d["back"]
+        longer = (e["back"] < d["back"]) | (e["start"] < d["start"])
+        return contains & ((e["rank"] < d["rank"]) | ((e["rank"] == d["rank"]) & (longer | (e["label"] < d["label"]))))
+
+    def on(state: Column, d: Column) -> Column:
+        reach = F.filter(state["reach"], lambda e: -e["back"] > d["start"])
+        return F.struct(
+            F.concat(reach, F.array(d)).alias("reach"),
+            F.when(F.exists(reach, lambda e: over(d, e)), state["kept"]).otherwise(F.concat(state["kept"], F.array(d))).alias("kept"),
+        )
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: over(d, e)))
+    # Negative ends and priorities, for the order.
+    by_start = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), (-d["priority"]).alias("rank"), d["label"].alias("label")))).cast(kind)
+    kept = F.aggregate(by_start, F.struct(none.alias("reach"), none.alias("kept")), on, lambda state: state["kept"])
+    return F.transform(kept, lambda d: F.struct(d["start"].alias("start"), (-d["back"]).alias("end"), (-d["rank"]).alias("priority"), d["label"].alias("label")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple = RULES) -> DataFrame:
@@ -204,7 +219,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
         F.when(gate, _detections(words, table)).otherwise(nothing).alias("found"),
     )
     # In a projection of its own: what it names more than once is worked out once.
-    rows = rows.withColumn("detections", _kept(F.col("found")))
+    rows = rows.withColumn("detections", F.when(F.size("found") > 1, _kept(F.col("found"))).otherwise(F.col("found")))
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     priorities = F.transform(F.col("detections"), lambda d: d["priority"] / 100)
     return rows.select(
