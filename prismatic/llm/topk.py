@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, QUERIES = 8192, 1024
+#: Rows and queries of a block, at most; a task holds one of each. Every row goes to each block of queries, and every query to each of rows.
+ROWS, QUERIES = 32_768, 65_536
 
 
 def whole_weights(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -80,7 +81,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: s
     """
     rows = whole_weights(vectors, id_col, vector_col, scale)
     sizes = rows.agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries")).first()
-    row_blocks, query_blocks = max(1, -(-sizes["rows"] // ROWS)), max(1, -(-sizes["queries"] // QUERIES))
+    # As many blocks of rows as tasks can run, at least.
+    row_blocks, query_blocks = max(-(-sizes["rows"] // ROWS), vectors.sparkSession.sparkContext.defaultParallelism), max(1, -(-sizes["queries"] // QUERIES))
 
     def dealt(frame: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
         return frame.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
