@@ -13,6 +13,7 @@ from .bpe import encode_decode
 from .common import table
 from .licenses import scan
 from .media import BLOCK, store_and_fingerprint
+from .oracles import ORACLES
 from .packing import pack_documents
 from .token_counts import count_tokens
 from .topk import search
@@ -92,6 +93,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", _removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_duplicates": op2_near_duplicates,
@@ -104,6 +107,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-
-#: None of these is given where SQL can't express the operator; tests hold it against a brute-force version.
-ORACLES: dict[str, str] = {}

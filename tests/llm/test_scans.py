@@ -101,6 +101,25 @@ def test_gated_labels_are_ungated_labels(spark):
     assert [label in found[k]["labels"].split(",") for k, label in enumerate(expected)] == [True] * len(expected)
 
 
+def test_suppression_as_by_comparing_all(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        starts = rng.integers(0, 30, int(rng.integers(0, 40)))
+        rows.append([[(int(a), int(a + rng.integers(1, 12)), int(rng.choice([40, 60, 90])), str(rng.choice(["x", "y", "z"]))) for a in starts]])
+    frame = spark.createDataFrame(rows, "found array<struct<start:int,end:int,priority:int,label:string>>")
+    over = lambda d, e: e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or e[2] == d[2] and (e[1] - e[0] > d[1] - d[0] or e[:2] == d[:2] and e[3] < d[3]))
+    for r in frame.select("found", licenses._kept(F.col("found")).alias("kept")).collect():
+        found = [tuple(d) for d in r["found"]]
+        assert sorted(map(tuple, r["kept"])) == sorted(d for d in found if not any(over(d, e) for e in found))
+
+
+def test_very_many_detections_in_one_text(spark):
+    docs = spark.createDataFrame([(1, "Licensed under the MIT license. " * 3000)], "doc_id long, text string")
+    r = licenses.scan(docs).first()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"], len(r["detections"])) == (15000, 3000, 3, 14998, "mit", 3000)
+
+
 def test_no_rows(spark):
     assert licenses.scan(empty_documents(spark)).count() == 0
     assert media.store_and_fingerprint(empty_documents(spark)).count() == 0
@@ -186,7 +205,18 @@ def test_held_out_accuracy(spark, learned):
     docs, model = learned
     found = toxicity.score(docs.drop("toxic"), model).join(docs.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
     assert len(found) > 200 and all((r["score"] >= 0.5) == (r["toxic"] == 1) for r in found)
-    assert len(model.entries) <= toxicity.MOST_ENTRIES
+
+
+def test_the_model_does_not_depend_on_partitions_or_repeated_rows(spark, learned):
+    docs, model = learned
+    labels = docs.select("doc_id", "toxic")
+    for dealt in (docs.drop("toxic").coalesce(1), docs.drop("toxic").repartition(13), docs.drop("toxic").unionByName(docs.drop("toxic"))):
+        assert toxicity.learn(dealt, labels) == model
+
+
+def test_many_exceptions_in_one_text():
+    found = toxicity.matcher(toxicity.Model(((" idiot ", 5.0),), (0, 0, 0))).evidence("idiot proof " * 50_000 + "idiot")
+    assert found == (5.0, 100_001)
 
 
 def test_held_out_labels_are_not_read(spark, learned):
