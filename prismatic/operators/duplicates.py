@@ -38,7 +38,7 @@ def near_pairs(items: DataFrame, distance: int, id_col: str, hash_col: str, *wit
     """Pairs (a < b) of items of the same `within` whose hashes differ in at most `distance` bits.
 
     By the pigeonhole principle such hashes agree in one of distance + 1 bands, so the join is an equi-join
-    by band. Equal hashes are one row until the end: `members` of duplicates.distinct_hashes.
+    by band. Items of equal hashes are pairs, too.
     """
     cut = items.select(*within, F.col(id_col).alias("id"), F.col(hash_col).alias("h"), bands(F.col(hash_col), distance + 1))
     left, right = cut.select(*within, "piece", F.col("id").alias("a"), F.col("h").alias("x")), cut.select(*within, "piece", F.col("id").alias("b"), F.col("h").alias("y"))

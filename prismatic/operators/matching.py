@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import score, vector
+from ..functions import score, text, vector
 
 #: A side of this many rows at most is broadcast; beyond it rows and queries meet in blocks.
 BROADCAST_ROWS, BLOCK_ROWS = 20_000, 4096
@@ -242,15 +242,12 @@ def rule_evidence(facts: DataFrame, rules: DataFrame, least_confidence: float =
 
 def phrase_evidence(a: Column, b: Column, neutral: float = 0.5) -> Column:
     """struct(score, reliability, method) of two normalised phrases: equal, one within the other, alike by letter pairs, or unknown."""
-    from ..functions.text import dice
-
     ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
-    d = dice(a, b)
     made = lambda s, r, m: F.struct(s.cast("double").alias("score"), F.lit(float(r)).alias("reliability"), F.lit(m).alias("method"))
+    by_letters = text.let(text.dice(a, b), lambda d: F.when(d >= 0.35, made(d, 1, "lexical")).otherwise(made(F.lit(neutral), 0, "inconclusive")))
     return (
         F.when((a == "") | (b == "") | a.isNull() | b.isNull(), None)
         .when(a == b, made(F.lit(1.0), 1, "exact"))
         .when(F.contains(a, b) | F.contains(b, a), made(F.greatest(F.lit(0.75), ratio), 1, "normalized"))
-        .when(d >= 0.35, made(d, 1, "lexical"))
-        .otherwise(made(F.lit(neutral), 0, "inconclusive"))
+        .otherwise(by_letters)
     )

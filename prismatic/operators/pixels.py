@@ -46,11 +46,16 @@ def white_balanced(image: np.ndarray, strength: float) -> np.ndarray:
     return np.clip(np.rint(image * gains), 0, 255).astype(np.uint8)
 
 
+#: Fixed value: how far a full lift or recovery moves a byte.
+TONE_RANGE = 55
+
+
 def tone_curve(shadow_lift: float, highlight_recovery: float) -> np.ndarray:
-    """256 values: dark ones lifted, bright ones held back."""
-    x = np.arange(256) / 255
-    y = x + shadow_lift * 0.35 * (1 - x) ** 3 * x * 4 - highlight_recovery * 0.25 * x**3
-    return np.clip(np.rint(np.maximum.accumulate(y) * 255), 0, 255).astype(np.uint8)
+    """256 values: dark ones lifted by the square of their darkness, bright ones held back by the cube of their brightness."""
+    value = np.arange(256)
+    x = value / 255
+    moved = value + TONE_RANGE * (shadow_lift * (1 - x) ** 2 - highlight_recovery * x**3)
+    return np.clip(np.rint(moved), 0, 255).astype(np.uint8)
 
 
 def mosaic(image: np.ndarray, box: tuple[int, int, int, int], block: int) -> np.ndarray:

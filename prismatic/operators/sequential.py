@@ -131,7 +131,7 @@ def fair_order(waiting: DataFrame, age_ms: int = 15_000, every_ms: int = 1_000,
     """lane, token, place: the order in which waiters of a lane (token, stage, job, at_ms) are let in, one each `every_ms`.
 
     Stages take turns by GRANTS, another job than the last one first; a waiter of over age_ms goes before
-    all. Beyond `most` waiters a newcomer is turned away (no place).
+    all. Beyond `most` waiters, the queue's own limit, a newcomer is turned away (no place).
     """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:

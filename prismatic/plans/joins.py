@@ -272,10 +272,12 @@ def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n")).unionAll(table(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("u2_ordered_distinct", "SELECT job_id, list_distinct(list_sort(list(event_type)))::VARCHAR IS NOT NULL AS known, count(DISTINCT event_type) AS n FROM (SELECT user_id AS job_id, event_type FROM events) t GROUP BY job_id")
+@query("u2_ordered_distinct", "SELECT job_id, string_agg(event_type, ',' ORDER BY first, event_type) AS kinds FROM (SELECT user_id AS job_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) t GROUP BY job_id")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.collect_set("event_type")
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(kinds.isNotNull().alias("known"), F.size(kinds).cast("long").alias("n"))
+    """Each job's distinct event types, in the order of their first event."""
+    firsts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id"), "event_type").agg(F.min("event_id").alias("first"))
+    in_order = F.array_sort(F.collect_list(F.struct("first", "event_type")))
+    return firsts.groupBy("job_id").agg(F.array_join(F.transform(in_order, lambda e: e["event_type"]), ",").alias("kinds"))
 
 
 @query("u3_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -289,7 +291,7 @@ def intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where("lang = 'en'").select("source").intersect(docs.where("lang = 'fr'").select("source"))
 
 
-@query("u5_schema_drift", "SELECT * FROM (VALUES ('doc_id', 'unchanged'), ('text', 'unchanged'), ('lang', 'unchanged'), ('checksum', 'missing'), ('source', 'unexpected'), ('n_chars', 'unexpected')) t(name, state)")
+@query("u5_schema_drift", "WITH actual AS (SELECT column_name AS name FROM (DESCRIBE SELECT * FROM documents)), expected(name) AS (VALUES ('doc_id'), ('text'), ('lang'), ('checksum')) SELECT coalesce(a.name, e.name) AS name, CASE WHEN a.name IS NULL THEN 'missing' WHEN e.name IS NULL THEN 'unexpected' ELSE 'unchanged' END AS state FROM actual a FULL JOIN expected e ON a.name = e.name")
 def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     actual = spark.createDataFrame([(c,) for c in table(spark, sf_dir, "documents").columns], "name string").withColumn("actual", F.lit(True))
     expected = spark.createDataFrame([("doc_id",), ("text",), ("lang",), ("checksum",)], "name string").withColumn("expected", F.lit(True))

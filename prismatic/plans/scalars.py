@@ -44,7 +44,7 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", score.clamp(F.coalesce(F.when(F.col("event_id") % 3 == 0, k), F.lit(0.7))).alias("x"))
 
 
-PAIRS = "pairs AS (SELECT a.item_id, left(regexp_replace(lower(a.text), '\\s+', '', 'g'), 40) AS x, left(regexp_replace(lower(b.text), '\\s+', '', 'g'), 40) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id - a.item_id % 3)"
+PAIRS = "pairs AS (SELECT a.item_id, regexp_replace(lower(a.text), '\\s+', '', 'g') AS x, regexp_replace(lower(b.text), '\\s+', '', 'g') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id - a.item_id % 3)"
 DICE = """grams AS (SELECT item_id, x, y, list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, i, 2))) AS a, list_distinct(list_transform(range(1, length(y)), lambda i: substr(y, i, 2))) AS b FROM pairs),
     dice AS (SELECT item_id, x, y, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) ELSE 0.0 END AS d FROM grams)"""
 
@@ -55,11 +55,6 @@ def whole_pairs(benchmark: DataFrame) -> DataFrame:
     return whole.join(other, F.col("o") == F.col("item_id") - F.col("item_id") % 3).select("item_id", "x", "y")
 
 
-def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 characters of each side, as the SQL has them."""
-    return whole_pairs(table(spark, sf_dir, "benchmark")).select("item_id", *(F.left(c, F.lit(40)).alias(c) for c in ("x", "y")))
-
-
 def pair_dice(pairs: DataFrame) -> DataFrame:
     return pairs.select("item_id", rounded(text.dice(F.col("x"), F.col("y")), 6).alias("dice"))
 
@@ -69,19 +64,9 @@ def pair_evidence(pairs: DataFrame) -> DataFrame:
     return e.select("item_id", rounded(F.col("e.score"), 6).alias("score"), "e.reliability", "e.method")
 
 
-@query("x8_dice_whole")
-def dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_dice(whole_pairs(table(spark, sf_dir, "benchmark")))
-
-
-@query("x12_phrase_evidence_whole")
-def phrase_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_evidence(whole_pairs(table(spark, sf_dir, "benchmark")))
-
-
 @query("x8_dice", f"WITH {PAIRS}, {DICE} SELECT item_id, round(d, 6) AS dice FROM dice")
 def dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_dice(text_pairs(spark, sf_dir))
+    return pair_dice(whole_pairs(table(spark, sf_dir, "benchmark")))
 
 
 @query(
@@ -90,7 +75,7 @@ def dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN x = y OR contains(x, y) OR contains(y, x) OR d >= 0.35 THEN 1.0 ELSE 0.0 END AS reliability, CASE WHEN x = y THEN 'exact' WHEN contains(x, y) OR contains(y, x) THEN 'normalized' WHEN d >= 0.35 THEN 'lexical' ELSE 'inconclusive' END AS method FROM dice""",
 )
 def phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_evidence(text_pairs(spark, sf_dir))
+    return pair_evidence(whole_pairs(table(spark, sf_dir, "benchmark")))
 
 
 @query("x16_concepts", "SELECT doc_id, contains(lower(text), 'license') OR contains(lower(text), 'licence') AS licensed, contains(lower(text), 'the ') AS english FROM documents")
@@ -363,17 +348,11 @@ def fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "v10_rule_evidence",
-    """WITH q AS (SELECT doc_id AS query_id, lower(text) AS h, (doc_id % 10) / 10.0 AS confidence FROM documents WHERE n_chars < 3000), r(group_id, dimension, a, b, least, hard) AS (VALUES (1, 'space', 'the', 'and', 2, true), (1, 'stage', 'license', 'licence', 1, false), (2, 'space', 'der', 'und', 1, true), (3, 'stage', 'que', 'los', 2, false)),
+    """WITH q AS (SELECT doc_id AS query_id, lower(text) AS h, (doc_id % 10) / 10.0 AS confidence FROM documents), r(group_id, dimension, a, b, least, hard) AS (VALUES (1, 'space', 'the', 'and', 2, true), (1, 'stage', 'license', 'licence', 1, false), (2, 'space', 'der', 'und', 1, true), (3, 'stage', 'que', 'los', 2, false)),
     d AS (SELECT query_id, group_id, dimension, contains(h, a)::INT + contains(h, b)::INT >= least AS direct, hard, confidence FROM q CROSS JOIN r)
     SELECT query_id, group_id, avg(direct::INT) AS score, CASE WHEN bool_and(direct AND confidence >= 0.6) THEN 'supported' WHEN bool_or(hard AND NOT (direct AND confidence >= 0.6)) THEN 'conflicted' ELSE 'unsupported' END AS mode FROM d GROUP BY query_id, group_id""",
 )
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only of texts under 3,000 characters, as the SQL has it."""
-    return evidence(spark, table(spark, sf_dir, "documents").where("n_chars < 3000"))
-
-
-@query("v10_rule_evidence_whole")
-def rules_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence(spark, table(spark, sf_dir, "documents"))
 
 

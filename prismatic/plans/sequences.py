@@ -100,9 +100,21 @@ def per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.per_item(table(spark, sf_dir, "events"))
 
 
-@query("z5_leased_once", "SELECT DISTINCT user_id, event_type FROM events")
+@query(
+    "z5_leased_once",
+    """WITH RECURSIVE messages AS (SELECT user_id, event_type, epoch_us(ts) AS us FROM events),
+    granted AS (SELECT user_id, event_type, min(us) AS us FROM messages GROUP BY 1, 2
+      UNION ALL SELECT g.user_id, g.event_type, (SELECT min(a.us) FROM messages a WHERE a.user_id = g.user_id AND a.event_type = g.event_type AND a.us >= g.us + 6 * 3600000000::BIGINT) FROM granted g WHERE g.us IS NOT NULL)
+    SELECT user_id, event_type, count(us) AS leases, max(us) AS last_us FROM granted GROUP BY 1, 2""",
+)
 def leased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.leased_once(table(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+    """How often each key got a lease of six hours, and when last: a message within one gets none."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    times = rows.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_set("us")).alias("us"))
+    start = F.struct(F.lit(0).cast("long").alias("leases"), F.lit(None).cast("long").alias("last_us"))
+    lease = 6 * 3_600_000_000
+    found = F.aggregate("us", start, lambda s, t: F.when(s["last_us"].isNull() | (t >= s["last_us"] + lease), F.struct((s["leases"] + 1).alias("leases"), t.alias("last_us"))).otherwise(s))
+    return times.select("user_id", "event_type", found.alias("f")).select("user_id", "event_type", "f.leases", "f.last_us")
 
 
 @query("z8_fair_order")
@@ -127,9 +139,17 @@ def lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.lockouts(rows)
 
 
-@query("z14_late_refinement", "SELECT user_id, arg_max(value, event_id) AS final, count(*) AS versions FROM events GROUP BY user_id")
+@query(
+    "z14_late_refinement",
+    """SELECT user_id, round(avg(value) FILTER (WHERE event_type <> 'purchase'), 6) AS provisional, round(arg_max(value, event_id) FILTER (WHERE event_type = 'purchase'), 6) AS refined,
+    round(coalesce(arg_max(value, event_id) FILTER (WHERE event_type = 'purchase'), avg(value)), 6) AS final FROM events GROUP BY user_id""",
+)
 def refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", "event_id").alias("final"), F.count("*").alias("versions"))
+    """A provisional result of what has come, and the late one that takes its place once there is one."""
+    late = F.col("event_type") == "purchase"
+    refined = F.max_by(F.when(late, F.col("value")), F.when(late, F.col("event_id")))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(F.when(~late, F.col("value"))).alias("provisional"), refined.alias("refined"), F.avg("value").alias("all"))
+    return rows.select("user_id", F.round("provisional", 6).alias("provisional"), F.round("refined", 6).alias("refined"), F.round(F.coalesce("refined", "all"), 6).alias("final"))
 
 
 @query("z16_expired_uploads", "SELECT event_id FROM events WHERE ts + INTERVAL 24 HOUR < TIMESTAMP '2024-01-10 00:00:00' AND event_type <> 'purchase'")

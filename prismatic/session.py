@@ -21,12 +21,17 @@ def local_session(name: str = "prismatic", cores: str = "*", shuffle_partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a folder of this machine only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share. A local session without one gets a folder of this machine; a cluster without one can't work."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="prismatic-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="prismatic-checkpoint-")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 

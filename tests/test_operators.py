@@ -7,9 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from prismatic.functions import geometry, score, text, vector
-from prismatic.operators import duplicates, matching, pixels, sequential
+from prismatic.functions import geometry, retouch, score, text, vector
+from prismatic.operators import duplicates, evidence, matching, pixels, sequential
 from prismatic.plans import scalars, sequences
+from prismatic.plans.evidence import hmac_sha256
+from prismatic.session import shared_folder
 from prismatic.sources import files
 from prismatic.streaming import stages
 
@@ -176,7 +178,7 @@ def test_pixels():
     blended = 0.5 * 100 + 0.5 * mark
     assert (pixels.unblended(blended, mark, alpha) == 100).all()
     curve = pixels.tone_curve(0.3, 0.3)
-    assert (np.diff(curve.astype(int)) >= 0).all() and curve[0] == 0
+    assert (np.diff(curve.astype(int)) >= 0).all() and curve[0] == 16
     assert abs(pixels.white_balanced(np.dstack([gray + 50, gray + 100, gray + 150]), 1.0).mean(axis=(0, 1)) - 100).max() <= 1
 
 
@@ -255,3 +257,63 @@ def test_streams_give_what_batches_give(spark, data, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.table("leased").select("user_id").distinct().count() == events.select("user_id").distinct().count()
+
+
+def test_tone_curve_in_closed_form():
+    assert pixels.tone_curve(0, 0).tolist() == list(range(256))
+    lifted, held = pixels.tone_curve(0.4, 0), pixels.tone_curve(0, 0.6)
+    assert lifted[0] == 22 and lifted[255] == 255 and held[0] == 0 and held[255] == 222
+    assert [int(pixels.tone_curve(0.3, 0.2)[v]) for v in (64, 128, 192)] == [round(v + 55 * (0.3 * (1 - v / 255) ** 2 - 0.2 * (v / 255) ** 3)) for v in (64, 128, 192)]
+
+
+def test_field_evidence_in_closed_form(spark):
+    """Scenes equal and space on one side only; unrelated scenes; conditions that exclude each other."""
+    rows = [("客厅", "客厅", "厨房", None, None), ("a very old hall", "qqq", None, None, None), ("x", "x", None, None, 0.9), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "s string, t string, p string, q string, c double")
+    scene, space = matching.phrase_evidence(F.col("s"), F.col("t")), matching.phrase_evidence(F.col("p"), F.col("q"))
+    weights = {"scene": 0.15, "space": 0.15, "other": 0.70}
+    found = [tuple(r) for r in frame.select(*evidence.field_evidence({"scene": scene, "space": space}, F.col("c"), weights).values()).collect()]
+    assert [tuple(None if v is None else round(v, 6) for v in r) for r in found] == [(1.0, 0.7, 0.15), (None, 0.0, 0.15), (1.0, 0.9, 0.15), (None, 0.0, 0.0)]
+    known = evidence.known_phrases(F.col("a"), F.col("b"), {"building": ["施工"], "done": ["完工"]}, [("building", "done")])
+    judged = spark.createDataFrame([("施工中", "已经完工"), ("施工中", "正在施工"), ("", "施工")], "a string, b string").select(known.alias("e")).collect()
+    assert [(r["e"]["score"], r["e"]["method"]) if r["e"] else None for r in judged] == [(0.0, "canonical_conflict"), (1.0, "canonical"), None]
+
+
+def test_lists_and_mappings(spark):
+    rows = [(["Sofa", " lamp "], ["sofa", "chair", "LAMP"], {"Color ": ["Blue"]}, {"COLOR": ["blue"], "size": ["1"]}), ([""], ["x"], {"a": ["b"]}, {"c": ["b"]}), (None, ["x"], None, {"c": ["b"]})]
+    frame = spark.createDataFrame(rows, "x array<string>, y array<string>, m map<string,array<string>>, n map<string,array<string>>")
+    found = frame.select(evidence.list_evidence(F.col("x"), F.col("y")).alias("l"), evidence.mapping_evidence(F.col("m"), F.col("n")).alias("m")).collect()
+    assert [(r["l"] and tuple(r["l"]), r["m"] and tuple(r["m"])) for r in found] == [((1.0, 1.0), (1.0, 1.0)), (None, None), (None, None)]
+
+
+def test_retouching_policies(spark):
+    plan = retouch.NEUTRAL | {"brightness": 1.12, "contrast": 1.3, "shadow_lift": 0.2, "denoise": 0.3, "sharpness": 1.4, "clarity": 0.3}
+    columns = {n: F.lit(v) for n, v in plan.items()}
+    held = spark.range(1).select(*(c.alias(n) for n, c in retouch.clamped(columns).items())).first()
+    assert (held["highlight_recovery"], held["contrast"], held["sharpness"], held["clarity"], held["brightness"]) == (0.15, 1.08, 1.15, 0.18, 1.12)
+    passed = {n: F.lit(n not in ("exposure", "sharpening")) for n in ("exposure", "color", "noise", "sharpening")}
+    again = spark.range(1).select(*(c.alias(n) for n, c in retouch.corrected(columns, passed).items())).first()
+    assert (again["brightness"], again["highlight_recovery"], again["sharpness"], again["clarity"], again["denoise"]) == (1.03, 0.22, 1.05, 0.1, 0.3)
+
+
+def test_signature_is_an_hmac(spark):
+    import hashlib
+    import hmac
+
+    found = spark.createDataFrame([(b"1.{}",), (b"",)], "b binary").select(hmac_sha256(b"key", F.col("b")).alias("h")).collect()
+    assert [r["h"] for r in found] == [hmac.new(b"key", m, hashlib.sha256).hexdigest() for m in (b"1.{}", b"")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+        class getConf:  # noqa: N801
+            get = staticmethod(lambda key: None)
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
