@@ -41,7 +41,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         numbers, _, _, word_ends = word_numbers(data, ends)
         return *runs(Spans(numbers, 4), len(numbers), word_ends, window, gram), np.concatenate([[0], word_ends[:-1]])
 
-    found = written(meet(run_rows(docs, find), _other_document, _first_document))
+    found = meet(run_rows(docs, find), _other_document, _first_document)
     claimed = written(claims(found.where(F.col("anchor").isNull())))
     wanted = asked_for(claimed, found.where(F.col("anchor").isNotNull()))
 

@@ -2,7 +2,8 @@
 
 A run is a row (anchor, content, doc, start, n): n windows of a document from unit `start` on that
 share an anchor. Runs of one content in one slice of a task travel as one row, the later ones as a list
-beside the first; so a content that fills a third of the corpus is a row per slice, not per document.
+beside the first; so a content that fills a third of the corpus is a row per slice, not per document. Where runs
+meet, contents that repeat within slices are a row each, aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def run_batch(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: n
 
 
 def meet(runs: DataFrame, removed: Callable[[Column, Column], Column], asked: Callable[[Column, Column], Column]) -> DataFrame:
-    """Rows (anchor, crowd, doc, start, n, content, source, source_start) of the runs that share an anchor with others.
+    """Rows (anchor, crowd, doc, start, n, content, source, source_start) of the runs that share an anchor with others. Works out runs twice.
 
     removed(run, first) tells for a run, a struct of doc and start, and the first run of its content,
     its source, whether all its windows go; these rows have no anchor. asked(run, first) tells whether a run stands
@@ -52,14 +53,26 @@ def meet(runs: DataFrame, removed: Callable[[Column, Column], Column], asked: Ca
     """
     by_anchor, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
     own = F.struct("doc", "start")
-    rows = runs.withColumn("first", F.first(own).over(by_content.orderBy("doc", "start")))
-    rows = rows.withColumns({"crowd": F.count("*").over(by_anchor), "low": F.min("content").over(by_anchor), "high": F.max("content").over(by_anchor)})
-    rows = rows.where((F.col("crowd") > 1) | F.col("more").isNotNull())
-    each = F.explode(F.concat(F.array(own), F.coalesce("more", F.array().cast("array<struct<doc:long,start:int>>"))))
-    rows = rows.select("anchor", "content", "crowd", "first", (F.col("low") != F.col("high")).alias("mixed"), "n", each.alias("run"))
+    # What repeats within slices may fill the corpus: one row stands for all of it where runs meet, and what it finds is joined back.
+    many = written(runs.where(F.col("more").isNotNull()))
+    one = many.groupBy("anchor", "content").agg(F.min(own).alias("own"), F.min("n").alias("n"), F.count("*").alias("rows"))
+    one = one.select("anchor", "content", "own.doc", "own.start", "n", "rows", F.lit(True).alias("hot"))
+    rest = runs.where(F.col("more").isNull()).select("anchor", "content", "doc", "start", "n", F.lit(1).cast("long").alias("rows"), F.lit(False).alias("hot"))
+    rows = rest.unionByName(one).withColumn("first", F.first(own).over(by_content.orderBy("doc", "start")))
+    rows = rows.withColumns({"crowd": F.sum("rows").over(by_anchor), "low": F.min("content").over(by_anchor), "high": F.max("content").over(by_anchor)})
+    rows = rows.withColumns({"mixed": F.col("low") != F.col("high"), "run": own})
+
     goes = removed(F.col("run"), F.col("first"))
-    rows = rows.where(goes | (F.col("mixed") & asked(F.col("run"), F.col("first"))))
-    return rows.select(F.when(~goes, F.col("anchor")).alias("anchor"), "crowd", F.col("run.doc").alias("doc"), F.col("run.start").alias("start"), "n", "content", F.col("first.doc").alias("source"), F.col("first.start").alias("source_start"))
+    wanted = goes | (F.col("mixed") & asked(F.col("run"), F.col("first")))
+
+    def found(rows: DataFrame) -> DataFrame:
+        places = [F.col("run.doc").alias("doc"), F.col("run.start").alias("start"), "n", "content", F.col("first.doc").alias("source"), F.col("first.start").alias("source_start")]
+        return rows.select(F.when(~goes, F.col("anchor")).alias("anchor"), "crowd", *places)
+
+    rows = written(rows.where(F.col("hot") | ((F.col("crowd") > 1) & wanted)).select("anchor", "content", "n", "hot", "first", "crowd", "mixed", "run"))
+    facts = rows.where("hot").select("anchor", "content", "first", "crowd", "mixed")
+    each = many.join(facts, ["anchor", "content"]).select("anchor", "content", "n", "first", "crowd", "mixed", F.explode(F.concat(F.array(own), "more")).alias("run"))
+    return found(rows.where(~F.col("hot")).drop("hot")).unionByName(found(each.where(wanted)))
 
 
 CLAIM = ("source", "source_start", "n")

@@ -132,7 +132,7 @@ def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, bl
     def find(data: np.ndarray, ends: np.ndarray) -> tuple:
         return *runs(byte_spans(data), len(data), ends, minimum, gram), np.concatenate([[0], ends[:-1]])
 
-    found = written(meet(run_rows(docs, find), _later, _first))
+    found = meet(run_rows(docs, find), _later, _first)
     claimed = written(claims(found.where(F.col("anchor").isNull())))
     asked = found.where(F.col("anchor").isNotNull())
 
