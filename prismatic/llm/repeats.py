@@ -44,7 +44,7 @@ def run_batch(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: n
 
 
 def meet(runs: DataFrame, removed: Callable[[Column, Column], Column], asked: Callable[[Column, Column], Column]) -> DataFrame:
-    """Rows (anchor, crowd, doc, start, n, content, source, source_start) of the runs that share an anchor with others. Works out runs twice.
+    """Rows (anchor, crowd, doc, start, n, content, source, source_start) of the runs that share an anchor with others.
 
     removed(run, first) tells for a run, a struct of doc and start, and the first run of its content,
     its source, whether all its windows go; these rows have no anchor. asked(run, first) tells whether a run stands
@@ -54,6 +54,7 @@ def meet(runs: DataFrame, removed: Callable[[Column, Column], Column], asked: Ca
     by_anchor, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
     own = F.struct("doc", "start")
     # What repeats within slices may fill the corpus: one row stands for all of it where runs meet, and what it finds is joined back.
+    runs = written(runs)
     many = written(runs.where(F.col("more").isNotNull()))
     one = many.groupBy("anchor", "content").agg(F.min(own).alias("own"), F.min("n").alias("n"), F.count("*").alias("rows"))
     one = one.select("anchor", "content", "own.doc", "own.start", "n", "rows", F.lit(True).alias("hot"))
@@ -70,6 +71,7 @@ def meet(runs: DataFrame, removed: Callable[[Column, Column], Column], asked: Ca
         return rows.select(F.when(~goes, F.col("anchor")).alias("anchor"), "crowd", *places)
 
     rows = written(rows.where(F.col("hot") | ((F.col("crowd") > 1) & wanted)).select("anchor", "content", "n", "hot", "first", "crowd", "mixed", "run"))
+    discard(runs)
     facts = rows.where("hot").select("anchor", "content", "first", "crowd", "mixed")
     each = many.join(facts, ["anchor", "content"]).select("anchor", "content", "n", "first", "crowd", "mixed", F.explode(F.concat(F.array(own), "more")).alias("run"))
     return found(rows.where(~F.col("hot")).drop("hot")).unionByName(found(each.where(wanted)))
