@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import score, text
@@ -97,3 +97,26 @@ def field_evidence(fields: dict[str, Column], confidence: Column, weights: dict[
 def semantic_rank(final: Column, mode: Column, evidence: Column, bonus: float = 0.06) -> Column:
     """What candidates are ranked by: exact ones first, supported ones with a bonus for their core evidence."""
     return F.when(mode == "exact", 2.0).when(mode == "supported", final + bonus * score.clamp(F.coalesce(evidence, F.lit(0.0)))).otherwise(final)
+
+
+def skew_votes(lines: DataFrame, most_degrees: int = 5, window: float = 0.75) -> DataFrame:
+    """image_id and turn of pictures that lines (image_id, dx, dy) agree are askew.
+
+    Each line votes with its length for the corrections near its own, in steps of half a degree. Four
+    lines and three tenths of the length must be near the winner and differ little; the turn is their
+    weighted median, if it is half a degree or more. Ties go to the smaller correction.
+    """
+    angle = F.pmod(F.degrees(F.atan2("dy", "dx")) + 90, F.lit(180.0)) - 90
+    upright = F.when(F.abs("angle") <= 45, 0).when(F.col("angle") < 0, -90).otherwise(90)
+    near = lines.select("image_id", F.hypot("dx", "dy").alias("len"), angle.alias("angle")).select("image_id", "len", (upright - F.col("angle")).alias("c")).where(F.abs("c") <= most_degrees)
+    centers = F.array(*(F.lit(step / 2) for step in range(-2 * most_degrees, 2 * most_degrees + 1)))
+    votes = near.select("image_id", "len", "c", F.explode(centers).alias("center")).where(F.abs(F.col("c") - F.col("center")) <= window)
+    best = votes.groupBy("image_id", "center").agg(F.round(F.sum("len"), 6).alias("votes")).groupBy("image_id").agg(F.max_by("center", F.struct("votes", -F.col("center"))).alias("center"))
+    total = near.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("len").alias("total")).where("n >= 4")
+    same = near.join(best.join(total, "image_id"), "image_id").where(F.abs(F.col("c") - F.col("center")) <= window)
+    found = same.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("c", "len"))).alias("of"), F.sum("len").alias("weight"), F.stddev_pop("c").alias("sd"), F.first("total").alias("total"))
+    agreed = found.where((F.size("of") >= 4) & (F.col("weight") >= 0.3 * F.col("total")) & (F.col("sd") <= 0.6))
+    start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("double").alias("at"))
+    half = F.round(F.col("weight") / 2, 6)
+    median = F.aggregate("of", start, lambda s, e: F.struct((s["run"] + e["len"]).alias("run"), F.when(s["at"].isNull() & (F.round(s["run"] + e["len"], 6) >= half), e["c"]).otherwise(s["at"]).alias("at")))["at"]
+    return agreed.select("image_id", (-median).alias("turn")).where(F.abs("turn") >= 0.5)

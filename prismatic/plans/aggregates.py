@@ -224,9 +224,13 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w9_sliding_window", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS in_window FROM events")
 def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = Window.partitionBy("event_type").orderBy(seconds).rangeBetween(-3_600_000_000, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.count("*").over(span).alias("in_window"))
+    """Events of the same type in the hour up to each, by hours: each row also stands in the next hour, for the rows there to count."""
+    hour = 3_600_000_000
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", us.alias("us"), F.floor(us / hour).alias("hour"))
+    placed = rows.withColumn("later", F.explode(F.when(F.col("us").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    span = Window.partitionBy("event_type", F.col("hour") + F.col("later")).orderBy("us").rangeBetween(-hour, 0)
+    return placed.withColumn("in_window", F.count("*").over(span)).where("later = 0").select("event_id", "in_window")
 
 
 @query("w10_archive_index", f"WITH {ITEMS} SELECT image_id, lpad(row_number() OVER (PARTITION BY job_id ORDER BY score DESC, image_id)::VARCHAR, 3, '0') || '_' || event_type || '.jpg' AS name FROM items WHERE status = 'selected'")
