@@ -40,10 +40,11 @@ def quality(gray: np.ndarray) -> dict[str, float]:
 
 
 def white_balanced(image: np.ndarray, strength: float) -> np.ndarray:
-    """Channels moved towards their common mean."""
+    """Channels moved towards their common mean, by six hundredths at most, and the picture by the strength towards that."""
     means = image.reshape(-1, image.shape[-1]).mean(axis=0)
-    gains = 1 + strength * (means.mean() / np.maximum(means, 1e-6) - 1)
-    return np.clip(np.rint(image * gains), 0, 255).astype(np.uint8)
+    gains = np.clip(means.mean() / np.maximum(means, 1), 0.94, 1.06)
+    balanced = np.minimum(255, np.rint(image * gains))
+    return (image + strength * (balanced - image)).astype(np.uint8)
 
 
 #: Fixed value: how far a full lift or recovery moves a byte.
@@ -70,9 +71,11 @@ def mosaic(image: np.ndarray, box: tuple[int, int, int, int], block: int) -> np.
 
 
 def unblended(image: np.ndarray, mark: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-    """What lay under a mark of known colour and opacity."""
-    a = np.minimum(alpha, 0.98)[..., None] if image.ndim == 3 else np.minimum(alpha, 0.98)
-    return np.clip(np.rint((image - a * mark) / (1 - a)), 0, 255).astype(np.uint8)
+    """What lay under a mark of known colour and opacity; opacities under 0.002 are none, those over 0.99 count as that."""
+    held = np.clip(alpha, 0, 0.99)
+    a = held[..., None] if image.ndim == 3 else held
+    under = np.clip((image - a * mark) / (1 - a), 0, 255).astype(np.uint8)
+    return np.where(a >= 0.002, under, image)
 
 
 def changed_outside(before: np.ndarray, after: np.ndarray, boxes: list[tuple[int, int, int, int]]) -> int:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -123,6 +125,52 @@ def token_bucket(requests: DataFrame, per_minute: float = 3, capacity: float = 2
     return requests.groupBy("owner").applyInPandas(work, "owner long, request long, granted boolean, retry_ms long")
 
 
+def cascade(runs: DataFrame, detections: DataFrame, threshold: float = 0.45) -> DataFrame:
+    """image_id, detector and n: each picture's first healthy detector and how many of its boxes are left after suppression.
+
+    runs: image_id, place (the detectors' order), detector, healthy; detections: image_id, detector,
+    confidence and a box. A healthy detector that finds nothing ends the search; where none is healthy,
+    detector and n are null. Detections of a detector that didn't run count for nothing.
+    """
+    first = runs.groupBy("image_id").agg(F.min(F.when(F.col("healthy"), F.struct("place", "detector")))["detector"].alias("detector"))
+    boxes = detections.join(first, ["image_id", "detector"]).select("image_id", F.col("detector").alias("class"), "confidence", *BOX)
+    kept = suppressed(boxes, threshold).groupBy("image_id").agg(F.count("*").alias("n"))
+    return first.join(kept, "image_id", "left").select("image_id", "detector", F.when(F.col("detector").isNotNull(), F.coalesce("n", F.lit(0))).alias("n"))
+
+
+def admitted(times: list[int], window_ms: int, rate: int, held: int, lease_ms: int) -> tuple[list[bool], list[int]]:
+    """Whether each request, at rising times, is let in, and how long it has to wait if not.
+
+    At most `rate` are let in within a window and `held` leases run at once; a wait is 250 ms at least.
+    """
+    recent: deque[int] = deque()
+    leases: deque[int] = deque()
+    granted, waits = [], []
+    for now in times:
+        while recent and recent[0] <= now - window_ms:
+            recent.popleft()
+        while leases and leases[0] <= now:
+            leases.popleft()
+        full = (recent[0] + window_ms - now if len(recent) >= rate else None, leases[0] - now if len(leases) >= held else None)
+        granted.append(full == (None, None))
+        waits.append(0 if granted[-1] else max(250, *(w for w in full if w is not None)))
+        if granted[-1]:
+            recent.append(now)
+            leases.append(now + lease_ms)
+    return granted, waits
+
+
+def rate_limited(requests: DataFrame, window_ms: int = 60_000, rate: int = 30, held: int = 4, lease_ms: int = 20_000) -> DataFrame:
+    """owner, request, granted, wait_ms of requests (owner, request, at_ms) by a sliding window and running leases; an owner's requests are one group, in the order of their times."""
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["at_ms", "request"], kind="stable")
+        granted, waits = admitted(frame["at_ms"].tolist(), window_ms, rate, held, lease_ms)
+        return pd.DataFrame({"owner": frame["owner"].to_numpy(), "request": frame["request"].to_numpy(), "granted": granted, "wait_ms": waits})
+
+    return requests.groupBy("owner").applyInPandas(work, "owner long, request long, granted boolean, wait_ms long")
+
+
 #: Whose turn it is: stages by weight.
 GRANTS = (1, 1, 1, 2, 3, 4)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, pixels, sequential
+from ..operators import matching, pixels, retouching, sequential
 from ..streaming import stages
 from .aggregates import report
 from .registry import assets, query, table
@@ -86,6 +87,48 @@ def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaics(table(spark, sf_dir, "documents")).select("image_id", F.sha2("pixels", 256).alias("sha"), "outside", "inside")
 
 
+def colour_pictures(docs: DataFrame, side: int = 16) -> DataFrame:
+    """An RGB picture from all bytes of each text, as wide as side."""
+    return pictures(docs, 3 * side).withColumn("width", F.lit(side))
+
+
+@query("i7_retouched")
+def retouched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture from each whole text through all steps, with what it is accepted by before and after."""
+    plan = retouching.Retouch(0.5, 0.3, 0.2, 0.5, 0.3, 2.0, 0.3, 1.04, 1.05, 1.03, 0.3, 1.2)
+    out = retouching.retouch_all(colour_pictures(table(spark, sf_dir, "documents")), plan)
+    return out.withColumn("pixels", F.sha2("pixels", 256)).withColumnRenamed("pixels", "sha")
+
+
+@query("i6_upright")
+def upright(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each picture as its orientation mark says."""
+    marked = colour_pictures(table(spark, sf_dir, "documents")).withColumn("mark", (F.col("image_id") % 9).cast("int"))
+    out = retouching.each_picture(marked, lambda image, row: retouching.upright(image, row.mark))
+    return out.select("image_id", "width", "height", F.sha2("pixels", 256).alias("sha"))
+
+
+@query("i20_mark_taken_off")
+def unmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each picture with a white mark laid on it and taken off again by the opacity that the pair tells."""
+
+    def step(image, row):
+        alpha = np.linspace(0.1, 0.6, image.shape[1])[None, :, None]
+        marked = np.rint(image + alpha * (255.0 - image)).astype(np.uint8)
+        return pixels.unblended(marked, np.full(3, 255.0), retouching.alpha_of(image, marked))
+
+    out = retouching.each_picture(colour_pictures(table(spark, sf_dir, "documents")), step)
+    return out.select("image_id", "height", F.sha2("pixels", 256).alias("sha"))
+
+
+@query("i28_detector_cascade")
+def cascaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = predictions(spark, sf_dir)[0].withColumn("detector", F.when(F.col("id") % 3 == 0, "text").otherwise("boxes")).drop("class")
+    healthy = F.when(F.col("place") == 0, F.col("image_id") % 3 != 0).otherwise(F.col("image_id") % 2 == 0)
+    runs = found.select("image_id").distinct().select("image_id", F.explode(F.create_map(F.lit(0), F.lit("boxes"), F.lit(1), F.lit("text"))).alias("place", "detector")).withColumn("healthy", healthy)
+    return sequential.cascade(runs, found)
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("request"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "event_type", "value")
 
@@ -128,6 +171,11 @@ def bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.token_bucket(_requests(spark, sf_dir).withColumn("at_ms", F.floor(F.col("at_ms") / 1000)), per_minute=3, capacity=20)
 
 
+@query("z7_sliding_leases")
+def sliding_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequential.rate_limited(_requests(spark, sf_dir).withColumn("at_ms", F.floor(F.col("at_ms") / 1000)), window_ms=60_000, rate=6, held=3, lease_ms=20_000)
+
+
 @query("z10_fixed_window", "SELECT date_trunc('minute', ts) AS start, user_id, count(*) AS n, count(*) > 5 AS limited FROM events GROUP BY 1, 2")
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.fixed_window_counts(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
