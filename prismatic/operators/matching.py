@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import score, text, vector
+from ..session import checkpointed
 
 #: A side of this many rows at most is broadcast; beyond it rows and queries meet in blocks.
 BROADCAST_ROWS, BLOCK_ROWS = 20_000, 4096
+#: A group of this many rows at most is worked on in one task.
+GROUP_ROWS = 100_000
 
 
 def unit_vectors(frame: DataFrame, column: str = "vector", size: int | None = None) -> DataFrame:
@@ -108,7 +111,7 @@ def diverse(ids: np.ndarray, vectors: np.ndarray, limit: int) -> list[int]:
     unit = vectors[usable] / lengths[usable, None]
     mean = unit.mean(axis=0)
     size = float(np.linalg.norm(mean))
-    near = unit @ (mean / size) if size > 0 else np.zeros(len(unit))
+    near = np.round(unit @ (mean / size), 12) if size > 1e-9 else np.zeros(len(unit))
     return usable[_spread(unit, int(np.argmax(near)), limit)].tolist()
 
 
@@ -116,13 +119,13 @@ def _spread(unit: np.ndarray, first: int, limit: int, without: np.ndarray | None
     """Places of the first row and then, one by one, of the row least like those taken, of all rows but those left out."""
     without = np.zeros(0, np.int64) if without is None else without
     taken = [first]
-    closest = unit @ unit[first]
+    closest = np.round(unit @ unit[first], 12)
     while len(taken) < min(limit, len(unit) - len(without)):
         left = closest.copy()
         left[taken] = np.inf
         left[without] = np.inf
         taken.append(int(np.argmin(left)))
-        closest = np.maximum(closest, unit @ unit[taken[-1]])
+        closest = np.maximum(closest, np.round(unit @ unit[taken[-1]], 12))
     return taken
 
 
@@ -163,21 +166,55 @@ def diverse_without(vectors: np.ndarray, classes: np.ndarray, limit: int) -> lis
 
 
 def prototypes(library: DataFrame, limit: int = 12) -> DataFrame:
-    """group_id, asset_id and rank (from 1) of up to `limit` diverse representatives of each group.
+    """group_id, asset_id and rank (from 1) of up to `limit` diverse representatives of each group: the row next to the mean, then, one by one, the row least like those taken; ties go to the smaller id.
 
-    Groups are label sets of a hand-kept library; one group's vectors are in one task at a time.
+    Vectors that are null, without length or of another size than the group's first usable row's take no
+    part. Groups of up to GROUP_ROWS rows are chosen from in one task each, larger ones in rounds over all
+    their rows. Products count to twelve digits, so that the order of sums doesn't decide ties.
     """
+    large = library.groupBy("group_id").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("group_id")
+    if large.isEmpty():
+        return _prototypes_by_group(library, limit)
+    rest = _prototypes_by_group(library.join(large, "group_id", "left_anti"), limit)
+    return rest.unionByName(prototypes_in_rounds(library.join(large, "group_id", "left_semi"), limit))
 
+
+def _prototypes_by_group(small: DataFrame, limit: int) -> DataFrame:
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame["vector"].notna()].sort_values("asset_id", kind="stable", ignore_index=True)
+        frame = frame.sort_values("asset_id", kind="stable", ignore_index=True)
         if not len(frame):
             return pd.DataFrame({"group_id": [], "asset_id": [], "rank": []})
         width = len(frame["vector"].iloc[0])
         frame = frame[frame["vector"].map(len) == width].reset_index(drop=True)
-        places = diverse(frame["asset_id"].to_numpy(), np.stack(frame["vector"]).astype(np.float32), limit)
+        places = diverse(frame["asset_id"].to_numpy(), np.stack(frame["vector"]), limit)
         return pd.DataFrame({"group_id": frame["group_id"].iloc[places], "asset_id": frame["asset_id"].iloc[places], "rank": range(1, len(places) + 1)})
 
-    return library.select("group_id", "asset_id", "vector").groupBy("group_id").applyInPandas(choose, "group_id int, asset_id long, rank int")
+    return small.where(vector.usable(F.col("vector"))).select("group_id", "asset_id", "vector").groupBy("group_id").applyInPandas(choose, "group_id int, asset_id long, rank int")
+
+
+def prototypes_in_rounds(library: DataFrame, limit: int = 12) -> DataFrame:
+    """What `prototypes` gives, for groups of any size: each step is a partial and a final aggregate over all rows, so no group is ever whole in one task.
+
+    What goes from step to step is the rows taken, which Spark broadcasts while they are small.
+    """
+    usable = library.where(vector.usable(F.col("vector"))).select("group_id", "asset_id", F.size("vector").alias("size"))
+    size = usable.groupBy("group_id").agg(F.min_by("size", "asset_id").alias("size"))
+    unit = unit_vectors(library.select("group_id", "asset_id", "vector")).withColumn("size", F.size("vector")).join(size, ["group_id", "size"]).drop("size")
+    unit = checkpointed(unit)
+    part = unit.select("group_id", F.posexplode("vector").alias("at", "x")).groupBy("group_id", "at").agg(F.sum("x").alias("x"))
+    mean = part.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("mean"))
+    alike = lambda other: F.round(vector.dot(F.col("vector"), other) + F.lit(0.0), 12)
+    one = F.struct("asset_id", "vector")
+    length = vector.norm(F.col("mean"))
+    central = F.when(length > 1e-9, alike(F.transform("mean", lambda x: x / F.col("length")))).otherwise(0.0)
+    first = unit.join(mean.withColumn("length", length), "group_id").groupBy("group_id").agg(F.max_by(one, F.struct(central, -F.col("asset_id"))).alias("next"))
+    taken = checkpointed(first.select("group_id", F.array("next").alias("taken"))) if limit > 0 else first.select("group_id", F.array().cast("array<struct<asset_id:long,vector:array<double>>>").alias("taken"))
+    for _ in range(limit - 1):
+        left = unit.join(taken, "group_id").where(~F.array_contains(F.transform("taken", lambda t: t["asset_id"]), F.col("asset_id")))
+        closest = F.array_max(F.transform("taken", lambda t: alike(t["vector"])))
+        least = left.groupBy("group_id").agg(F.min_by(one, F.struct(closest, "asset_id")).alias("next"))
+        taken = checkpointed(taken.join(least, "group_id", "left").select("group_id", F.when(F.col("next").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array("next"))).alias("taken")))
+    return taken.select("group_id", F.posexplode("taken").alias("at", "t")).select("group_id", "t.asset_id", (F.col("at") + 1).alias("rank"))
 
 
 def prototypes_without(library: DataFrame, limit: int = 12) -> DataFrame:

@@ -97,6 +97,21 @@ def test_prototypes(spark):
     assert a == b and x @ y / np.linalg.norm(x) / np.linalg.norm(y) < 0.1
 
 
+def test_prototypes_in_rounds_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(60, 5)).round(1)
+    vectors[[7, 13]] = vectors[1]
+    rows = [(k, k % 3, v.tolist()) for k, v in enumerate(vectors)] + [(100, 3, [1.0, 2.0]), (101, 3, [-1.0, -2.0]), (102, 4, [0.0, 0.0]), (103, 0, None), (104, 0, [1.0]), (105, 5, [0.5, 0.5])]
+    rows = spark.createDataFrame(rows, "asset_id long, group_id int, vector array<double>")
+    chosen = lambda limit: sorted(map(tuple, matching.prototypes(rows, limit).select("group_id", "rank", "asset_id").collect()))
+    by_group = {limit: chosen(limit) for limit in (1, 6, 25)}
+    assert {g for g, _, _ in by_group[1]} == {0, 1, 2, 3, 5} and len(by_group[25]) == 63
+    for most in (0, 2):
+        monkeypatch.setattr(matching, "GROUP_ROWS", most)
+        assert chosen(6) == by_group[6]
+    assert chosen(1) == by_group[1]
+
+
 def test_leave_one_out_as_the_reference_chooses(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(90, 6)) + rng.normal(size=(3, 6))[np.arange(90) % 3] * 0.7
