@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import score, text
+from . import matching
 from .matching import phrase_evidence
 
 #: What a field counts, and the confidence of an analysis that states none.
@@ -120,3 +121,29 @@ def skew_votes(lines: DataFrame, most_degrees: int = 5, window: float = 0.75) ->
     half = F.round(F.col("weight") / 2, 6)
     median = F.aggregate("of", start, lambda s, e: F.struct((s["run"] + e["len"]).alias("run"), F.when(s["at"].isNull() & (F.round(s["run"] + e["len"], 6) >= half), e["c"]).otherwise(s["at"]).alias("at")))["at"]
     return agreed.select("image_id", (-median).alias("turn")).where(F.abs("turn") >= 0.5)
+
+
+def group_candidates(scores: DataFrame, cores: DataFrame, contents: DataFrame, asked: DataFrame, refined: int = 16, best_of: int = 3, support: float = 0.78) -> DataFrame:
+    """query_id, group_id, asset_id, similarity, support, feature_score, final_score, ranking: groups by their pictures, and the best of each kind by their content too.
+
+    scores: query_id, asset_id, group_id, similarity; cores: query_id, group_id, mode, core (the evidence
+    of the group's rules); contents: asset_id, objects, confidence; asked: query_id, objects, confidence.
+    Only the `refined` best groups of each query that its rules support, and as many of those without
+    rules that tell, meet its content: what the group's `best_of` best pictures show, equal contents once.
+    Other groups have no feature score and the picture's score as their final one.
+    """
+    order = Window.partitionBy("query_id", "group_id").orderBy(F.desc("similarity"), F.desc("asset_id"))
+    groups = matching.group_scores(scores, support=support).join(cores, ["query_id", "group_id"])
+    kind = Window.partitionBy("query_id", "mode").orderBy(F.desc("similarity"), F.desc("asset_id"))
+    chosen = groups.where(F.col("mode").isin("supported", "fallback")).withColumn("n", F.row_number().over(kind)).where(F.col("n") <= refined).select("query_id", "group_id")
+    top = scores.withColumn("n", F.row_number().over(order)).where(F.col("n") <= best_of).join(chosen, ["query_id", "group_id"], "left_semi")
+    shown = top.select("query_id", "group_id", "asset_id", "n").join(contents, "asset_id").groupBy("query_id", "group_id", "objects", "confidence").agg(F.min("n").alias("n"))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "objects"))), lambda e: e["objects"]))
+    merged = shown.groupBy("query_id", "group_id").agg(text.string_list(listed, 1000).alias("ys"), F.avg("confidence").alias("of_group"))
+    met = merged.join(asked.select("query_id", F.col("objects").alias("xs"), F.col("confidence").alias("of_query")), "query_id")
+    found = field_evidence({"objects": list_evidence(F.col("xs"), F.col("ys"))}, F.least("of_query", "of_group"))
+    told = met.select("query_id", "group_id", found["score"].alias("feature_score"), found["reliability"].alias("reliability"), found["coverage"].alias("coverage"))
+    rows = groups.join(told, ["query_id", "group_id"], "left")
+    final, _ = score.blended(F.col("similarity"), F.col("feature_score"), F.coalesce("reliability", F.lit(0.0)), F.coalesce("coverage", F.lit(0.0)))
+    rows = rows.withColumn("final_score", final)
+    return rows.withColumn("ranking", semantic_rank(F.col("final_score"), F.col("mode"), F.col("core"))).select("query_id", "group_id", "asset_id", "similarity", "support", "feature_score", "final_score", "ranking")

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import evidence, matching
+from .aggregates import GROUPED, mode_of
 from .evidence import _INNER, _OUTER, SECRET, hmac_sha256
-from .registry import ITEMS, items, query, table
+from .joins import query_vectors
+from .registry import ITEMS, assets, items, pick, query, table
 from .scalars import BOXES, boxes
 
 
@@ -162,11 +165,9 @@ _LINES = "lines AS (SELECT p_partkey // 8 AS image_id, 60 + p_partkey % 50 AS dx
     SELECT image_id, round(-c, 6) AS turn FROM median WHERE abs(c) >= 0.5""",
 )
 def skew(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.evidence import skew_votes
-
     k = F.col("p_partkey")
     lines = table(spark, sf_dir, "part").select(F.floor(k / 8).alias("image_id"), (60 + k % 50).alias("dx"), (F.floor(k / 8) % 9 - 4 + k % 2).alias("dy"))
-    return skew_votes(lines).select("image_id", (F.round("turn", 6) + F.lit(0.0)).alias("turn"))
+    return evidence.skew_votes(lines).select("image_id", (F.round("turn", 6) + F.lit(0.0)).alias("turn"))
 
 
 @query(
@@ -190,3 +191,32 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.to_json(F.struct(F.array(F.array(*(F.col(c).cast("long") for c in ("x0", "y0", "x1", "y1")))).alias("boxes")))
     back = F.from_json("state", "boxes array<array<long>>")["boxes"][0]
     return boxes(spark, sf_dir).select("id", state.alias("state")).select("id", (back[2] - back[0]).alias("w"), (back[3] - back[1]).alias("h"), "state")
+
+
+THINGS = ("plank", "cotton", "dusk", "ember", "flint", "grove", "hinge")
+_THINGS = "[" + ", ".join(f"'{t}'" for t in THINGS) + "]"
+
+
+@query(
+    "v9_group_candidates",
+    f"""WITH {GROUPED}, cores AS (SELECT *, CASE WHEN group_id % 2 = 0 THEN 'supported' WHEN group_id % 3 = 0 THEN 'conflicted' ELSE 'fallback' END AS mode FROM grouped),
+    chosen AS (SELECT query_id, group_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, mode ORDER BY similarity DESC, asset_id DESC) AS n FROM cores WHERE mode <> 'conflicted') WHERE n <= 2),
+    shown AS (SELECT DISTINCT query_id, group_id, asset_id % 7 AS a, asset_id % 5 AS b, 0.5 + 0.1 * (asset_id % 4) AS c FROM ranked JOIN chosen USING (query_id, group_id) WHERE rn <= 3),
+    merged AS (SELECT query_id, group_id, list_distinct(flatten(list([a, b]))) AS ys, avg(c) AS c FROM shown GROUP BY 1, 2),
+    met AS (SELECT query_id, group_id, CASE WHEN len(ys) >= 2 THEN [query_id // 10 % 7, query_id // 20 % 7] ELSE ys END AS few, CASE WHEN len(ys) >= 2 THEN ys ELSE [query_id // 10 % 7, query_id // 20 % 7] END AS many, least(c, 0.7) AS c FROM merged),
+    told AS (SELECT query_id, group_id, c, list_avg(list_transform(few, lambda x: CASE WHEN list_contains(many, x) THEN 1.0 ELSE 0.5 END)) AS s, list_avg(list_transform(few, lambda x: CASE WHEN list_contains(many, x) THEN 1.0 ELSE 0.0 END)) AS r FROM met),
+    w AS (SELECT g.*, CASE WHEN r > 0 THEN s END AS f, coalesce(0.30 * c * r * 0.2, 0) AS w FROM cores g LEFT JOIN told USING (query_id, group_id)),
+    x AS (SELECT *, CASE WHEN f IS NULL THEN similarity ELSE similarity * (1 - w) + f * w END AS final FROM w)
+    SELECT query_id, group_id, asset_id, round(similarity, 4) AS similarity, support, round(f, 4) AS feature_score, round(final, 4) AS final_score, round(final + CASE WHEN mode = 'supported' THEN 0.06 * 0.8 ELSE 0 END, 4) AS ranking FROM x""",
+)
+def group_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by pictures, the two best of each kind by content too. An asset shows two things, a query asks for two."""
+    asked, library = query_vectors(spark, sf_dir)
+    scores = matching.scored(asked, library)
+    thing = lambda i: pick(THINGS, i)
+    n, q = F.col("asset_id"), F.col("query_id")
+    contents = assets(spark, sf_dir).select("asset_id", F.array(thing(n % 7), thing(n % 5)).alias("objects"), (0.5 + 0.1 * (n % 4)).alias("confidence"))
+    wanted = asked.select("query_id", F.array(thing(F.floor(q / 10) % 7), thing(F.floor(q / 20) % 7)).alias("objects"), F.lit(0.7).alias("confidence"))
+    cores = scores.select("query_id", "group_id").distinct().select("query_id", "group_id", mode_of(F.col("group_id")).alias("mode"), F.lit(0.8).alias("core"))
+    out = evidence.group_candidates(scores, cores, contents, wanted, refined=2, support=0.25)
+    return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("similarity", "feature_score", "final_score", "ranking")})
