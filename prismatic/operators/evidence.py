@@ -147,3 +147,30 @@ def group_candidates(scores: DataFrame, cores: DataFrame, contents: DataFrame, a
     final, _ = score.blended(F.col("similarity"), F.col("feature_score"), F.coalesce("reliability", F.lit(0.0)), F.coalesce("coverage", F.lit(0.0)))
     rows = rows.withColumn("final_score", final)
     return rows.withColumn("ranking", semantic_rank(F.col("final_score"), F.col("mode"), F.col("core"))).select("query_id", "group_id", "asset_id", "similarity", "support", "feature_score", "final_score", "ranking")
+
+
+def standard_selection(answers: DataFrame, evaluations: DataFrame, standards: DataFrame) -> DataFrame:
+    """image_id, selected, error: which standard (small table: standard_id, fallback) each answer comes to.
+
+    answers: image_id, selected_id; evaluations: image_id, standard_id, matched. A named standard goes
+    before all, but must be one of those given. Without it the only match counts, then the fallback. Two
+    matches, a match beside a matched fallback, nothing to take, or two fallbacks are errors, without a
+    selection.
+    """
+    known = standards.agg(F.collect_set("standard_id").alias("known"), F.max(F.when(F.col("fallback"), F.col("standard_id"))).alias("fallback"), F.count_if("fallback").alias("fallbacks"))
+    of = evaluations.crossJoin(F.broadcast(known.select("fallback")))
+    specific = F.col("matched") & ~F.col("standard_id").eqNullSafe(F.col("fallback"))
+    hits = of.groupBy("image_id").agg(
+        F.count_if(specific).alias("hits"), F.max(F.when(specific, F.col("standard_id"))).alias("hit"), F.coalesce(F.bool_or(F.col("matched") & (F.col("standard_id") == F.col("fallback"))), F.lit(False)).alias("also")
+    )
+    rows = answers.join(hits, "image_id", "left").crossJoin(F.broadcast(known)).withColumns({"hits": F.coalesce("hits", F.lit(0)), "also": F.coalesce("also", F.lit(False))})
+    named = F.col("selected_id").isNotNull()
+    error = (
+        F.when(F.col("fallbacks") > 1, "fallbacks")
+        .when(named & ~F.array_contains("known", F.col("selected_id")), "foreign")
+        .when(named, None)
+        .when((F.col("hits") > 1) | ((F.col("hits") == 1) & F.col("also")), "ambiguous")
+        .when((F.col("hits") == 0) & F.col("fallback").isNull(), "none")
+    )
+    taken = F.coalesce("selected_id", F.when(F.col("hits") == 1, F.col("hit")).otherwise(F.col("fallback")))
+    return rows.withColumn("error", error).select("image_id", F.when(F.col("error").isNull(), taken).alias("selected"), "error")

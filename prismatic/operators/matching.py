@@ -288,3 +288,20 @@ def phrase_evidence(a: Column, b: Column, neutral: float = 0.5) -> Column:
         .when(F.contains(a, b) | F.contains(b, a), made(F.greatest(F.lit(0.75), ratio), 1, "normalized"))
         .otherwise(by_letters)
     )
+
+
+class PrototypeIndex:
+    """The prototypes of a library as a written table, made anew when the library's generation changes or they are older than max_age seconds."""
+
+    def __init__(self, limit: int = 12, max_age: float = 300):
+        self.limit, self.max_age = limit, max_age
+        self._held: tuple[object, float, DataFrame] | None = None
+
+    def at(self, library: DataFrame, generation: object, now: float) -> DataFrame:
+        """The index for a generation (null: unknown, then only its age counts) at a time in seconds."""
+        held = self._held
+        if held is None or now - held[1] >= self.max_age or (generation is not None and generation != held[0]):
+            vectors = library.select("group_id", "asset_id", "vector")
+            rows = vectors.join(prototypes(vectors, self.limit).select("asset_id", "rank"), "asset_id")
+            held = self._held = (generation, now, checkpointed(rows))
+        return held[2]

@@ -220,3 +220,37 @@ def group_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cores = scores.select("query_id", "group_id").distinct().select("query_id", "group_id", mode_of(F.col("group_id")).alias("mode"), F.lit(0.8).alias("core"))
     out = evidence.group_candidates(scores, cores, contents, wanted, refined=2, support=0.25)
     return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("similarity", "feature_score", "final_score", "ranking")})
+
+
+@query(
+    "k10_selected_standard",
+    """WITH e AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN event_id % 9 END AS sel, (event_id + 2 * k) % 8 AS std, k = (event_id // 4) % 5 OR ((event_id // 4) % 5 = 3 AND k < 2) AS hit FROM events, range(3) t(k)),
+    m AS (SELECT id, any_value(sel) AS sel, count(*) FILTER (WHERE hit AND std <> 6) AS n, max(std) FILTER (WHERE hit AND std <> 6) AS one, bool_or(hit AND std = 6) AS also FROM e GROUP BY id)
+    SELECT id AS image_id, CASE WHEN sel < 7 THEN sel WHEN sel >= 7 OR n > 1 OR (n = 1 AND also) THEN NULL WHEN n = 1 THEN one ELSE 6 END AS selected, CASE WHEN sel >= 7 THEN 'foreign' WHEN sel IS NULL AND (n > 1 OR (n = 1 AND also)) THEN 'ambiguous' END AS error FROM m""",
+)
+def selected_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    events = table(spark, sf_dir, "events").select("event_id")
+    answers = events.select(n.alias("image_id"), F.when(n % 4 == 0, n % 9).alias("selected_id"))
+    p, k = F.floor(n / 4) % 5, F.col("k")
+    told = events.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(n.alias("image_id"), ((n + 2 * k) % 8).alias("standard_id"), ((k == p) | ((p == 3) & (k < 2))).alias("matched"))
+    standards = spark.range(7).select(F.col("id").alias("standard_id"), (F.col("id") == 6).alias("fallback"))
+    return evidence.standard_selection(answers, told, standards)
+
+
+@query("x37_archive_names", "SELECT page_id, '007_' || CASE WHEN trim(regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '')) = '' THEN page_id::VARCHAR ELSE trim(regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '')) END || '.jpg' AS name FROM pages")
+def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names in an archive, from the last part of each address."""
+    return table(spark, sf_dir, "pages").select("page_id", text.archive_name(F.lit(7), F.col("url"), F.col("page_id").cast("string")).alias("name"))
+
+
+@query("v15_rebuilt_prototypes")
+def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library with the prototypes of changed groups (a third of them) chosen anew and their versions raised; in the others the three smallest ids stay."""
+    rows = assets(spark, sf_dir)
+    changed = F.col("group_id") % 3 == 0
+    anew = matching.prototypes(rows.where(changed), 5).select("asset_id", F.lit(True).alias("anew"))
+    old = rows.where(~changed).groupBy("group_id").agg(F.slice(F.array_sort(F.collect_set("asset_id")), 1, 3).alias("old"))
+    flagged = rows.select("asset_id", "group_id").join(anew, "asset_id", "left").join(old, "group_id", "left")
+    kept = F.coalesce(F.array_contains("old", F.col("asset_id")), F.lit(False))
+    return flagged.select("asset_id", "group_id", (F.coalesce("anew", F.lit(False)) | kept).alias("prototype"), F.when(changed, 2).otherwise(1).alias("version"))

@@ -162,6 +162,7 @@ def leased(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("z8_fair_order")
 def fair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waiters in their turn, in eight lanes. A lane's queue holds 256; who comes while it is full is turned away and has no row, which is the queue's own rule."""
     rows = _requests(spark, sf_dir).select((F.col("owner") % 8).alias("lane"), F.col("request").alias("token"), (F.col("request") % 4 + 1).alias("stage"), F.col("owner").alias("job"), F.floor(F.col("at_ms") / 100).alias("at_ms"))
     return sequential.fair_order(rows)
 

@@ -47,3 +47,14 @@ def append_metrics(rows: DataFrame, path: str) -> None:
 def append_manifest(rows: DataFrame, path: str, by: str = "job_id") -> None:
     """Jobs' items, in folders by job, so that a job is read without the others."""
     rows.write.mode("append").partitionBy(by).parquet(path)
+
+
+def queries_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Queries, a JSON object a line: id (query_id, else id), expected_group_id, sha256, embedding and analysis. A line that isn't one or lacks an id or an embedding fails the job that reads it."""
+    kind = "query_id string, id string, expected_group_id string, sha256 string, embedding string, analysis_json string, broken string"
+    rows = spark.read.schema(kind).option("columnNameOfCorruptRecord", "broken").json(path)
+    name = F.coalesce(F.nullif(F.trim("query_id"), F.lit("")), F.nullif(F.trim("id"), F.lit("")))
+    vector = F.from_json("embedding", "array<double>")
+    bad = F.col("broken").isNotNull() | name.isNull() | vector.isNull() | (F.size(vector) == 0)
+    checked = F.when(bad, F.raise_error(F.lit("a line without a query_id or an embedding"))).otherwise(name)
+    return rows.select(checked.alias("query_id"), F.nullif(F.trim("expected_group_id"), F.lit("")).alias("expected_group_id"), "sha256", vector.alias("embedding"), F.try_parse_json("analysis_json").alias("analysis"))

@@ -255,6 +255,38 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).first()["value"] == 1.0
 
 
+def test_queries_of_lines(spark, tmp_path):
+    path = tmp_path / "q.jsonl"
+    path.write_text('{"query_id": " a ", "embedding": "[1.0, 2.0]", "expected_group_id": ""}\n\n{"id": "b", "embedding": [3.0], "expected_group_id": "g", "analysis_json": {"scene": "hall"}}\n')
+    found = {r["query_id"]: (r["embedding"], r["expected_group_id"]) for r in files.queries_jsonl(spark, str(path)).drop("analysis").collect()}
+    assert found == {"a": ([1.0, 2.0], None), "b": ([3.0], "g")}
+    for bad in ('{"id": "c"}', '{"embedding": [1.0]}', '{"id": "c", "embedding": []}', "{"):
+        path.write_text(bad + "\n")
+        with pytest.raises(Exception, match="query_id or an embedding"):
+            files.queries_jsonl(spark, str(path)).drop("analysis").collect()
+
+
+def test_index_is_made_anew(spark):
+    rows = spark.createDataFrame([(k, k % 2, [1.0 * k, 1.0]) for k in range(8)], "asset_id long, group_id int, vector array<double>")
+    index = matching.PrototypeIndex(limit=2, max_age=300)
+    first = index.at(rows, 1, 0.0)
+    assert first.count() == 4
+    assert index.at(rows, 1, 299.0) is first and index.at(rows, None, 299.0) is first
+    second = index.at(rows.where("group_id = 0"), 2, 299.0)
+    assert second is not first and second.count() == 2
+    assert index.at(rows, 2, 600.0).count() == 4
+
+
+def test_standard_selection(spark):
+    answers = spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (4, None), (5, None), (6, None)], "image_id long, selected_id string")
+    told = spark.createDataFrame([(1, "b", True), (3, "b", True), (3, "z", False), (4, "a", True), (4, "b", True), (5, "a", True), (5, "z", True)], "image_id long, standard_id string, matched boolean")
+    standards = lambda *rows: spark.createDataFrame(rows, "standard_id string, fallback boolean")
+    got = lambda s: [(r["selected"], r["error"]) for r in evidence.standard_selection(answers, told, s).orderBy("image_id").collect()]
+    assert got(standards(("a", False), ("b", False), ("z", True))) == [("a", None), (None, "foreign"), ("b", None), (None, "ambiguous"), (None, "ambiguous"), ("z", None)]
+    assert got(standards(("a", False), ("b", False))) == [("a", None), (None, "foreign"), ("b", None), (None, "ambiguous"), (None, "ambiguous"), (None, "none")]
+    assert {e for _, e in got(standards(("a", True), ("z", True)))} == {"fallbacks"}
+
+
 def test_streams_give_what_batches_give(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet").limit(300)
     events.repartition(3).write.parquet(str(tmp_path / "in"))
