@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import score, text, vector
 from ..session import checkpointed
 
-#: A side of this many rows at most is broadcast; beyond it rows and queries meet in blocks.
-BROADCAST_ROWS, BLOCK_ROWS = 20_000, 4096
+#: A table of rules of this many rows at most is broadcast.
+BROADCAST_ROWS = 20_000
+#: Rows and queries meet in blocks of about this many: a million products, 32 MB, a task at a time.
+BLOCK_ROWS = 1024
 #: A group of this many rows at most is worked on in one task.
 GROUP_ROWS = 100_000
 
@@ -24,20 +26,29 @@ def unit_vectors(frame: DataFrame, column: str = "vector", size: int | None = No
 
 
 def scored(queries: DataFrame, library: DataFrame) -> DataFrame:
-    """Every query (query_id, query_vector) against every library row (asset_id, group_id, vector): similarity, 0 to 1.
+    """Every query (query_id, query_vector) against every library row (asset_id, group_id, vector) of the same size: similarity, 0 to 1.
 
-    A small library is broadcast. A large one is dealt into blocks, as are the queries, and each pair of
-    blocks meets by key, so no side is ever whole in one place.
+    Both sides are dealt into blocks of about BLOCK_ROWS rows, and each pair of blocks is one product of
+    matrices in one task, so no side is ever whole in one place.
     """
-    rows = library.count()
-    similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), vector.dot(F.col("query_vector"), F.col("vector")))).alias("similarity")
-    if rows <= BROADCAST_ROWS:
-        met = queries.crossJoin(F.broadcast(library))
-    else:
-        blocks = -(-rows // BLOCK_ROWS)
-        dealt = library.withColumn("_b", F.pmod(F.xxhash64("asset_id"), F.lit(blocks)))
-        met = queries.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_b").drop("_b")
-    return met.select("query_id", "asset_id", "group_id", similarity)
+    blocks = {side: max(1, -(-rows.count() // BLOCK_ROWS)) for side, rows in (("q", queries), ("l", library))}
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    asked = queries.select("query_id", "query_vector", F.size("query_vector").alias("size"), of("query_id", blocks["q"]).alias("q"), every(blocks["l"]).alias("l"))
+    dealt = library.select("asset_id", "group_id", "vector", F.size("vector").alias("size"), of("asset_id", blocks["l"]).alias("l"), every(blocks["q"]).alias("q"))
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query_id": x["query_id"].iloc[:0], "asset_id": y["asset_id"].iloc[:0], "group_id": y["group_id"].iloc[:0], "similarity": np.zeros(0)})
+        # not a BLAS product: equal vectors have equal products wherever they stand
+        products = np.einsum("id,jd->ij", np.stack(x["query_vector"]), np.stack(y["vector"]))
+        i, j = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
+        return pd.DataFrame({"query_id": x["query_id"].to_numpy()[i], "asset_id": y["asset_id"].to_numpy()[j], "group_id": y["group_id"].to_numpy()[j], "similarity": np.clip(products.ravel(), 0.0, 1.0)})
+
+    keys = ["size", "q", "l"]
+    kinds = {**dict(queries.dtypes), **dict(library.dtypes)}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "asset_id", "group_id")) + ", similarity double"
+    return asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(product, schema)
 
 
 def nearest(scores: DataFrame, k: int) -> DataFrame:

@@ -141,9 +141,14 @@ def test_scores_in_blocks_are_the_same(spark, monkeypatch):
     rows = spark.createDataFrame([(k, k % 3, rng.normal(size=4).tolist()) for k in range(60)], "asset_id long, group_id int, vector array<double>")
     asked = rows.limit(7).select(F.col("asset_id").alias("query_id"), F.col("vector").alias("query_vector"))
     whole = {tuple(r) for r in matching.scored(asked, rows).collect()}
-    monkeypatch.setattr(matching, "BROADCAST_ROWS", 10)
+    vectors = {r["asset_id"]: np.array(r["vector"]) for r in rows.collect()}
+    expected = {(q["query_id"], k): max(0.0, min(1.0, float(np.dot(q["query_vector"], v)))) for q in asked.collect() for k, v in vectors.items()}
+    assert {(q, k): s for q, k, _, s in whole} == pytest.approx(expected) and all(g == k % 3 for _, k, g, _ in whole)
     monkeypatch.setattr(matching, "BLOCK_ROWS", 8)
     assert {tuple(r) for r in matching.scored(asked, rows).collect()} == whole
+    other = spark.createDataFrame([(99, 0, [1.0])], rows.schema)
+    assert matching.scored(asked, rows.union(other)).count() == len(whole)
+    assert matching.scored(asked.limit(0), rows).count() == 0 == matching.scored(asked, rows.limit(0)).count()
 
 
 def test_banded_pairs_are_all_pairs(spark):
