@@ -102,4 +102,43 @@ SELECT b.doc_id, b.n_bytes::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT
 FROM bytes b LEFT JOIN counted c USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLES = {"op2_near_duplicates": OP2, "op7_topk": OP7, "op9_substring_dedup": OP9, "op10_suffix_dedup": OP10}
+#: Conversations rebuilt from their turns, a row for each first d turns of each, and sums over nodes through the smallest conversation of every node.
+OP11 = """
+WITH turns AS (
+  SELECT conv_id, turn, left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS digest, strlen(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT conv_id, digest, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place FROM turns
+), convs AS (
+  SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), parts AS (
+  SELECT c.conv_id, 0 AS part, p.place, p.digest, p.size FROM convs c JOIN placed p ON p.conv_id = c.conv_id - c.conv_id % 5 AND p.place <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, p.place, p.digest, p.size FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.place > c.h
+), rebuilt AS (
+  SELECT conv_id, digest, size, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM parts
+), chain AS (
+  SELECT conv_id, depth, size, string_agg(digest, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM chain GROUP BY node, depth
+), children AS (
+  SELECT left(node, length(node) - 32) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), last AS (
+  SELECT conv_id, max_by(node, depth) AS node FROM chain GROUP BY conv_id
+), ended AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM last GROUP BY node
+), sums AS (
+  SELECT a.node, count(*) FILTER (c.node IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.size) AS saved_tokens
+  FROM nodes v LEFT JOIN children c ON c.node = v.node JOIN chain a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN children c ON c.node = n.node LEFT JOIN ended e ON e.node = n.node
+  LEFT JOIN nodes p ON n.depth > 0 AND p.node = left(n.node, length(n.node) - 32)
+"""
+
+ORACLES = {"op11_prefix_trie": OP11, "op2_near_duplicates": OP2, "op7_topk": OP7, "op9_substring_dedup": OP9, "op10_suffix_dedup": OP10}

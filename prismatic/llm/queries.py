@@ -15,9 +15,11 @@ from .licenses import scan
 from .media import BLOCK, store_and_fingerprint
 from .oracles import ORACLES
 from .packing import pack_documents
+from .prefix_trie import prefix_trie
 from .token_counts import count_tokens
 from .topk import search
 from .toxicity import held_out, learn, score
+from .whitening import whitened
 
 
 def vocabulary(name: str) -> str:
@@ -93,6 +95,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", _removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -106,4 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
 }
