@@ -11,6 +11,7 @@ from . import debruijn, suffix_dedup
 from .bagminhash import near_duplicates
 from .bpe import encode_decode
 from .common import table
+from .language_model import language_scores
 from .licenses import scan
 from .media import BLOCK, store_and_fingerprint
 from .oracles import ORACLES
@@ -103,6 +104,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -118,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_whitening": op12_whitening,
+    "op13_language_model": op13_language_model,
 }
