@@ -1,7 +1,8 @@
 """Windows of a fixed number of units (bytes or words), in runs that share an anchor.
 
-Every window contains a number of k-unit grams; the one with the smallest hash is its anchor. The
-anchor depends on the window's content alone, so equal windows have equal anchors, wherever they are.
+Every window contains a number of k-unit grams; the one with the smallest hash is its anchor (of those that
+agree in its upper half, the first). The anchor depends on the window's content alone, so equal windows have equal
+anchors, wherever they are, and in however long a slice.
 Neighbouring windows mostly share theirs: a run of them is one row (anchor, content, where it starts,
 how many), a few dozen times fewer rows than windows. All rows that can share a window have the same
 anchor and meet in one shuffle by it.
@@ -17,6 +18,8 @@ import pyarrow as pa
 #: Fixed odd factors of the hashes.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: The bits that hold a gram's place among the units of a slice.
+PLACES = np.uint64((1 << 32) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -127,11 +130,10 @@ def runs(spans: Spans, units: int, ends: np.ndarray, window: int, k: int) -> tup
     if units < window:
         return none, none, none.astype(np.int64), none.astype(np.int64)
     hashes = spans.grams(k, units)
+    # Grams are in the order of the upper half of their hashes, then of their places: that of two grams of a window doesn't depend on what lies around it, nor on how much does.
     place = np.arange(len(hashes), dtype=np.uint64)
-    bits = np.uint64(max(1, int(len(hashes)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    least = sliding_least((hashes & ~low) | place, window - k + 1)
-    at = (least & low).astype(np.int64)
+    least = sliding_least((hashes & ~PLACES) | place, window - k + 1)
+    at = (least & PLACES).astype(np.int64)
     # Windows that end in their own document.
     good = np.ones(len(at), bool)
     cut = ends[:-1][:, None] - np.arange(1, window)[None, :]

@@ -56,6 +56,40 @@ def test_rows_that_repeat_an_id_are_cut_by_their_own_texts(spark):
     assert sorted((r["doc_id"], r["text"]) for r in suffix_dedup.without_repeats(docs).collect()) == [(1, a), (5, ""), (5, c), (7, "")]
 
 
+class Grams:
+    """Spans whose grams have hashes as given."""
+
+    def __init__(self, hashes):
+        self.hashes = np.array(hashes, np.uint64)
+
+    def grams(self, k, units):
+        return self.hashes[: units - k + 1]
+
+    def of(self, start, end):
+        return np.zeros(len(start), np.uint64)
+
+
+def test_anchors_do_not_depend_on_what_lies_around():
+    """Grams that agree in all bits but the lowest, the order of which a place must not change, in slices of two sizes."""
+    rng = np.random.default_rng(4)
+    k, window = 24, 100
+    own = (rng.integers(0, 3, 77).astype(np.uint64) << np.uint64(60)) | rng.integers(0, 1 << 22, 77).astype(np.uint64)
+    alone = runs(Grams(own), window, np.array([window]), window, k)[0]
+    for before in (5, 1000, 3_000_000):
+        around = rng.integers(1 << 61, 1 << 63, before).astype(np.uint64)
+        anchor, _, start, n = runs(Grams(np.concatenate([around, own])), before + window, np.array([before, before + window]), window, k)
+        assert anchor[start == before] == alone and n[start == before] == 1
+
+
+def test_a_string_in_slices_of_any_size(spark):
+    rng = random.Random(5)
+    string = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100))
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5_000_000))
+    docs = spark.createDataFrame([(1, long + string), (2, string), (3, "x " + string)], "doc_id long, text string")
+    found = {r["doc_id"]: sum(s["end"] - s["start"] for s in r["spans"]) for r in suffix_dedup.dedup(docs).select("doc_id", "spans").collect()}
+    assert found == {1: 0, 2: 100, 3: 100}
+
+
 def test_words_whose_polynomials_are_equal_stay(spark):
     x, y = thue_morse(2048)
     lead = " ".join(f"w{k}" for k in range(12))
