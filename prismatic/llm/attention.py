@@ -17,8 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Positions of a block, dimensions of an id, hidden units, classes of ids, blocks of a step, and rate of the first steps.
-BLOCK, WIDTH, HIDDEN, CLASSES, STEP_BLOCKS, RATE = 8, 16, 32, 32, 1024, 2e-2
+#: Positions of a block, dimensions of an id, hidden units, classes of ids, blocks of a step (whose arrays fit a processor's own memory), and rate of the first steps.
+BLOCK, WIDTH, HIDDEN, CLASSES, STEP_BLOCKS, RATE = 8, 16, 32, 32, 256, 2e-2
 DISCOUNT, ROUNDS = 0.75, 15
 f4 = np.float32
 
