@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from . import pixels
+from . import pixels, resampling
 
 #: Fixed values of sRGB and its white point, for lightness and colour as Lab.
 TO_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
@@ -19,7 +19,7 @@ GRAY = np.array([0.299, 0.587, 0.114])
 
 @dataclass(frozen=True)
 class Retouch:
-    """How far each step goes; the defaults change nothing."""
+    """How far each step goes, and how long the longer side is at least; the defaults change nothing."""
 
     white_balance: float = 0.0
     shadow_lift: float = 0.0
@@ -33,6 +33,7 @@ class Retouch:
     color: float = 1.0
     clarity: float = 0.0
     sharpness: float = 1.0
+    longest: int = 0
 
 
 def as_bytes(values: np.ndarray) -> np.ndarray:
@@ -213,9 +214,9 @@ def enhanced(rgb: np.ndarray, plan: Retouch) -> np.ndarray:
     return blended(np.repeat(gray(out)[..., None], 3, axis=2), out, plan.color)
 
 
-def retouched(rgb: np.ndarray, plan: Retouch) -> np.ndarray:
-    """All steps in their fixed order; those of no strength are left out."""
-    out = rgb
+def retouched(rgb: np.ndarray, plan: Retouch, turn: float | None = None) -> np.ndarray:
+    """All steps in their fixed order, straightening first and size before sharpness; those of no strength are left out."""
+    out = resampling.turned(rgb, turn) if turn else rgb
     if plan.white_balance:
         out = pixels.white_balanced(out, plan.white_balance)
     if plan.shadow_lift or plan.highlight_recovery:
@@ -229,27 +230,7 @@ def retouched(rgb: np.ndarray, plan: Retouch) -> np.ndarray:
     out = enhanced(out, plan)
     if plan.clarity:
         out = clarified(out, plan.clarity)
-    return sharpened(out, plan.sharpness)
-
-
-def turned(image: np.ndarray, degrees: float) -> np.ndarray:
-    """Turned about its middle, counterclockwise, cut by what would be empty and brought back to its size, between the four next pixels."""
-    h, w = image.shape[:2]
-    angle = np.radians(degrees)
-    inset = int(np.ceil(max(h, w) * np.sin(abs(angle)))) + 2
-    full_w, full_h = (abs(w * np.cos(angle)) + abs(h * np.sin(angle)), abs(h * np.cos(angle)) + abs(w * np.sin(angle)))
-    if min(full_w, full_h) <= 2 * inset:
-        raise ValueError("nothing is left of the picture")
-    x = ((np.arange(w) + 0.5) / w - 0.5) * (full_w - 2 * inset)
-    y = (((np.arange(h) + 0.5) / h - 0.5) * (full_h - 2 * inset))[:, None]
-    sx = np.clip(x * np.cos(angle) - y * np.sin(angle) + w / 2 - 0.5, 0, w - 1)
-    sy = np.clip(x * np.sin(angle) + y * np.cos(angle) + h / 2 - 0.5, 0, h - 1)
-    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-    fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
-    rgb = image.reshape(h, w, -1).astype(float)
-    out = (rgb[y0, x0] * (1 - fx) + rgb[y0, x1] * fx) * (1 - fy) + (rgb[y1, x0] * (1 - fx) + rgb[y1, x1] * fx) * fy
-    return as_bytes(np.rint(out)).reshape(image.shape)
+    return sharpened(resampling.at_least(out, plan.longest), plan.sharpness)
 
 
 def upright(image: np.ndarray, orientation: int) -> np.ndarray:
@@ -312,10 +293,10 @@ def each_picture(pictures: DataFrame, step) -> DataFrame:
 
 
 def retouch_all(pictures: DataFrame, plan: Retouch) -> DataFrame:
-    """image_id, pixels and the measures before and after (x_before, x_after) of RGB pictures (image_id, width, height, pixels).
+    """image_id, width, height, pixels and the measures before and after (x_before, x_after) of RGB pictures (image_id, width, height, pixels).
 
-    A picture without pixels has empty pixels and no measures. All pictures of a batch are worked on by
-    themselves, so memory follows the largest picture.
+    A column turn, if there is one, has the degrees by which each picture is straightened, or null. A picture without pixels has empty pixels
+    and no measures. All pictures of a batch are worked on by themselves, so memory follows the largest picture.
     """
     names = [f"{m}_{when}" for m in MEASURES for when in ("before", "after")]
 
@@ -327,9 +308,10 @@ def retouch_all(pictures: DataFrame, plan: Retouch) -> DataFrame:
                     rows.append({"image_id": row.image_id, "pixels": b""})
                     continue
                 before = np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width, 3)
-                after = retouched(before, plan)
+                turn = getattr(row, "turn", None)
+                after = retouched(before, plan, None if turn is None or np.isnan(turn) else turn)
                 told = {f"{m}_{when}": v for when, image in (("before", before), ("after", after)) for m, v in measures(image).items()}
-                rows.append({"image_id": row.image_id, "pixels": after.tobytes(), **told})
-            yield pd.DataFrame(rows, columns=["image_id", "pixels", *names])
+                rows.append({"image_id": row.image_id, "width": after.shape[1], "height": after.shape[0], "pixels": after.tobytes(), **told})
+            yield pd.DataFrame(rows, columns=["image_id", "width", "height", "pixels", *names]).fillna({"width": 0, "height": 0})
 
-    return pictures.mapInPandas(work, "image_id long, pixels binary, " + ", ".join(f"{n} double" for n in names))
+    return pictures.mapInPandas(work, "image_id long, width int, height int, pixels binary, " + ", ".join(f"{n} double" for n in names))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, pixels, retouching, sequential
+from ..operators import matching, pixels, retouching, sequential, shapes
 from ..streaming import stages
 from .aggregates import report
 from .registry import assets, query, table
@@ -94,9 +94,10 @@ def colour_pictures(docs: DataFrame, side: int = 16) -> DataFrame:
 
 @query("i7_retouched")
 def retouched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A picture from each whole text through all steps, with what it is accepted by before and after."""
-    plan = retouching.Retouch(0.5, 0.3, 0.2, 0.5, 0.3, 2.0, 0.3, 1.04, 1.05, 1.03, 0.3, 1.2)
-    out = retouching.retouch_all(colour_pictures(table(spark, sf_dir, "documents")), plan)
+    """A picture from each whole text through all steps, straightened where its lines say so, with what it is accepted by before and after."""
+    plan = retouching.Retouch(0.5, 0.3, 0.2, 0.5, 0.3, 2.0, 0.3, 1.04, 1.05, 1.03, 0.3, 1.2, longest=64)
+    images = colour_pictures(table(spark, sf_dir, "documents"))
+    out = retouching.retouch_all(images.join(shapes.skew_turns(images), "image_id", "left"), plan)
     return out.withColumn("pixels", F.sha2("pixels", 256)).withColumnRenamed("pixels", "sha")
 
 

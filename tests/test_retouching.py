@@ -101,12 +101,6 @@ def test_turning_and_orientation(image):
     assert (retouching.upright(image, 8) == np.rot90(image, 1)).all()
     assert (retouching.upright(image, 5) == image.swapaxes(0, 1)).all()
     assert (retouching.upright(image, 7) == np.rot90(image, 2).swapaxes(0, 1)).all()
-    slope = np.tile(np.arange(0, 200, 2, dtype=np.uint8), (100, 1))
-    # a ramp to the right, turned counterclockwise, falls off downwards by the sine of the angle
-    got = retouching.turned(slope, 5.0).astype(float)
-    assert got[60, 50] != got[40, 50] and np.sign(got[60, 50] - got[40, 50]) == np.sign(np.sin(np.radians(-5.0)))
-    with pytest.raises(ValueError):
-        retouching.turned(slope[:4, :4], 3.0)
 
 
 def test_a_mark_comes_off(image):
