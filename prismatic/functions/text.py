@@ -88,10 +88,10 @@ def fenced_json(text: Column) -> Column:
 
 
 def archive_name(index: Column, key: Column, fallback: Column) -> Column:
-    """NNN_name.jpg from the last part of a key without its extension and unprintable characters."""
+    """NNN_name.jpg from the last part of a key without its extension and unprintable characters; a larger index has as many digits as it needs."""
     base = F.element_at(F.split(F.replace(key, F.lit("\\"), F.lit("/")), "/"), -1)
     stem = F.trim(F.regexp_replace(F.regexp_replace(base, r"\.[^.]*$", ""), r"[\x00-\x1f\x7f]", ""))
-    return F.concat(F.lpad(index.cast("string"), 3, "0"), F.lit("_"), F.when(F.length(stem) > 0, stem).otherwise(fallback), F.lit(".jpg"))
+    return F.concat(F.format_string("%03d", index), F.lit("_"), F.when(F.length(stem) > 0, stem).otherwise(fallback), F.lit(".jpg"))
 
 
 def label(text: Column, most: int = 200) -> Column:

@@ -233,7 +233,7 @@ def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("in_window", F.count("*").over(span)).where("later = 0").select("event_id", "in_window")
 
 
-@query("w10_archive_index", f"WITH {ITEMS} SELECT image_id, lpad(row_number() OVER (PARTITION BY job_id ORDER BY score DESC, image_id)::VARCHAR, 3, '0') || '_' || event_type || '.jpg' AS name FROM items WHERE status = 'selected'")
+@query("w10_archive_index", f"WITH {ITEMS} SELECT image_id, printf('%03d', row_number() OVER (PARTITION BY job_id ORDER BY score DESC, image_id)) || '_' || event_type || '.jpg' AS name FROM items WHERE status = 'selected'")
 def archive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import archive_name
 

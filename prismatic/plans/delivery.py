@@ -238,10 +238,10 @@ def selected_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.standard_selection(answers, told, standards)
 
 
-@query("x37_archive_names", "SELECT page_id, '007_' || CASE WHEN trim(regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '')) = '' THEN page_id::VARCHAR ELSE trim(regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '')) END || '.jpg' AS name FROM pages")
+@query("x37_archive_names", "SELECT page_id, printf('%03d', 900 + page_id % 200) || '_' || CASE WHEN trim(regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '')) = '' THEN page_id::VARCHAR ELSE trim(regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '')) END || '.jpg' AS name FROM pages")
 def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names in an archive, from the last part of each address."""
-    return table(spark, sf_dir, "pages").select("page_id", text.archive_name(F.lit(7), F.col("url"), F.col("page_id").cast("string")).alias("name"))
+    return table(spark, sf_dir, "pages").select("page_id", text.archive_name(900 + F.col("page_id") % 200, F.col("url"), F.col("page_id").cast("string")).alias("name"))
 
 
 @query("v15_rebuilt_prototypes")
