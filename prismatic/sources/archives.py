@@ -22,6 +22,8 @@ WHEN = (1980, 1, 1, 0, 0, 0)
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
     """Of a URI, or of a path that all executors share."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
