@@ -15,7 +15,7 @@ import base64
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +32,6 @@ from .repeats import written
 MODEL_IDS, HEAD_WORDS, COUNTED_WORDS, SHARD_IDS = 2048, 250_000, 400_000, 4_000_000
 #: Times that the first shard is learned from before the others.
 FIRST_EPOCHS = 3
-#: Words whose ids a task remembers, twice over: those of late and those of before.
-MEMORY_WORDS = 200_000
 #: Bytes of a text that are split into words at a time.
 PIECE_BYTES = 1 << 20
 SPACE = re.compile(rb"[\t-\r ]")
@@ -64,39 +62,6 @@ def tokenizer(path: str):
     return tiktoken.Encoding("words", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={}), ranks
 
 
-class Encoder:
-    """Ids of words, each after a space. A word's first id, and no other, begins with the space, so new words are encoded together; words of late are remembered."""
-
-    def __init__(self, path: str):
-        self.tool, ranks = tokenizer(path)
-        self.begins = np.array([label[:1] == b" " for label, _ in sorted(ranks.items(), key=lambda x: x[1])])
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def of(self, piece: list[bytes], distinct: Iterable[bytes]) -> bytes:
-        """The ids of the words of a piece, two bytes each; distinct has each of them at least once."""
-        if len(self.young) > MEMORY_WORDS:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for w in distinct:
-            if w not in young:
-                if (known := old.get(w)) is None:
-                    new.append(w)
-                else:
-                    young[w] = known
-        if new:
-            ids = np.array(self.tool.encode_ordinary((b" " + b" ".join(new)).decode()), "<u2")
-            at = [*(2 * np.flatnonzero(self.begins[ids])).tolist(), 2 * len(ids)]
-            raw = ids.tobytes()
-            young.update(zip(new, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
-        return b"".join(map(young.__getitem__, piece))
-
-
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """word (binary) and n over all documents. docs: text."""
 
@@ -139,20 +104,25 @@ def read_texts(docs: DataFrame, path: str, head: dict[bytes, int]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast({w: math.log10(n + 1) for w, n in head.items()})
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        tool, known = encoder(path), shared.value
+        tool, known = tokenizer(path)[0], shared.value
         total, found, logs, tails, ids = [], [], [], [], []
         for text in part.column("text").to_pylist():
             counts, codes, size = Counter(), [], 1
             for piece in words(text):
-                own = Counter(piece)
-                counts.update(own)
+                counts.update(piece)
                 size += len(piece)
-                codes.append(tool.of(piece, own))
-            of_head = [(n, log) for w, n in counts.items() if (log := known.get(w)) is not None]
+                codes.append(np.array(tool.encode_ordinary((b" " + b" ".join(piece)).decode()), "<u2").tobytes())
+            of_head, log, tail = 0, 0.0, []
+            for word in counts.items():
+                if (of_word := known.get(word[0])) is None:
+                    tail.append(word)
+                else:
+                    of_head += word[1]
+                    log += word[1] * of_word
             total.append(size)
-            found.append(sum(n for n, _ in of_head))
-            logs.append(math.fsum(n * log for n, log in of_head))
-            tails.append([(w, n) for w, n in counts.items() if w not in known])
+            found.append(of_head)
+            logs.append(log)
+            tails.append(tail)
             ids.append(b"".join(codes))
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
         rest = pa.StructArray.from_arrays([pa.array([w for t in tails for w, _ in t], pa.binary()), pa.array([n for t in tails for _, n in t], pa.int32())], ["word", "n"])

@@ -105,7 +105,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_scores(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return language_scores(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 __all__ = ["ORACLES", "QUERIES"]
