@@ -139,7 +139,7 @@ def group_candidates(scores: DataFrame, cores: DataFrame, contents: DataFrame, a
     top = scores.withColumn("n", F.row_number().over(order)).where(F.col("n") <= best_of).join(chosen, ["query_id", "group_id"], "left_semi")
     shown = top.select("query_id", "group_id", "asset_id", "n").join(contents, "asset_id").groupBy("query_id", "group_id", "objects", "confidence").agg(F.min("n").alias("n"))
     listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "objects"))), lambda e: e["objects"]))
-    merged = shown.groupBy("query_id", "group_id").agg(text.string_list(listed, 1000).alias("ys"), F.avg("confidence").alias("of_group"))
+    merged = shown.groupBy("query_id", "group_id").agg(text.string_list(listed, (1 << 31) - 1).alias("ys"), F.avg("confidence").alias("of_group"))
     met = merged.join(asked.select("query_id", F.col("objects").alias("xs"), F.col("confidence").alias("of_query")), "query_id")
     found = field_evidence({"objects": list_evidence(F.col("xs"), F.col("ys"))}, F.least("of_query", "of_group"))
     told = met.select("query_id", "group_id", found["score"].alias("feature_score"), found["reliability"].alias("reliability"), found["coverage"].alias("coverage"))

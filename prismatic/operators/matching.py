@@ -26,38 +26,73 @@ def unit_vectors(frame: DataFrame, column: str = "vector", size: int | None = No
 
 
 def scored(queries: DataFrame, library: DataFrame) -> DataFrame:
-    """Every query (query_id, query_vector) against every library row (asset_id, group_id, vector) of the same size: similarity, 0 to 1.
+    """Every query (query_id, query_vector) against every library row (asset_id, group_id, vector) of the same size: similarity, 0 to 1. All pairs are rows: what needs only the best of them asks `best_scored`."""
+    return _by_blocks(queries, library, None, 0.0)
 
-    Both sides are dealt into blocks of about BLOCK_ROWS rows, and each pair of blocks is one product of
-    matrices in one task, so no side is ever whole in one place.
+
+def best_scored(queries: DataFrame, library: DataFrame, top: int = 3, support: float = 0.78, by_group: bool = True, larger: bool = True) -> DataFrame:
+    """The `top` best library rows of each query and group (or of each query) in each block, ties to the larger (or smaller) id: similarity, and on the best of them how many rows there were (n) and how many reached `support` (s), 0 on the others.
+
+    So what is shuffled is a few rows for each query, group and block, not a row for each pair.
     """
+    return _by_blocks(queries, library, (top, by_group, larger), support)
+
+
+def _by_blocks(queries: DataFrame, library: DataFrame, best: tuple[int, bool, bool] | None, support: float) -> DataFrame:
+    """Both sides are dealt into blocks of about BLOCK_ROWS rows, and each pair of blocks is one product of matrices in one task, so no side is ever whole in one place."""
     blocks = {side: max(1, -(-rows.count() // BLOCK_ROWS)) for side, rows in (("q", queries), ("l", library))}
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     asked = queries.select("query_id", "query_vector", F.size("query_vector").alias("size"), of("query_id", blocks["q"]).alias("q"), every(blocks["l"]).alias("l"))
     dealt = library.select("asset_id", "group_id", "vector", F.size("vector").alias("size"), of("asset_id", blocks["l"]).alias("l"), every(blocks["q"]).alias("q"))
+    extra = {} if best is None else {"n": "long", "s": "long"}
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"query_id": x["query_id"].iloc[:0], "asset_id": y["asset_id"].iloc[:0], "group_id": y["group_id"].iloc[:0], "similarity": np.zeros(0)})
+            none = {"query_id": x["query_id"].iloc[:0], "asset_id": y["asset_id"].iloc[:0], "group_id": y["group_id"].iloc[:0], "similarity": np.zeros(0)}
+            return pd.DataFrame(none | {c: np.zeros(0, np.int64) for c in extra})
+        y = y.sort_values("asset_id", ascending=best is not None and not best[2], kind="stable")
         # not a BLAS product: equal vectors have equal products wherever they stand
-        products = np.einsum("id,jd->ij", np.stack(x["query_vector"]), np.stack(y["vector"]))
-        i, j = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
-        return pd.DataFrame({"query_id": x["query_id"].to_numpy()[i], "asset_id": y["asset_id"].to_numpy()[j], "group_id": y["group_id"].to_numpy()[j], "similarity": np.clip(products.ravel(), 0.0, 1.0)})
+        products = np.clip(np.einsum("id,jd->ij", np.stack(x["query_vector"]), np.stack(y["vector"])), 0.0, 1.0)
+        if best is None:
+            i, j = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
+            counts = {}
+        else:
+            i, j, counts = _best(products, y["group_id"].to_numpy() if best[1] else np.zeros(len(y), np.int8), best[0], support)
+        return pd.DataFrame({"query_id": x["query_id"].to_numpy()[i], "asset_id": y["asset_id"].to_numpy()[j], "group_id": y["group_id"].to_numpy()[j], "similarity": products[i, j]} | counts)
 
     keys = ["size", "q", "l"]
     kinds = {**dict(queries.dtypes), **dict(library.dtypes)}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "asset_id", "group_id")) + ", similarity double"
+    schema = ", ".join(f"{c} {k}" for c, k in ({c: kinds[c] for c in ("query_id", "asset_id", "group_id")} | {"similarity": "double"} | extra).items())
     return asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(product, schema)
 
 
+def _best(products: np.ndarray, groups: np.ndarray, top: int, support: float) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Rows and columns of the `top` largest products of each row and group of columns, earlier columns first among equals, with the counts."""
+    rows, columns, n, s = [], [], [], []
+    of_group = pd.Series(np.arange(len(groups))).groupby(groups, dropna=False).indices
+    for at in of_group.values():
+        part = products[:, at]
+        order = np.argsort(-part, axis=1, kind="stable")[:, :top]
+        rows.append(np.repeat(np.arange(len(part)), order.shape[1]))
+        columns.append(at[order].ravel())
+        first = np.zeros(order.shape, np.int64)
+        first[:, 0] = len(at)
+        n.append(first.ravel())
+        reached = np.zeros(order.shape, np.int64)
+        reached[:, 0] = (part >= support).sum(axis=1)
+        s.append(reached.ravel())
+    return np.concatenate(rows), np.concatenate(columns), {"n": np.concatenate(n), "s": np.concatenate(s)}
+
+
 def nearest(scores: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "asset_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def group_scores(scores: DataFrame, best_weight: float = 0.65, support: float = 0.78, top: int = 3) -> DataFrame:
-    """A row for each query and group: best_weight of the best and the rest of the mean of the best three; ties go to the larger id."""
+    """A row for each query and group: best_weight of the best and the rest of the mean of the best three; ties go to the larger id. Scores may be those of `best_scored` with the same support and at least as many, which have counts of their own."""
+    counted = "n" in scores.columns
     order = Window.partitionBy("query_id", "group_id").orderBy(F.desc("similarity"), F.desc("asset_id"))
     ranked = scores.withColumn("rn", F.row_number().over(order))
     first = F.max(F.when(F.col("rn") == 1, F.col("similarity")))
@@ -67,8 +102,8 @@ def group_scores(scores: DataFrame, best_weight: float = 0.65, support: float =
         first.alias("best"),
         mean.alias("top_mean"),
         (best_weight * first + (1 - best_weight) * mean).alias("similarity"),
-        F.count("*").alias("prototypes"),
-        F.count_if(F.col("similarity") >= support).alias("support"),
+        (F.sum("n") if counted else F.count("*")).alias("prototypes"),
+        (F.sum("s") if counted else F.count_if(F.col("similarity") >= support)).alias("support"),
     )
 
 
@@ -271,13 +306,17 @@ def leave_one_out_scores(library: DataFrame, limit: int = 12) -> DataFrame:
 def rule_evidence(facts: DataFrame, rules: DataFrame, least_confidence: float = 0.60) -> DataFrame:
     """query_id, group_id, score and mode of groups' rules against queries' texts.
 
-    facts: query_id, haystack, confidence. rules: group_id, dimension, keywords, least_hits, hard_gate (a
-    small table, checked to be one). A dimension passes if one of its rules has enough keyword hits and
-    the text is sure enough; all pass: supported; a hard one fails: conflicted; else unsupported.
+    facts: query_id, haystack, confidence. rules: group_id, dimension, keywords, least_hits, hard_gate. A
+    dimension passes if one of its rules has enough keyword hits and the text is sure enough; all pass:
+    supported; a hard one fails: conflicted; else unsupported. Rules are broadcast if there are few of them (counted first);
+    more are dealt into blocks, each of which meets every text in tasks of its own.
     """
-    if rules.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("more rules than a rule table has")
-    met = facts.crossJoin(F.broadcast(rules))
+    if rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = facts.crossJoin(F.broadcast(rules))
+    else:
+        blocks = -(-rules.count() // BROADCAST_ROWS)
+        dealt = rules.withColumn("_block", F.pmod(F.xxhash64("group_id", "dimension", "keywords"), F.lit(blocks)))
+        met = facts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
     hits = F.size(F.filter(F.array_distinct("keywords"), lambda k: (k != "") & F.contains(F.col("haystack"), F.lower(k))))
     direct = (F.size("keywords") > 0) & (hits >= F.col("least_hits"))
     by_rule = met.withColumn("direct", direct)

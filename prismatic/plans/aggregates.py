@@ -63,13 +63,13 @@ GROUPED = f"""{SCORES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY que
 
 @query("d8_group_visual", f"WITH {GROUPED} SELECT query_id, group_id, asset_id, round(best, 4) AS best, round(top_mean, 4) AS top_mean, round(similarity, 4) AS similarity, prototypes, support FROM grouped")
 def group_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.group_scores(matching.scored(*query_vectors(spark, sf_dir)), support=0.25)
+    rows = matching.group_scores(matching.best_scored(*query_vectors(spark, sf_dir), support=0.25), support=0.25)
     return rows.select("query_id", "group_id", "asset_id", rounded(F.col("best")).alias("best"), rounded(F.col("top_mean")).alias("top_mean"), rounded(F.col("similarity")).alias("similarity"), "prototypes", "support")
 
 
 @query("d9_group_content", f"WITH {GROUPED} SELECT query_id, group_id, round(0.6 * best + 0.4 * top_mean, 4) AS content FROM grouped")
 def group_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.group_scores(matching.scored(*query_vectors(spark, sf_dir)), best_weight=0.6)
+    rows = matching.group_scores(matching.best_scored(*query_vectors(spark, sf_dir)), best_weight=0.6)
     return rows.select("query_id", "group_id", rounded(F.col("similarity")).alias("content"))
 
 
@@ -88,7 +88,7 @@ DECIDED = f"""{GROUPED}, placed AS (SELECT *, row_number() OVER w AS rank, lead(
 def decisions(spark: SparkSession, sf_dir: str, auto: float = 0.35) -> DataFrame:
     """Group-scored matches of the query set with the group each query truly has."""
     asked, library = query_vectors(spark, sf_dir)
-    rows = matching.group_scores(matching.scored(asked, library), support=0.25)
+    rows = matching.group_scores(matching.best_scored(asked, library, support=0.25), support=0.25)
     found = matching.decided(rows.withColumns({"final_score": F.col("similarity"), "feature_score": F.lit(None).cast("double")}), auto=auto)
     return found.join(asked.select("query_id", "expected"), "query_id")
 
@@ -109,9 +109,9 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(decisions(spark, sf_dir).rollup("expected"))
 
 
-@query("d13_threshold_sweep", f"WITH {DECIDED} SELECT threshold, count(*) FILTER (WHERE final_score >= threshold) AS automatic, count(*) FILTER (WHERE final_score >= threshold AND group_id = expected) AS correct FROM decided CROSS JOIN (SELECT unnest([0.25, 0.3, 0.35, 0.4, 0.45, 0.5])::DOUBLE AS threshold) t GROUP BY threshold")
+@query("d13_threshold_sweep", f"WITH {DECIDED} SELECT threshold, count(*) FILTER (WHERE final_score >= threshold) AS automatic, count(*) FILTER (WHERE final_score >= threshold AND group_id = expected) AS correct FROM decided CROSS JOIN (SELECT unnest([0.6, 0.65, 0.68, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS threshold) t GROUP BY threshold")
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    thresholds = F.explode(F.array(*(F.lit(t) for t in (0.25, 0.3, 0.35, 0.4, 0.45, 0.5))))
+    thresholds = F.explode(F.array(*(F.lit(t) for t in (0.60, 0.65, 0.68, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95))))
     rows = decisions(spark, sf_dir, auto=0.0).select("final_score", "matched_group_id", "expected", thresholds.alias("threshold"))
     automatic = F.col("final_score") >= F.col("threshold")
     return rows.groupBy("threshold").agg(F.count_if(automatic).alias("automatic"), F.count_if(automatic & (F.col("matched_group_id") == F.col("expected"))).alias("correct"))
@@ -184,7 +184,7 @@ def first_six(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w3_top_three", f"WITH {GROUPED} SELECT query_id, group_id, asset_id, rn AS rank FROM ranked WHERE rn <= 3")
 def top_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("query_id", "group_id").orderBy(F.desc("similarity"), F.desc("asset_id"))
-    return matching.scored(*query_vectors(spark, sf_dir)).withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("query_id", "group_id", "asset_id", "rank")
+    return matching.best_scored(*query_vectors(spark, sf_dir)).withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("query_id", "group_id", "asset_id", "rank")
 
 
 @query("w4_margin", f"WITH {DECIDED} SELECT query_id, group_id, round(margin, 4) AS margin FROM decided")
@@ -198,7 +198,7 @@ def mode_of(group: Column) -> Column:
 
 @query("w5_refine_limits", f"WITH {GROUPED}, m AS (SELECT *, CASE WHEN group_id % 2 = 0 THEN 'supported' WHEN group_id % 3 = 0 THEN 'conflicted' ELSE 'fallback' END AS mode FROM grouped) SELECT query_id, group_id, mode FROM (SELECT *, row_number() OVER (PARTITION BY query_id, mode ORDER BY similarity DESC, asset_id DESC) AS rn FROM m WHERE mode <> 'conflicted') t WHERE rn <= 2")
 def refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.group_scores(matching.scored(*query_vectors(spark, sf_dir))).withColumn("mode", mode_of(F.col("group_id"))).where("mode <> 'conflicted'")
+    rows = matching.group_scores(matching.best_scored(*query_vectors(spark, sf_dir))).withColumn("mode", mode_of(F.col("group_id"))).where("mode <> 'conflicted'")
     order = Window.partitionBy("query_id", "mode").orderBy(F.desc("similarity"), F.desc("asset_id"))
     return rows.withColumn("rn", F.row_number().over(order)).where("rn <= 2").select("query_id", "group_id", "mode")
 
@@ -206,7 +206,7 @@ def refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w6_calibration_rank", f"WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 3) DESC, similarity DESC, asset_id DESC) AS rn FROM scores) SELECT query_id, list(asset_id ORDER BY rn)::VARCHAR AS top5 FROM r WHERE rn <= 5 GROUP BY query_id")
 def calibration_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 3)), F.desc("similarity"), F.desc("asset_id"))
-    top = matching.scored(*query_vectors(spark, sf_dir)).withColumn("rn", F.row_number().over(order)).where("rn <= 5")
+    top = matching.best_scored(*query_vectors(spark, sf_dir), top=5, by_group=False).withColumn("rn", F.row_number().over(order)).where("rn <= 5")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rn", "asset_id"))), lambda x: x["asset_id"].cast("string"))
     return top.groupBy("query_id").agg(F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]")).alias("top5"))
 

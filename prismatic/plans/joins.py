@@ -242,7 +242,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l3_nearest", f"WITH {SCORES} SELECT query_id, rank, asset_id, round(similarity, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, asset_id) AS rank FROM scores) t WHERE rank <= 20")
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.nearest(matching.scored(*query_vectors(spark, sf_dir)), 20).select("query_id", "rank", "asset_id", rounded(F.col("similarity")).alias("similarity"))
+    return matching.nearest(matching.best_scored(*query_vectors(spark, sf_dir), top=20, by_group=False, larger=False), 20).select("query_id", "rank", "asset_id", rounded(F.col("similarity")).alias("similarity"))
 
 
 @query("l4_group_order", f"WITH {SCORES} SELECT query_id, group_id, asset_id, row_number() OVER (PARTITION BY query_id ORDER BY group_id, similarity DESC, asset_id) AS place FROM scores")

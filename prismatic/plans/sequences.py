@@ -168,12 +168,28 @@ def fair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.fair_order(rows)
 
 
-@query("z9_token_bucket")
+#: Requests of each owner in the order of their times, with what follows from all before them by recursion.
+_REQUESTS = "r AS (SELECT user_id AS owner, event_id AS request, value > 20 AS good, epoch_us(ts) // 1000000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS n FROM events)"
+
+
+@query(
+    "z9_token_bucket",
+    f"""WITH RECURSIVE {_REQUESTS}, f AS (SELECT owner, request, n, at_ms, 20.0::DOUBLE AS held FROM r WHERE n = 1
+      UNION ALL SELECT r.owner, r.request, r.n, r.at_ms, least(20.0::DOUBLE, CASE WHEN f.held >= 1 THEN f.held - 1 ELSE f.held END + greatest(0, r.at_ms - f.at_ms) * 3 / 60000::DOUBLE) FROM f JOIN r ON r.owner = f.owner AND r.n = f.n + 1)
+    SELECT owner, request, held >= 1 AS granted, CASE WHEN held >= 1 THEN 0 ELSE ceil((1 - held) * 60000 / 3) END::BIGINT AS retry_ms FROM f""",
+)
 def bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.token_bucket(_requests(spark, sf_dir).withColumn("at_ms", F.floor(F.col("at_ms") / 1000)), per_minute=3, capacity=20)
 
 
-@query("z7_sliding_leases")
+@query(
+    "z7_sliding_leases",
+    f"""WITH RECURSIVE {_REQUESTS}, f AS (SELECT owner, 0::BIGINT AS n, 0::BIGINT AS request, []::BIGINT[] AS recent, []::BIGINT[] AS leases, false AS granted, 0::BIGINT AS wait_ms FROM r WHERE n = 1
+      UNION ALL SELECT owner, n, request, CASE WHEN ok THEN list_append(recent, at_ms) ELSE recent END, CASE WHEN ok THEN list_append(leases, at_ms + 20000) ELSE leases END, ok,
+        CASE WHEN ok THEN 0 ELSE greatest(250, CASE WHEN len(recent) >= 6 THEN recent[1] + 60000 - at_ms ELSE 0 END, CASE WHEN len(leases) >= 3 THEN leases[1] - at_ms ELSE 0 END) END::BIGINT
+      FROM (SELECT *, len(recent) < 6 AND len(leases) < 3 AS ok FROM (SELECT r.owner, r.n, r.request, r.at_ms, list_filter(f.recent, lambda x: x > r.at_ms - 60000) AS recent, list_filter(f.leases, lambda x: x > r.at_ms) AS leases FROM f JOIN r ON r.owner = f.owner AND r.n = f.n + 1)))
+    SELECT owner, request, granted, wait_ms FROM f WHERE n > 0""",
+)
 def sliding_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.rate_limited(_requests(spark, sf_dir).withColumn("at_ms", F.floor(F.col("at_ms") / 1000)), window_ms=60_000, rate=6, held=3, lease_ms=20_000)
 
@@ -183,7 +199,13 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.fixed_window_counts(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("z11_lockout")
+@query(
+    "z11_lockout",
+    f"""WITH RECURSIVE {_REQUESTS}, f AS (SELECT owner, 0::BIGINT AS n, 0::BIGINT AS request, 0 AS failures, -1::BIGINT AS until, false AS locked FROM r WHERE n = 1
+      UNION ALL SELECT owner, n, request, CASE WHEN tries >= 3 THEN 0 ELSE tries END, CASE WHEN NOT locked AND tries >= 3 THEN at_ms + 900000 ELSE until END, locked
+      FROM (SELECT *, CASE WHEN locked THEN failures WHEN good THEN 0 ELSE failures + 1 END AS tries FROM (SELECT r.owner, r.n, r.request, r.at_ms, r.good, f.failures, f.until, r.at_ms < f.until AS locked FROM f JOIN r ON r.owner = f.owner AND r.n = f.n + 1)))
+    SELECT owner AS account, request AS attempt, locked FROM f WHERE n > 0""",
+)
 def lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _requests(spark, sf_dir).select(F.col("owner").alias("account"), F.col("request").alias("attempt"), F.floor(F.col("at_ms") / 1000).alias("at_ms"), (F.col("value") > 20).alias("good"))
     return sequential.lockouts(rows)
