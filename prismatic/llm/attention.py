@@ -98,9 +98,10 @@ def flat(weights: Weights) -> np.ndarray:
     return np.concatenate([weights[name].ravel() for name in SHAPES])
 
 
-def from_flat(numbers: np.ndarray) -> Weights:
+def from_flat(numbers: np.ndarray, copy: bool = True) -> Weights:
+    """Weights from their numbers, or as views of them."""
     ends = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])
-    return {name: part.reshape(shape).astype(f4) for (name, shape), part in zip(SHAPES.items(), np.split(numbers, ends[:-1]), strict=True)}
+    return {name: part.reshape(shape).astype(f4, copy=copy) for (name, shape), part in zip(SHAPES.items(), np.split(numbers, ends[:-1]), strict=True)}
 
 
 @dataclass
@@ -139,42 +140,53 @@ MAY = (np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK, 2 * BLOCK)[:, None]).as
 ONES = np.ones(max(2 * BLOCK, CLASSES), f4)
 
 
-def forward(ids: np.ndarray, follows: np.ndarray, counts: Counts, w: Weights) -> tuple:
-    """Natural logs of the chances of the classes that follow, and what the way back needs."""
+def forward(ids: np.ndarray, follows: np.ndarray, counts: Counts, w: Weights, tables: tuple[np.ndarray, np.ndarray] | None = None, most: float | None = None) -> tuple:
+    """Natural logs of the chances of the classes that follow, and what the way back needs. tables: what `looked_up` gives, where the weights stay as they are; most: where numbers are held below it."""
     n = len(ids)
     keys = counts.embedding.take(ids.ravel(), axis=0).reshape(n, 2 * BLOCK, WIDTH)
-    x = np.ascontiguousarray(keys[:, BLOCK:]).reshape(-1, WIDTH)
     last = ids[:, BLOCK:].ravel()
-    attention = (x @ w["look"]).reshape(n, BLOCK, WIDTH) @ keys.transpose(0, 2, 1)
-    np.minimum(attention, 60, out=attention)
+    if tables is None:
+        x = np.ascontiguousarray(keys[:, BLOCK:]).reshape(-1, WIDTH)
+        asks, hidden = x @ w["look"], x @ w["own"]
+        hidden += w["bias"]
+    else:
+        x, asks, hidden = None, tables[0].take(last, axis=0), tables[1].take(last, axis=0)
+    attention = asks.reshape(n, BLOCK, WIDTH) @ keys.transpose(0, 2, 1)
+    if most is not None:
+        np.minimum(attention, most, out=attention)
     np.exp(attention, out=attention)
     attention *= np.exp(w["near"])[BACK] * MAY
     attention /= (attention.reshape(-1, 2 * BLOCK) @ ONES[: 2 * BLOCK]).reshape(n, BLOCK, 1)
     gathered = (attention @ keys).reshape(-1, WIDTH)
-    hidden = x @ w["own"]
     hidden += gathered @ w["seen"]
-    hidden += w["bias"]
     np.maximum(hidden, 0, out=hidden)
     scores = hidden @ w["out"]
     scores += counts.class_after.take(last, axis=0)
-    following = follows.ravel()
-    picked = np.arange(len(last)) * CLASSES + counts.class_of.take(following)
-    np.minimum(scores, 60, out=scores)
+    if most is not None:
+        np.minimum(scores, most, out=scores)
+    picked = np.arange(len(last)) * CLASSES + counts.class_of.take(follows.ravel())
     found = scores.ravel().take(picked)
     np.exp(scores, out=scores)
     total = scores @ ONES[:CLASSES]
+    if most is None and not np.isfinite(total).all():
+        return forward(ids, follows, counts, w, tables, 60.0)
     return found - np.log(total), scores, total, picked, hidden, gathered, attention, keys, x, last
 
 
+def looked_up(counts: Counts, w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """What each id asks for, and gives to the hidden units, by itself."""
+    return counts.embedding @ w["look"], counts.embedding @ w["own"] + w["bias"]
+
+
 def log_chances(texts: list[np.ndarray], end: int, counts: Counts, w: Weights, step_blocks: int = STEP_BLOCKS) -> np.ndarray:
     """Natural logs of the chances of whole texts, their ends included."""
     if not texts:
         return np.zeros(0)
     one_thread()
-    read, found = stream(texts, end), []
+    read, found, tables = stream(texts, end), [], looked_up(counts, w)
     for k in range(0, len(read.first), step_blocks):
         ids, follows = read.windows(slice(k, k + step_blocks))
-        by_class, *_, last = forward(ids, follows, counts, w)
+        by_class, *_, last = forward(ids, follows, counts, w, tables)
         following = follows.ravel()
         within = counts.id_after.ravel().take(last.astype(np.int64) * len(counts.id_after) + following, mode="wrap")
         found.append(np.where(following < 0, 0.0, by_class.astype(float) + within).reshape(-1, BLOCK).sum(axis=1))
@@ -203,15 +215,16 @@ def gradient(ids: np.ndarray, follows: np.ndarray, counts: Counts, w: Weights) -
 def trained(texts: list[np.ndarray], end: int, counts: Counts, w: Weights, rate: float = RATE, step_blocks: int = STEP_BLOCKS) -> tuple[Weights, int]:
     """The weights after every block of the texts has been learned from, once, by Adam steps with a falling rate; and the number of ids that were predicted."""
     one_thread()
-    w = {k: v.copy() for k, v in w.items()}
-    mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    numbers = flat(w)
+    w = from_flat(numbers, copy=False)
+    mean, square = np.zeros_like(numbers), np.zeros_like(numbers)
     read = stream(texts, end)
     order = np.random.default_rng(3).permutation(len(read.first))
     steps = -(-len(order) // step_blocks)
     for t in range(1, steps + 1):
         now = rate * min(1.0, t / 30) * (1 - 0.9 * t / steps)
-        for name, g in gradient(*read.windows(order[(t - 1) * step_blocks : t * step_blocks]), counts, w).items():
-            mean[name] += 0.1 * (g - mean[name])
-            square[name] += 0.02 * (g * g - square[name])
-            w[name] -= (now / (1 - 0.9**t)) * mean[name] / (np.sqrt(square[name] / (1 - 0.98**t)) + 1e-8)
+        g = flat(gradient(*read.windows(order[(t - 1) * step_blocks : t * step_blocks]), counts, w))
+        mean += 0.1 * (g - mean)
+        square += 0.02 * (g * g - square)
+        numbers -= (now / (1 - 0.9**t)) * mean / (np.sqrt(square / (1 - 0.98**t)) + 1e-8)
     return w, int((read.follows >= 0).sum())

@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from .common import BATCH_BYTES, id_and_text, map_slices
 from .repeats import written
 
 #: Ids of the model, words that go to all tasks, distinct words that a task counts before it passes them on, and ids of a shard.
-MODEL_IDS, HEAD_WORDS, COUNTED_WORDS, SHARD_IDS = 2048, 250_000, 400_000, 4_000_000
+MODEL_IDS, HEAD_WORDS, COUNTED_WORDS, SHARD_IDS = 2048, 250_000, 800_000, 4_000_000
 #: Times that the first shard is learned from before the others.
 FIRST_EPOCHS = 3
 #: Bytes of a text that are split into words at a time.
@@ -105,28 +106,26 @@ def read_texts(docs: DataFrame, path: str, head: dict[bytes, int]) -> DataFrame:
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         tool, known = tokenizer(path)[0], shared.value
-        total, found, logs, tails, ids = [], [], [], [], []
+        total, found, logs, ids = [], [], [], []
+        tail_words, tail_counts, ends = [], [], [0]
         for text in part.column("text").to_pylist():
             counts, codes, size = Counter(), [], 1
             for piece in words(text):
                 counts.update(piece)
                 size += len(piece)
                 codes.append(np.array(tool.encode_ordinary((b" " + b" ".join(piece)).decode()), "<u2").tobytes())
-            of_head, log, tail = 0, 0.0, []
-            for word in counts.items():
-                if (of_word := known.get(word[0])) is None:
-                    tail.append(word)
-                else:
-                    of_head += word[1]
-                    log += word[1] * of_word
+            of_head = known.keys() & counts.keys()
+            tail = counts.keys() - of_head
+            times = [*map(counts.__getitem__, of_head)]
             total.append(size)
-            found.append(of_head)
-            logs.append(log)
-            tails.append(tail)
+            found.append(sum(times))
+            logs.append(math.fsum(map(mul, times, map(known.__getitem__, of_head))))  # the same in whatever order
+            tail_words += tail
+            tail_counts += map(counts.__getitem__, tail)
+            ends.append(len(tail_words))
             ids.append(b"".join(codes))
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
-        rest = pa.StructArray.from_arrays([pa.array([w for t in tails for w, _ in t], pa.binary()), pa.array([n for t in tails for _, n in t], pa.int32())], ["word", "n"])
-        columns = [part.column("doc_id"), part.column("held_out"), *(pa.array(x, pa.int64()) for x in (total, found)), pa.array(logs, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), rest), pa.array(ids, pa.binary())]
+        rest = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int32())], ["word", "n"])
+        columns = [part.column("doc_id"), part.column("held_out"), *(pa.array(x, pa.int64()) for x in (total, found)), pa.array(logs, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest), pa.array(ids, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "head", "tail", "ids"])
 
     return map_slices(docs, work, READ)
