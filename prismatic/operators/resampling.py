@@ -54,6 +54,18 @@ def resized(image: np.ndarray, width: int, height: int, kernel: Callable = sinc3
     return values.astype(np.uint8)
 
 
+def averaged(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """At a smaller size: each pixel the mean of the area that it takes the place of, parts of pixels by their part."""
+
+    def parts(before: int, after: int) -> np.ndarray:
+        edge = np.arange(after + 1) * before / after
+        at = np.arange(before)
+        return np.clip(np.minimum(edge[1:, None], at + 1) - np.maximum(edge[:-1, None], at), 0, None) * after / before
+
+    values = np.moveaxis(np.tensordot(parts(image.shape[1], width), image.astype(float), (1, 1)), 0, 1)
+    return np.clip(np.rint(np.tensordot(parts(image.shape[0], height), values, (1, 0))), 0, 255).astype(np.uint8)
+
+
 def within(image: np.ndarray, longest: int, kernel: Callable = sinc3) -> np.ndarray:
     """No side longer than `longest`, in the same proportions; a smaller picture stays as it is."""
     h, w = image.shape[:2]

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import marks, resampling, retouching, shapes
+from ..operators import covers, marks, resampling, retouching, shapes
 from ..session import checkpointed
 from ..sources import pictures as files
 from .registry import query, table
@@ -129,3 +129,30 @@ def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small copy of each picture as a file of its own, and its hash."""
     found = files.ingested(picture_files(_documents(spark, sf_dir)), files.Limits(thumbnail=32)).where("reject_code IS NULL")
     return found.select("image_id", "working_width", "working_height", "phash", F.sha2("thumbnail", 256).alias("sha"))
+
+
+def detected_boxes(pictures: DataFrame) -> DataFrame:
+    """Boxes as a detector would give them: two in each picture, one of which may lie over its rim, with labels and confidences."""
+    n, w, h = F.coalesce("image_id", F.lit(0)), F.col("width"), F.col("height")
+    box = lambda x, y, a, b, label, sure: F.struct(x.cast("int").alias("x0"), y.cast("int").alias("y0"), (x + a).cast("int").alias("x1"), (y + b).cast("int").alias("y1"), label.alias("label"), sure.alias("confidence"))
+    first = box(w * (n % 5) / 6, h * (n % 3) / 4, w / 4, h / 3, F.when(n % 4 == 0, "product").otherwise("logo"), (n % 10) / 10.0)
+    second = box(w * 0.8, h * 0.7, w / 3, h / 2, F.lit("logo"), F.lit(0.9))
+    return pictures.select("image_id", F.inline(F.array(first, second)))
+
+
+@query("i25_covered_in_blocks")
+def covered_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logos of each picture in blocks, with the audit."""
+    images = colour_pictures(_documents(spark, sf_dir), SIDE)
+    found = covers.covered(images, detected_boxes(images), covers.Cover(labels=("logo",)))
+    return found.select("image_id", "status", "covered", F.round("share", 6).alias("share"), "outside", F.sha2("pixels", 256).alias("sha"))
+
+
+@query("i24_stickers")
+def stickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sticker, pale at its rim, over the logos of each picture, with the audit."""
+    y, x = np.mgrid[0:20, 0:30]
+    rgba = np.stack([200 + 0 * x, 40 + 3 * x, 60 + 5 * y, np.clip(255 - 20 * np.hypot(x - 15, y - 10), 0, 255)], axis=2).astype(np.uint8)
+    images = colour_pictures(_documents(spark, sf_dir), SIDE)
+    found = covers.covered(images, detected_boxes(images), covers.Cover("sticker", ("logo",), expansion=0.0, sticker=rgba.tobytes(), sticker_shape=(20, 30)))
+    return found.select("image_id", "status", "covered", F.round("share", 6).alias("share"), "outside", F.sha2("pixels", 256).alias("sha"))

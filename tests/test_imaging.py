@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismatic.operators import marks, resampling, retouching, shapes
+from prismatic.operators import covers, marks, resampling, retouching, shapes
 
 KIND = "image_id long, width int, height int, pixels binary"
 
@@ -109,3 +109,48 @@ def test_the_chain_straightens_first_and_sharpens_what_is_enlarged(spark):
     for k, start in ((1, resampling.turned(image, 2.0)), (2, image)):
         by_steps = retouching.sharpened(resampling.resized(retouching.enhanced(start, plan), 120, 90), 1.4)
         assert (found[k]["width"], found[k]["height"]) == (120, 90) and bytes(found[k]["pixels"]) == by_steps.tobytes()
+
+
+BOX = "image_id long, x0 double, y0 double, x1 double, y1 double, label string, confidence double"
+
+
+def test_boxes_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    images = {k: rng.integers(0, 256, (60, 90, 3)).astype(np.uint8) for k in range(4)} | {4: np.zeros((0, 90, 3), np.uint8)}
+    rows = [(0, 40.0, 30.0, 10.0, 10.0, "logo", 0.9), (0, 80.0, 50.0, 200.0, 70.0, "logo", 0.9), (1, 10.0, 10.0, 40.0, 30.0, "other", 0.9), (1, 10.0, 10.0, 40.0, 30.0, "logo", 0.1), (2, 95.0, 0.0, 99.0, 9.0, "logo", 0.9), (4, 0.0, 0.0, 9.0, 9.0, "logo", 0.9)]
+    cover = covers.Cover(labels=("logo",), expansion=0.1, block_ratio=0.25)
+    found = {r["image_id"]: r for r in covers.covered(frame(spark, images), spark.createDataFrame(rows, BOX), cover).collect()}
+    assert {k: r["status"] for k, r in found.items()} == {0: "applied", 1: "not_detected", 2: "not_detected", 3: "not_detected", 4: "empty"}
+    r = found[0]
+    assert [list(b) for b in r["boxes"]] == [[7, 8, 43, 32], [68, 48, 90, 60]] and r["outside"] == 0
+    assert r["share"] == pytest.approx((36 * 24 + 22 * 12) / 5400)
+    out = np.frombuffer(r["pixels"], np.uint8).reshape(60, 90, 3)
+    # 36 x 24 by blocks of 6: six by four, each the mean of its own pixels
+    for y in range(8, 32, 6):
+        for x in range(7, 43, 6):
+            block = images[0][y : y + 6, x : x + 6].reshape(-1, 3).mean(axis=0)
+            assert np.abs(out[y : y + 6, x : x + 6] - block).max() <= 0.5 + 1e-9
+    assert all(bytes(found[k]["pixels"]) == images[k].tobytes() for k in (1, 2, 3))
+
+
+def test_stickers(spark):
+    image = np.full((60, 90, 3), 100, np.uint8)
+    rgba = np.zeros((8, 12, 4), np.uint8)
+    rgba[1:7, 1:11] = (250, 50, 0, 255)
+    rgba[1:7, 6:11, 3] = 128
+    cover = covers.Cover("sticker", expansion=0.0, sticker=rgba.tobytes(), sticker_shape=(8, 12))
+    boxes = spark.createDataFrame([(1, 20.0, 20.0, 30.0, 26.0, "a", 0.9)], BOX)
+    (r,) = covers.covered(frame(spark, {1: image}), boxes, cover).collect()
+    # its visible part is 10 x 6, the box 10 x 6: as high as the box, at 25 less a third of its width
+    assert [list(b) for b in r["boxes"]] == [[22, 20, 32, 26]] and r["outside"] == 0 and r["covered"] == 1
+    out = np.frombuffer(r["pixels"], np.uint8).reshape(60, 90, 3)
+    assert out[22, 23].tolist() == [250, 50, 0] and np.abs(out[22, 30].astype(int) - [175, 75, 50]).max() <= 1 and out[19, 23].tolist() == [100] * 3
+    blank = covers.Cover("sticker", sticker=bytes(16), sticker_shape=(2, 2))
+    (r,) = covers.covered(frame(spark, {1: image}), boxes, blank).collect()
+    assert r["status"] == "failed_safe" and "sticker" in r["error"] and bytes(r["pixels"]) == image.tobytes()
+
+
+def test_means_of_areas():
+    assert resampling.averaged(np.arange(16, dtype=np.uint8).reshape(4, 4), 2, 2).tolist() == [[2, 4], [10, 12]]
+    values = np.array([[0, 30, 60]], np.uint8)
+    assert resampling.averaged(values, 2, 1).tolist() == [[10, 50]]
