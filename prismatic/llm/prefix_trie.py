@@ -1,8 +1,8 @@
 """A prefix trie of conversations: which turns begin alike, and how much is saved when each shared turn is held once.
 
 A turn is a digest of its role and text, and a conversation a path of digests; equal paths are one row with the number
-of its conversations. Paths are dealt by the digest of their first turn, and a trie of dictionaries is built
-in each group and summed from its leaves up. A group with too many turns is not built: its first turn is
+of its conversations. Paths are dealt into buckets by the digest of their first turn, and a trie of dictionaries is built
+for each first turn and summed from its leaves up. A group with too many turns is not built: its first turn is
 a node of its own, aggregated over all its rows, and its paths are dealt again by their next turn, and
 so on until every group is small. What the groups found is then added up along these nodes, the deepest first.
 """
@@ -20,6 +20,8 @@ from .repeats import written
 
 #: Turns of a group that one task builds a trie from, unless they are a single path.
 GROUP_TURNS = 50_000
+#: Turns of a bucket of such groups, about.
+BUCKET_TURNS = 20_000
 #: Conversations c - c % BLOCK to c are variants of the first of them, which share fewer than SHARED turns with it.
 BLOCK, SHARED = 5, 9
 EMPTY = bytes()
@@ -91,41 +93,38 @@ def ends(paths: DataFrame) -> DataFrame:
 
 
 def group_trie(frame: pd.DataFrame) -> pd.DataFrame:
-    """The nodes below and at the turn that all paths of a group share up to; key and parent are those of the top node, null for the others."""
-    depth = int(frame["depth"].iloc[0])
-    children: list[dict[bytes, int]] = [{}]
-    above, least, convs, size, ended = [-1], [None], [0], [0], [None]
-    for path, sizes, conv, n, sha in zip(frame["path"], frame["sizes"], frame["least"].tolist(), frame["convs"].tolist(), frame["ends_sha256"], strict=True):
-        node = 0
-        size[0] = int(sizes[depth - 1])
-        least[0] = conv if least[0] is None else min(conv, least[0])
-        convs[0] += n
-        for turn, its_size in zip(path[depth:], sizes[depth:], strict=True):
-            below = children[node].get(turn)
-            if below is None:
-                below = children[node][turn] = len(children)
-                children.append({})
-                above.append(node)
-                least.append(conv)
-                convs.append(0)
-                size.append(int(its_size))
-                ended.append(None)
-            node = below
+    """The nodes of all tries of a bucket, from the turn on that the paths of a trie share; key and parent are those of its top node, null for the others."""
+    tops: dict[bytes, int] = {}
+    children: list[dict[bytes, int]] = []
+    above, depths, least, convs, size, ended, keys, parents = [], [], [], [], [], [], [], []
+
+    def made(over: int, depth: int, conv: int, its_size: int, key: bytes | None = None, parent: bytes | None = None) -> int:
+        for column, value in ((children, {}), (above, over), (depths, depth), (least, conv), (convs, 0), (size, its_size), (ended, None), (keys, key), (parents, parent)):
+            column.append(value)
+        return len(children) - 1
+
+    for key, parent, depth, path, sizes, conv, n, sha in zip(*(frame[c].tolist() for c in ("key", "parent", "depth", "path", "sizes", "least", "convs", "ends_sha256")), strict=True):
+        path, sizes = list(path), sizes.tolist()
+        node = tops.get(key)
+        if node is None:
+            node = tops[key] = made(-1, depth, conv, sizes[depth - 1], key, parent)
+        for k in range(depth, len(path) + 1):
             convs[node] += n
             least[node] = min(least[node], conv)
+            if k < len(path):
+                below = children[node].get(path[k])
+                if below is None:
+                    below = children[node][path[k]] = made(node, k + 1, conv, sizes[k])
+                node = below
         ended[node] = sha
-    count = len(children)
     leaves = [0 if c else 1 for c in children]
     saved = [(n - 1) * s for n, s in zip(convs, size, strict=True)]
-    depths = [depth] * count
-    for node in range(1, count):
-        depths[node] = depths[above[node]] + 1
     # A node is made after the one above it, so the other way round each comes after all below it.
-    for node in range(count - 1, 0, -1):
-        leaves[above[node]] += leaves[node]
-        saved[above[node]] += saved[node]
-    top = lambda x: [x, *[None] * (count - 1)]
-    columns = {"key": top(frame["key"].iloc[0]), "parent": top(frame["parent"].iloc[0]), "conv_id": least, "depth": depths, "parent_conv_id": pd.array([None, *(least[a] for a in above[1:])], "Int64")}
+    for node in range(len(children) - 1, -1, -1):
+        if above[node] >= 0:
+            leaves[above[node]] += leaves[node]
+            saved[above[node]] += saved[node]
+    columns = {"key": keys, "parent": parents, "conv_id": least, "depth": depths, "parent_conv_id": pd.array([least[a] if a >= 0 else None for a in above], "Int64")}
     return pd.DataFrame(columns | {"n_convs": convs, "n_children": [len(c) for c in children], "n_leaves": leaves, "saved_tokens": saved, "ends_sha256": ended})
 
 
@@ -162,7 +161,10 @@ def prefix_trie(
     groups = small[0]
     for more in small[1:]:
         groups = groups.unionByName(more)
-    built = written(groups.groupBy("key").applyInPandas(group_trie, NODE))
+    # Many first turns are of few conversations: tries are built a bucket at a time, dealt by the digests.
+    turns = groups.agg(F.sum(F.size("path") - F.col("depth") + 1)).first()[0] or 0
+    buckets = groups.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-turns // BUCKET_TURNS)))))
+    built = written(buckets.groupBy("bucket").applyInPandas(group_trie, NODE))
     tops = built.where(F.col("key").isNotNull())
     # The nodes that no group built, from the deepest up.
     above, found = None, []
