@@ -25,4 +25,4 @@ def test_no_documents(spark, data):
 
 
 def test_every_operator_has_one_query():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
