@@ -17,11 +17,12 @@ class Rule:
     without: tuple[str, ...] = ()
 
 
+#: 本店 stands for the brand and 小标 for its mascot: names of one's own go in their place.
 #: The words of each rule; of a field's rules the first that holds counts, else its default.
 NAMED = {"watermark": ("水印",), "logo": ("LOGO", "标志"), "ground": ("地膜", "保护膜")}
 ALLOWED = Rule(True, ("允许通过", "允许筛选", "不作为不合格", "放行"))
 AFTERWARDS = (Rule("keep", ("保留水印", "不去除水印", "无需去除")), Rule("remove", ("去除", "消除", "移除")))
-LOGO_ACTIONS = (Rule("mosaic", ("马赛克",), ("小当",)), Rule("overlay_asset", ("小当", "图标遮挡", "图标覆盖")))
+LOGO_ACTIONS = (Rule("mosaic", ("马赛克",), ("小标",)), Rule("overlay_asset", ("小标", "图标遮挡", "图标覆盖")))
 ANY_BRAND = Rule("任意第三方品牌Logo识别尚未配置训练模型", ("任意品牌", "所有品牌", "第三方品牌"))
 BAD_SHARE = "地膜占比阈值必须在5%到98%之间"
 LEAST_SHARE, LARGEST_SHARE, USUAL_SHARE = 0.05, 0.98, 0.75
@@ -31,12 +32,12 @@ SENTENCES = {
     "not allowed": "按普通规则审核水印",
     "removed": "通过后去除左下角水印",
     "not removed": "不执行水印去除",
-    "covered": "保留“当家”，仅使用小当图标遮挡APP字样",
+    "covered": "保留“本店”，仅使用小标图标遮挡APP字样",
     "mosaic": "目标Logo使用马赛克遮挡",
     "no logo": "不处理Logo",
     "no share": "不执行品牌地膜占比筛选",
 }
-SHARE_SENTENCE = ("当家品牌地膜占比达到", "判定不合格")
+SHARE_SENTENCE = ("本店品牌地膜占比达到", "判定不合格")
 
 
 def stands(text: Column, words: tuple[str, ...]) -> Column:

@@ -17,10 +17,10 @@ PARTS = (
     ("放行，", 5, (2,)),
     ("保留水印；", 7, (1,)),
     ("自动去除。", 2, (0,)),
-    ("保留当家文字，", 6, (3,)),
+    ("保留本店文字，", 6, (3,)),
     ("Logo", 4, (0, 3)),
     ("使用马赛克", 5, (0, 1)),
-    ("使用小当图标遮挡APP。", 3, (2,)),
+    ("使用小标图标遮挡APP。", 3, (2,)),
     ("支持所有品牌。", 11, (4,)),
 )
 
@@ -45,7 +45,7 @@ _S = rules.SENTENCES
     c AS (SELECT id, t, {_SHARE} AS share, coalesce({_SHARE} BETWEEN 0.05 AND 0.98, false) AS fits, contains(t, '水印') AS marked, {_any(('LOGO', '标志'), 'upper(t)')} AS with_logo, {_any(('地膜', '保护膜'))} AS film FROM s),
     f AS (SELECT *, CASE WHEN fits THEN share ELSE 0.75 END AS threshold, NOT marked OR {_any(rules.ALLOWED.words)} AS allowed,
       CASE WHEN marked AND {_any(rules.AFTERWARDS[0].words)} THEN 'keep' ELSE 'remove' END AS after,
-      CASE WHEN with_logo AND contains(t, '马赛克') AND NOT contains(t, '小当') THEN 'mosaic' ELSE 'overlay_asset' END AS action FROM c)
+      CASE WHEN with_logo AND contains(t, '马赛克') AND NOT contains(t, '小标') THEN 'mosaic' ELSE 'overlay_asset' END AS action FROM c)
     SELECT id, marked AS watermark, allowed, after, with_logo AS logo, action, film, threshold,
       concat_ws('；', CASE WHEN allowed THEN '{_S["allowed"]}' ELSE '{_S["not allowed"]}' END, CASE WHEN marked AND after = 'remove' THEN '{_S["removed"]}' ELSE '{_S["not removed"]}' END,
         CASE WHEN NOT with_logo THEN '{_S["no logo"]}' WHEN action = 'mosaic' THEN '{_S["mosaic"]}' ELSE '{_S["covered"]}' END,

@@ -15,10 +15,10 @@ def config(spark, text):
 
 
 def test_the_confirmed_instruction(spark):
-    c = config(spark, "图片左下角水印允许通过筛选，通过后自动去除。\n保留当家文字，仅使用小当图标遮挡APP。\n当家APP品牌地膜占整张图片大于等于75%时判定不合格。")
+    c = config(spark, "图片左下角水印允许通过筛选，通过后自动去除。\n保留本店文字，仅使用小标图标遮挡APP。\n本店APP品牌地膜占整张图片大于等于75%时判定不合格。")
     assert c["unsupported"] == [] and c["watermark"].asDict() == {"enabled": True, "allow_during_filter": True, "post_action": "remove"}
     assert c["logo"]["action"] == "overlay_asset" and c["ground"].asDict() == {"enabled": True, "reject_coverage_gte": 0.75}
-    assert c["description"].split("；")[3] == "当家品牌地膜占比达到75%判定不合格"
+    assert c["description"].split("；")[3] == "本店品牌地膜占比达到75%判定不合格"
 
 
 @pytest.mark.parametrize(
@@ -31,7 +31,7 @@ def test_the_confirmed_instruction(spark):
         ("水印放行并消除", (True, True, "remove"), (False, "overlay_asset"), (False, 0.75), 0),
         ("去除", (False, True, "remove"), (False, "overlay_asset"), (False, 0.75), 0),
         ("logo马赛克", (False, True, "remove"), (True, "mosaic"), (False, 0.75), 0),
-        ("标志用马赛克或小当", (False, True, "remove"), (True, "overlay_asset"), (False, 0.75), 0),
+        ("标志用马赛克或小标", (False, True, "remove"), (True, "overlay_asset"), (False, 0.75), 0),
         ("保护膜 60% 到 80.5 %", (False, True, "remove"), (False, "overlay_asset"), (True, 0.805), 0),
         ("地膜99%", (False, True, "remove"), (False, "overlay_asset"), (True, 0.75), 1),
         ("地膜4%，所有品牌", (False, True, "remove"), (False, "overlay_asset"), (True, 0.75), 2),
