@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from prismatic.operators import retouching, shapes
 from prismatic.catalog import QUERIES
+from prismatic.operators import matching
 
 
 def planned(frame, step="MapInPandas"):
@@ -31,3 +34,46 @@ def test_small_turns_are_asked_first(spark):
     large = {r["image_id"]: r["turn"] for r in evidence.skew_votes(lines, 5).collect()}
     assert both == {1: pytest.approx(np.degrees(np.arctan2(2, 100))), 2: pytest.approx(np.degrees(np.arctan2(8, 100)))}
     assert small == {1: both[1]} and large == {1: pytest.approx(both[2]), 2: both[2]}
+
+
+@pytest.fixture
+def many(spark):
+    rng = np.random.default_rng(11)
+    vectors = np.abs(rng.standard_normal((150, 5))).round(1) + 0.1
+    vectors[::7] = vectors[0]  # ties
+    rows = [(k, k % 4 if k % 11 else None, (v / np.linalg.norm(v)).tolist()) for k, v in enumerate(vectors)]
+    library = spark.createDataFrame(rows + [(900, 1, [1.0])], "asset_id long, group_id long, vector array<double>")
+    queries = library.where("asset_id < 30").selectExpr("asset_id AS query_id", "vector AS query_vector")
+    return queries, library
+
+
+@pytest.mark.parametrize(("block", "group"), [(4096, 100_000), (8, 100_000), (8, 20)])
+def test_places_by_group_as_a_window_gives_them(spark, monkeypatch, many, block, group):
+    monkeypatch.setattr(matching, "BLOCK_ROWS", block)
+    monkeypatch.setattr(matching, "GROUP_ROWS", group)
+    order = Window.partitionBy("query_id").orderBy("group_id", F.desc("similarity"), "asset_id")
+    expected = matching.scored(*many).select("query_id", "asset_id", "group_id", F.row_number().over(order).alias("place"))
+    assert sorted(map(str, matching.placed_by_group(*many).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_pairs_are_placed_where_they_are_made(spark, data):
+    assert planned(QUERIES["l4_group_order"](spark, data), "Window") == 0
+
+
+def test_the_best_of_a_group_in_few_rows(spark, monkeypatch, many):
+    monkeypatch.setattr(matching, "BLOCK_ROWS", 64)
+    found = matching.best_scored(*many, top=3)
+    assert found.groupBy("query_id", "group_id").count().agg(F.max("count")).first()[0] == 3  # a group of up to 64 rows is in one block
+    monkeypatch.setattr(matching, "BLOCK_ROWS", 8)
+    asset = Window.partitionBy("query_id", "group_id", F.col("asset_id") % 3).orderBy(F.desc("similarity"), F.desc("asset_id"))
+    expected = matching.scored(*many).withColumn("rn", F.row_number().over(asset)).where("rn = 1")
+    parts = many[0], many[1].withColumn("third", F.col("asset_id") % 3)
+    best = matching.collapsed(matching.best_scored(*parts, top=1, by=("group_id", "third")).selectExpr("*", "similarity AS final_score", "asset_id % 3 AS third"), "query_id", "group_id", "third")
+    key = lambda r: str((r["query_id"], r["group_id"], r["asset_id"], r["similarity"]))
+    assert sorted(map(key, best.collect())) == sorted(map(key, expected.collect()))
+
+
+def test_halves_go_up_as_in_spark(spark):
+    x = np.concatenate([np.random.default_rng(0).random(500), np.arange(200) / 1e6 + 5e-7, [0.0, 1.0, 0.1234565, 0.9999995, 0.0000005]])
+    expected = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert matching.half_up(x[None, :], 6)[0].tolist() == expected
