@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evidence, matching
+from ..session import checkpointed
 from .aggregates import GROUPED, mode_of
 from .evidence import _INNER, _OUTER, SECRET, hmac_sha256
 from .joins import query_vectors
@@ -212,7 +213,7 @@ _THINGS = "[" + ", ".join(f"'{t}'" for t in THINGS) + "]"
 def group_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups by pictures, the two best of each kind by content too. An asset shows two things, a query asks for two."""
     asked, library = query_vectors(spark, sf_dir)
-    scores = matching.best_scored(asked, library, support=0.25)
+    scores = checkpointed(matching.best_scored(asked, library, support=0.25))
     thing = lambda i: pick(THINGS, i)
     n, q = F.col("asset_id"), F.col("query_id")
     contents = assets(spark, sf_dir).select("asset_id", F.array(thing(n % 7), thing(n % 5)).alias("objects"), (0.5 + 0.1 * (n % 4)).alias("confidence"))
