@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,60 +25,96 @@ def box_overlaps(a: np.ndarray, b: np.ndarray, least: float = 1e-9) -> np.ndarra
 BOX = ["x0", "y0", "x1", "y1"]
 
 
+def by_groups(frame: DataFrame, keys: list[str], order: list[str | Column], work: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """The rows that work gives for each group's columns, its rows in an order. Groups follow each other in sorted partitions, so a small one costs no frame, call or Arrow batch of its own; one group is held at a time."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    columns = frame.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict[str, np.ndarray]] = []
+        whole = lambda: held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in columns}
+        for part in frames:
+            out: list[tuple] = []
+            values = {c: part[c].to_numpy() for c in columns}
+            starts = np.flatnonzero(part["_at"].to_numpy() == 1).tolist()
+            for a, b in zip([0, *starts], [*starts, len(part)], strict=True):
+                if a in starts[:1] or a > 0:  # a group begins
+                    out += work(whole()) if held else []
+                    held = []
+                if b > a:
+                    held.append({c: v[a:b] for c, v in values.items()})
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(work(whole()), columns=names)
+
+    return frame.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).mapInPandas(run, schema)
+
+
+def _sides(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows of both, those of the first with side 0."""
+    return first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)), allowMissingColumns=True)
+
+
+def _boxes(group: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([group[c].astype(float) for c in BOX], axis=1)
+
+
 def detection_outcomes(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """image_id, class, outcome (tp, fp, fn), n. In each image and class the surest prediction takes the box that it overlaps most, if by the threshold, and so on.
 
     predictions: image_id, class, confidence and a box; truth: image_id, class and a box. One picture's boxes are one group.
     """
 
-    def work(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["confidence", *BOX], ascending=[False, True, True, True, True], kind="stable")
-        t = t.sort_values(BOX, kind="stable")
-        found = box_overlaps(p[BOX].to_numpy(float), t[BOX].to_numpy(float)) if len(p) and len(t) else np.zeros((len(p), len(t)))
-        free, hits = np.ones(len(t), bool), 0
-        for row in found:
-            best = int(np.where(free, row, -1.0).argmax()) if free.any() else -1
-            if best >= 0 and free[best] and row[best] >= threshold:
+    def work(group: dict[str, np.ndarray]) -> list[tuple]:
+        boxes, n = _boxes(group), int((group["side"] == 0).sum())
+        t = len(boxes) - n
+        free, hits = np.ones(t, bool), 0
+        for row in box_overlaps(boxes[:n], boxes[n:]) if n and t else ():
+            best = int(np.where(free, row, -1.0).argmax())
+            if free[best] and row[best] >= threshold:
                 free[best] = False
                 hits += 1
-        head = (p if len(p) else t).iloc[0]
-        return pd.DataFrame({"image_id": head["image_id"], "class": head["class"], "outcome": ["tp", "fp", "fn"], "n": [hits, len(p) - hits, len(t) - hits]})
+        return [(group["image_id"][0], group["class"][0], outcome, k) for outcome, k in (("tp", hits), ("fp", n - hits), ("fn", t - hits))]
 
-    keys = ["image_id", "class"]
-    return predictions.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(work, "image_id long, class string, outcome string, n long")
+    both = _sides(predictions.select("image_id", "class", "confidence", *BOX), truth.select("image_id", "class", *BOX))
+    return by_groups(both, ["image_id", "class"], ["side", F.desc_nulls_last("confidence"), *BOX], work, "image_id long, class string, outcome string, n long")
 
 
 def best_first_matches(expected: DataFrame, predicted: DataFrame, threshold: float = 0.5) -> DataFrame:
     """image_id, expected_id, predicted_id, overlap: pairs taken by descending overlap, each box once; ties go to larger ids."""
 
-    def work(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    def work(group: dict[str, np.ndarray]) -> list[tuple]:
+        boxes, ids, n = _boxes(group), group["id"], int((group["side"] == 0).sum())
+        if not 0 < n < len(boxes):
+            return []
+        found = box_overlaps(boxes[:n], boxes[n:])
         rows, used_e, used_p = [], set(), set()
-        if len(e) and len(p):
-            found = box_overlaps(e[BOX].to_numpy(float), p[BOX].to_numpy(float))
-            pairs = sorted(((found[i, j], e["id"].iloc[i], p["id"].iloc[j]) for i, j in zip(*np.nonzero(found >= threshold), strict=True)), reverse=True)
-            for overlap, i, j in pairs:
-                if i not in used_e and j not in used_p:
-                    used_e.add(i)
-                    used_p.add(j)
-                    rows.append((e["image_id"].iloc[0], i, j, overlap))
-        return pd.DataFrame(rows, columns=["image_id", "expected_id", "predicted_id", "overlap"]).astype({"image_id": "int64", "expected_id": "int64", "predicted_id": "int64", "overlap": float})
+        for overlap, i, j in sorted(((found[i, j], ids[i], ids[n + j]) for i, j in zip(*np.nonzero(found >= threshold), strict=True)), reverse=True):
+            if i not in used_e and j not in used_p:
+                used_e.add(i)
+                used_p.add(j)
+                rows.append((group["image_id"][0], i, j, overlap))
+        return rows
 
-    return expected.groupBy("image_id").cogroup(predicted.groupBy("image_id")).applyInPandas(work, "image_id long, expected_id long, predicted_id long, overlap double")
+    both = _sides(expected.select("image_id", "id", *BOX), predicted.select("image_id", "id", *BOX))
+    return by_groups(both, ["image_id"], ["side", "id"], work, "image_id long, expected_id long, predicted_id long, overlap double")
 
 
 def suppressed(boxes: DataFrame, threshold: float = 0.45) -> DataFrame:
     """Boxes of each picture and class that no surer kept box overlaps by more than the threshold."""
+    names = boxes.columns
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["confidence", *BOX], ascending=[False, True, True, True, True], kind="stable")
-        overlaps = box_overlaps(frame[BOX].to_numpy(float), frame[BOX].to_numpy(float))
+    def work(group: dict[str, np.ndarray]) -> list[tuple]:
+        at = _boxes(group)
         kept: list[int] = []
-        for k in range(len(frame)):
-            if not kept or overlaps[k, kept].max() <= threshold:
+        for k in range(len(at)):
+            if not kept or box_overlaps(at[k : k + 1], at[kept]).max() <= threshold:
                 kept.append(k)
-        return frame.iloc[kept]
+        return [tuple(group[c][k] for c in names) for k in kept]
 
-    return boxes.groupBy("image_id", "class").applyInPandas(work, boxes.schema)
+    schema = ", ".join(f"{c} {k}" for c, k in boxes.dtypes)
+    return by_groups(boxes, ["image_id", "class"], [F.desc_nulls_last("confidence"), *BOX], work, schema)
 
 
 class TokenBucket(StatefulProcessor):
@@ -182,35 +220,46 @@ def fair_order(waiting: DataFrame, age_ms: int = 15_000, every_ms: int = 1_000,
     all. Beyond `most` waiters, the queue's own limit, a newcomer is turned away (no place).
     """
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["at_ms", "token"], kind="stable").to_dict("records")
-        queue: list[dict] = []
-        placed, cursor, last_job, k = [], 0, None, 0
-        now = rows[0]["at_ms"] if rows else 0
-        while k < len(rows) or queue:
-            while k < len(rows) and rows[k]["at_ms"] <= now:
+    def arriving(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for frame in frames:
+            yield from zip(*(frame[c].tolist() for c in ("lane", "token", "stage", "job", "at_ms")), strict=True)
+
+    def placed(rows: Iterator[tuple]) -> Iterator[tuple[int, int, int]]:
+        """The waiters of one lane, of which the queue alone is held."""
+        queue: list[tuple] = []
+        cursor, last_job, place = 0, None, 0
+        after = next(rows, None)
+        now = after[4] if after else 0
+        while after or queue:
+            while after and after[4] <= now:
                 if len(queue) < most:
-                    queue.append(rows[k])
-                k += 1
+                    queue.append(after)
+                after = next(rows, None)
             if not queue:
-                now = rows[k]["at_ms"]
+                now = after[4]
                 continue
-            chosen = queue[0] if now - queue[0]["at_ms"] >= age_ms else None
+            chosen = queue[0] if now - queue[0][4] >= age_ms else None
             for step in range(len(GRANTS)) if chosen is None else ():
                 at = (cursor + step) % len(GRANTS)
-                of_stage = [w for w in queue if w["stage"] == GRANTS[at]]
+                of_stage = [w for w in queue if w[2] == GRANTS[at]]
                 if of_stage:
-                    chosen = next((w for w in of_stage if w["job"] != last_job), of_stage[0])
+                    chosen = next((w for w in of_stage if w[3] != last_job), of_stage[0])
                     cursor = (at + 1) % len(GRANTS)
                     break
             chosen = chosen or queue[0]
             queue.remove(chosen)
-            last_job = chosen["job"]
-            placed.append((chosen["lane"], chosen["token"], len(placed) + 1))
+            last_job = chosen[3]
+            place += 1
+            yield chosen[0], chosen[1], place
             now += every_ms
-        return pd.DataFrame(placed, columns=["lane", "token", "place"])
 
-    return waiting.groupBy("lane").applyInPandas(work, "lane long, token long, place long")
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = (row for _, lane in groupby(arriving(frames), itemgetter(0)) for row in placed(lane))
+        while some := list(islice(found, 10_000)):
+            yield pd.DataFrame(some, columns=["lane", "token", "place"])
+
+    # sorted by lane and time, so a lane is a stream and never a frame
+    return waiting.select("lane", "token", "stage", "job", "at_ms").repartition("lane").sortWithinPartitions("lane", "at_ms", "token").mapInPandas(work, "lane long, token long, place long")
 
 
 def lockouts(attempts: DataFrame, most: int = 3, minutes: int = 15) -> DataFrame:

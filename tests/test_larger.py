@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismatic.operators import retouching, shapes
 from prismatic.catalog import QUERIES
-from prismatic.operators import matching
+from prismatic.operators import matching, sequential
 
 
 def planned(frame, step="MapInPandas"):
@@ -77,3 +77,34 @@ def test_halves_go_up_as_in_spark(spark):
     x = np.concatenate([np.random.default_rng(0).random(500), np.arange(200) / 1e6 + 5e-7, [0.0, 1.0, 0.1234565, 0.9999995, 0.0000005]])
     expected = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert matching.half_up(x[None, :], 6)[0].tolist() == expected
+
+
+@pytest.mark.parametrize("name", ["j21_detection_matches", "j22_best_first_matches", "d14_detector_report", "i27_suppressed_boxes", "z8_fair_order"])
+def test_no_frame_of_its_own_for_a_group(spark, data, name):
+    assert planned(QUERIES[name](spark, data), "GroupsInPandas") == 0
+
+
+def test_groups_beyond_an_arrow_batch(spark):
+    boxes = spark.range(60).selectExpr("id", "id % 4 AS image_id", "'a' AS class", "id % 7 / 7D AS confidence", "id % 5 AS x0", "id % 3 AS y0", "id % 5 + 9 AS x1", "id % 3 + 9 AS y1")
+    found = {}
+    for rows in (10_000, 3):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            kept = {r["id"] for r in sequential.suppressed(boxes, 0.6).collect()}
+            outcomes = sorted(map(tuple, sequential.detection_outcomes(boxes, boxes.where("id % 6 <> 0")).collect()))
+            found[rows] = kept, outcomes, sorted(map(tuple, sequential.best_first_matches(boxes.where("id > 9"), boxes).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[3] == found[10_000] and {o[2] for o in found[3][1]} == {"tp", "fp", "fn"}
+    assert sum(n for _, _, outcome, n in found[3][1] if outcome != "fn") == 60
+
+
+def test_windows_of_an_hour_by_counting(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    us = (rng.integers(0, 4 * 3600, 300) // 60 * 60_000_000).tolist()  # on whole minutes: ties, and rows just an hour apart
+    rows = [(k, "ab"[k % 2] if k % 13 else None, t if k % 17 else None) for k, t in enumerate(us)]
+    spark.createDataFrame(rows, "event_id long, event_type string, us long").selectExpr("event_id", "event_type", "timestamp_micros(us)::timestamp_ntz AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    expected = {k: sum(e == e2 and (t2 is None if t is None else t2 is not None and 0 <= t - t2 <= 3_600_000_000) for _, e2, t2 in rows) for k, e, t in rows}
+    frame = QUERIES["w9_sliding_window"](spark, str(tmp_path))
+    assert {r["event_id"]: r["in_window"] for r in frame.collect()} == expected
+    assert planned(frame, "-3600000000") == 0  # such a frame counts its rows anew for each row
