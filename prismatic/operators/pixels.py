@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Bytes of pictures that a task is given, and works on, at a time; a larger picture is worked on by itself.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+
+
+def in_slices(frames: Iterator[pd.DataFrame], column: str = "pixels") -> Iterator[pd.DataFrame]:
+    """The rows of frames, in frames of about SLICE_BYTES of a column's bytes."""
+    for frame in frames:
+        before = np.cumsum([0] + [len(p) if p is not None else 0 for p in frame[column]])[:-1]
+        cuts = np.flatnonzero(np.diff(before // SLICE_BYTES)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True):
+            yield frame.iloc[a:b]
+
+
+def map_pictures(pictures: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, column: str = "pixels") -> DataFrame:
+    """mapInPandas over a few megabytes of pictures at a time, however many rows that is."""
+    pictures.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return pictures.mapInPandas(lambda frames: work(in_slices(frames, column)), schema)
+
 
 def edge_variance(gray: np.ndarray) -> float:
     """Of eight times a pixel less its neighbours, clipped to a byte, without the rim."""
@@ -105,7 +125,7 @@ def measured(pictures: DataFrame) -> DataFrame:
             rows = [quality(np.frombuffer(p, np.uint8).reshape(h, w)) if len(p) else {} for p, w, h in zip(frame["pixels"], frame["width"], frame["height"], strict=True)]
             yield pd.DataFrame(rows, columns=names, dtype=float).assign(image_id=frame["image_id"].to_numpy())[["image_id", *names]] if rows else pd.DataFrame()
 
-    return pictures.mapInPandas(work, MEASURES)
+    return map_pictures(pictures, work, MEASURES)
 
 
 def pixelated(pictures: DataFrame, block: int = 4) -> DataFrame:
@@ -125,4 +145,4 @@ def pixelated(pictures: DataFrame, block: int = 4) -> DataFrame:
                 out.append((row.image_id, after.tobytes(), changed_outside(before, after, boxes), int((before != after).sum())))
             yield pd.DataFrame(out, columns=["image_id", "pixels", "outside", "inside"])
 
-    return pictures.mapInPandas(work, "image_id long, pixels binary, outside long, inside long")
+    return map_pictures(pictures, work, "image_id long, pixels binary, outside long, inside long")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import covers, marks, resampling, retouching, shapes
+from ..operators.pixels import map_pictures
 from ..session import checkpointed
 from ..sources import pictures as files
 from .registry import query, table
@@ -34,7 +35,7 @@ def _masks(pictures: DataFrame, find) -> DataFrame:
                 rows.append((r.image_id, int(mask.sum()), sure, hashlib.sha256(mask.tobytes()).hexdigest()))
             yield pd.DataFrame(rows, columns=["image_id", "masked", "sure", "sha"])
 
-    return pictures.mapInPandas(work, "image_id long, masked long, sure double, sha string")
+    return map_pictures(pictures, work, "image_id long, masked long, sure double, sha string")
 
 
 @query("i21_candidate_masks")

@@ -1,6 +1,7 @@
 """What keeps queries in proportion to their tables: steps that run once, and bounded groups, batches and queues."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prismatic.operators import retouching, shapes
 from prismatic.catalog import QUERIES
-from prismatic.operators import matching, sequential
+from prismatic.operators import matching, pixels, sequential
 
 
 def planned(frame, step="MapInPandas"):
@@ -108,3 +109,18 @@ def test_windows_of_an_hour_by_counting(spark, tmp_path):
     frame = QUERIES["w9_sliding_window"](spark, str(tmp_path))
     assert {r["event_id"]: r["in_window"] for r in frame.collect()} == expected
     assert planned(frame, "-3600000000") == 0  # such a frame counts its rows anew for each row
+
+
+def test_pictures_come_in_slices_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(pixels, "SLICE_BYTES", 100)
+    frame = pd.DataFrame({"image_id": range(50), "pixels": [b"x" * (k % 40) if k % 9 else None for k in range(49)] + [b"y" * 500]})
+    parts = list(pixels.in_slices([frame, frame.iloc[:0]]))
+    assert pd.concat(parts).equals(frame) and len(parts) > 8
+    assert all(sum(len(p or b"") for p in part["pixels"][:-1]) <= 140 for part in parts)
+
+
+@pytest.mark.parametrize("name", ["i17_turned", "i6_upright", "i16_enlarged", "i1_ingested_files", "i2_thumbnails", "i22_stroke_masks", "i23_mark_plans"])
+def test_batches_of_pictures_are_bounded(spark, data, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    QUERIES[name](spark, data)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
