@@ -126,4 +126,4 @@ def covered(pictures: DataFrame, boxes: DataFrame, cover: Cover) -> DataFrame:
                 rows.append((*head, out.tobytes(), "applied" if done else "not_detected", len(done), [list(b) for b in done], share, pixels.changed_outside(rgb, out, done), None))
             yield pd.DataFrame(rows, columns=["image_id", "width", "height", "pixels", "status", "covered", "boxes", "share", "outside", "error"])
 
-    return joined.mapInPandas(work, COVERED)
+    return pixels.map_pictures(joined, work, COVERED)
