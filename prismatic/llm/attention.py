@@ -19,6 +19,8 @@ import numpy as np
 
 #: Positions of a block, dimensions of an id, hidden units, classes of ids, blocks of a step (whose arrays fit a processor's own memory), and rate of the first steps.
 BLOCK, WIDTH, HIDDEN, CLASSES, STEP_BLOCKS, RATE = 8, 16, 32, 32, 256, 2e-2
+#: Blocks that are scored at a time.
+SCORED_BLOCKS = 256
 DISCOUNT, ROUNDS = 0.75, 15
 f4 = np.float32
 
@@ -34,29 +36,35 @@ class Counts:
 
 
 def counts_of(pairs: np.ndarray, width: int = WIDTH, classes: int = CLASSES) -> Counts:
-    """From the number of times that each id (column) followed each one (row). Every id keeps some chance after every other one."""
+    """From the number of times that each id (column) followed each one (row). Every id keeps some chance after every other one. Beside pairs, one array of its size is held at a time, and one of half."""
     size, rng = len(pairs), np.random.default_rng(1)
     single = pairs.sum(axis=0) + 0.5
     single = single / single.sum()
     total = pairs.sum(axis=1)
-    spared = np.minimum(pairs, DISCOUNT).sum(axis=1)
-    chance = np.maximum(pairs - DISCOUNT, 0.0)
-    chance += spared[:, None] * single
-    chance[total > 0] /= total[total > 0][:, None]
-    chance[total == 0] = single
+    begins = [rng.standard_normal((size, 2 * k)) for k in (2 * width, width // 2, width // 2)]
+    some_rows = [slice(k, k + 256) for k in range(0, size, 256)]
 
-    def directions(m: np.ndarray, k: int) -> np.ndarray:
-        """The leading left singular vectors, times their values, by subspace iteration."""
-        q = np.linalg.qr(m @ rng.standard_normal((size, 2 * k)))[0]
+    def directions(m: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The leading left singular vectors, times their values, by subspace iteration; half as many as the columns that it begins with."""
+        q, k = np.linalg.qr(m @ begin)[0], begin.shape[1] // 2
         for _ in range(3):
             q = np.linalg.qr(m @ (m.T @ q))[0]
         u, s, _ = np.linalg.svd(q.T @ m, full_matrices=False)
         return (q @ u[:, :k]) * s[:k]
 
-    after = np.sqrt(pairs / np.maximum(total, 1)[:, None])
-    before = np.sqrt(pairs.T / np.maximum(pairs.sum(axis=0), 1)[:, None])
-    places = directions(before, 2 * width)
-    embedding = np.hstack([directions(x - single @ x, width // 2) for x in (after, before)])
+    def roots(m: np.ndarray, of: np.ndarray) -> np.ndarray:
+        out = m / np.maximum(of, 1)[:, None]
+        return np.sqrt(out, out=out)
+
+    before = roots(pairs.T, pairs.sum(axis=0))
+    places = directions(before, begins[0])
+    before -= single @ before
+    embedding = [directions(before, begins[2])]
+    del before
+    after = roots(pairs, total)
+    after -= single @ after
+    embedding = np.hstack([directions(after, begins[1]), *embedding])
+    del after
     embedding /= np.sqrt(single @ embedding**2) + 1e-9
     # Classes are centres of what stands before their ids; the commonest ids are the first centres.
     centres = places[np.argsort(-single, kind="stable")[:classes]].copy()
@@ -65,11 +73,19 @@ def counts_of(pairs: np.ndarray, width: int = WIDTH, classes: int = CLASSES) ->
         for c in np.unique(class_of):
             weight = single * (class_of == c)
             centres[c] = weight @ places / weight.sum()
+    chance = pairs - DISCOUNT
+    np.maximum(chance, 0.0, out=chance)
+    for rows in some_rows:
+        chance[rows] += np.minimum(pairs[rows], DISCOUNT).sum(axis=1)[:, None] * single
+    chance /= np.where(total > 0, total, 1)[:, None]
+    chance[total == 0] = single
     by_class = np.zeros((size, classes))
     for c in range(classes):
         by_class[:, c] = chance[:, class_of == c].sum(axis=1)
-    within = np.log(chance / by_class[:, class_of])
-    return Counts(np.clip(embedding, -4, 4).astype(f4), class_of.astype(np.int64), np.log(np.maximum(by_class, 1e-30)).astype(f4), within.astype(f4))
+    within = np.empty((size, size), f4)
+    for rows in some_rows:
+        within[rows] = np.log(chance[rows] / by_class[rows][:, class_of])
+    return Counts(np.clip(embedding, -4, 4).astype(f4), class_of.astype(np.int64), np.log(np.maximum(by_class, 1e-30)).astype(f4), within)
 
 
 @lru_cache(maxsize=1)
@@ -114,8 +130,8 @@ class Stream:
     starts: np.ndarray
 
     def windows(self, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
-        first = self.first[at][:, None]
-        return self.ids[first - BLOCK + np.arange(2 * BLOCK)], self.follows[first + np.arange(BLOCK)]
+        block, ids = self.first[at] // BLOCK, self.ids.reshape(-1, BLOCK)
+        return np.hstack([ids.take(block - 1, axis=0), ids.take(block, axis=0)]), self.follows.reshape(-1, BLOCK).take(block, axis=0)
 
 
 def stream(texts: list[np.ndarray], end: int) -> Stream:
@@ -140,17 +156,22 @@ MAY = (np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK, 2 * BLOCK)[:, None]).as
 ONES = np.ones(max(2 * BLOCK, CLASSES), f4)
 
 
-def forward(ids: np.ndarray, follows: np.ndarray, counts: Counts, w: Weights, tables: tuple[np.ndarray, np.ndarray] | None = None, most: float | None = None) -> tuple:
-    """Natural logs of the chances of the classes that follow, and what the way back needs. tables: what `looked_up` gives, where the weights stay as they are; most: where numbers are held below it."""
-    n = len(ids)
-    keys = counts.embedding.take(ids.ravel(), axis=0).reshape(n, 2 * BLOCK, WIDTH)
-    last = ids[:, BLOCK:].ravel()
+def forward(ids: np.ndarray, follows: np.ndarray, counts: Counts, w: Weights) -> tuple:
+    """Natural logs of the chances of the classes that follow, and what the way back needs."""
+    return attended(counts.embedding.take(ids, axis=0), ids[:, BLOCK:].ravel(), follows.ravel(), counts, w)
+
+
+def attended(keys: np.ndarray, last: np.ndarray, following: np.ndarray, counts: Counts, w: Weights, tables: tuple[np.ndarray, np.ndarray] | None = None, most: float | None = None) -> tuple:
+    """`forward` from the windows' embeddings and the ids at their positions. tables: what `looked_up` gives, where the weights stay as they are; most: where numbers are held below it."""
+    n = len(keys)
     if tables is None:
-        x = np.ascontiguousarray(keys[:, BLOCK:]).reshape(-1, WIDTH)
-        asks, hidden = x @ w["look"], x @ w["own"]
-        hidden += w["bias"]
+        # What the hidden units get from each position, and a one for their bias, stand in one array, so that they take one product.
+        given = np.empty((n * BLOCK, 2 * WIDTH + 1), w["own"].dtype)
+        given[:, :WIDTH].reshape(n, BLOCK, WIDTH)[:] = keys[:, BLOCK:]
+        given[:, 2 * WIDTH] = 1
+        asks = given[:, :WIDTH] @ w["look"]
     else:
-        x, asks, hidden = None, tables[0].take(last, axis=0), tables[1].take(last, axis=0)
+        given, asks, hidden = None, tables[0].take(last, axis=0), tables[1].take(last, axis=0)
     attention = asks.reshape(n, BLOCK, WIDTH) @ keys.transpose(0, 2, 1)
     if most is not None:
         np.minimum(attention, most, out=attention)
@@ -158,19 +179,23 @@ def forward(ids: np.ndarray, follows: np.ndarray, counts: Counts, w: Weights, ta
     attention *= np.exp(w["near"])[BACK] * MAY
     attention /= (attention.reshape(-1, 2 * BLOCK) @ ONES[: 2 * BLOCK]).reshape(n, BLOCK, 1)
     gathered = (attention @ keys).reshape(-1, WIDTH)
-    hidden += gathered @ w["seen"]
+    if tables is None:
+        given[:, WIDTH : 2 * WIDTH] = gathered
+        hidden = given @ np.vstack([w["own"], w["seen"], w["bias"]])
+    else:
+        hidden += gathered @ w["seen"]
     np.maximum(hidden, 0, out=hidden)
     scores = hidden @ w["out"]
     scores += counts.class_after.take(last, axis=0)
     if most is not None:
         np.minimum(scores, most, out=scores)
-    picked = np.arange(len(last)) * CLASSES + counts.class_of.take(follows.ravel())
+    picked = np.arange(0, len(last) * CLASSES, CLASSES) + counts.class_of.take(following)
     found = scores.ravel().take(picked)
     np.exp(scores, out=scores)
     total = scores @ ONES[:CLASSES]
     if most is None and not np.isfinite(total).all():
-        return forward(ids, follows, counts, w, tables, 60.0)
-    return found - np.log(total), scores, total, picked, hidden, gathered, attention, keys, x, last
+        return attended(keys, last, following, counts, w, tables, 60.0)
+    return found - np.log(total), scores, total, picked, hidden, given, attention, keys
 
 
 def looked_up(counts: Counts, w: Weights) -> tuple[np.ndarray, np.ndarray]:
@@ -178,24 +203,30 @@ def looked_up(counts: Counts, w: Weights) -> tuple[np.ndarray, np.ndarray]:
     return counts.embedding @ w["look"], counts.embedding @ w["own"] + w["bias"]
 
 
-def log_chances(texts: list[np.ndarray], end: int, counts: Counts, w: Weights, step_blocks: int = STEP_BLOCKS) -> np.ndarray:
+def log_chances(texts: list[np.ndarray], end: int, counts: Counts, w: Weights, step_blocks: int = SCORED_BLOCKS) -> np.ndarray:
     """Natural logs of the chances of whole texts, their ends included."""
     if not texts:
         return np.zeros(0)
     one_thread()
-    read, found, tables = stream(texts, end), [], looked_up(counts, w)
-    for k in range(0, len(read.first), step_blocks):
-        ids, follows = read.windows(slice(k, k + step_blocks))
-        by_class, *_, last = forward(ids, follows, counts, w, tables)
-        following = follows.ravel()
+    read, tables = stream(texts, end), looked_up(counts, w)
+    blocks = len(read.ids) // BLOCK
+    # Blocks are taken as they stand, those between texts among them, where nothing follows.
+    found = np.zeros(blocks)
+    for k in range(1, blocks, step_blocks):
+        stop = min(k + step_blocks, blocks)
+        ids, following = read.ids[(k - 1) * BLOCK : stop * BLOCK], read.follows[k * BLOCK : stop * BLOCK]
+        embedded = counts.embedding.take(ids, axis=0)
+        keys = np.lib.stride_tricks.as_strided(embedded, (stop - k, 2 * BLOCK, WIDTH), (embedded.strides[0] * BLOCK, *embedded.strides), writeable=False)
+        last = ids[BLOCK:]
+        by_class = attended(keys, last, following, counts, w, tables)[0]
         within = counts.id_after.ravel().take(last.astype(np.int64) * len(counts.id_after) + following, mode="wrap")
-        found.append(np.where(following < 0, 0.0, by_class.astype(float) + within).reshape(-1, BLOCK).sum(axis=1))
-    return np.add.reduceat(np.concatenate(found), read.starts[:-1])
+        found[k:stop] = np.where(following < 0, 0.0, by_class.astype(float) + within).reshape(-1, BLOCK).sum(axis=1)
+    return np.add.reduceat(found, read.first[read.starts[:-1]] // BLOCK)
 
 
 def gradient(ids: np.ndarray, follows: np.ndarray, counts: Counts, w: Weights) -> Weights:
     """Of the mean loss of the blocks' positions."""
-    _, scores, total, picked, hidden, gathered, attention, keys, x, _ = forward(ids, follows, counts, w)
+    _, scores, total, picked, hidden, given, attention, keys = forward(ids, follows, counts, w)
     n = len(ids)
     real = follows.ravel() >= 0
     each = (real / max(1, int(real.sum()))).astype(f4)
@@ -203,12 +234,13 @@ def gradient(ids: np.ndarray, follows: np.ndarray, counts: Counts, w: Weights) -
     scores.ravel()[picked] -= each
     to_hidden = scores @ w["out"].T
     to_hidden *= hidden > 0
-    out = {"out": hidden.T @ scores, "own": x.T @ to_hidden, "seen": gathered.T @ to_hidden, "bias": ONES[:1].repeat(len(x)) @ to_hidden}
+    own, seen, bias = np.split(given.T @ to_hidden, [WIDTH, 2 * WIDTH])
+    out = {"out": hidden.T @ scores, "own": own, "seen": seen, "bias": bias[0]}
     to_attention = (to_hidden @ w["seen"].T).reshape(n, BLOCK, WIDTH) @ keys.transpose(0, 2, 1)
     to_attention *= attention
     to_attention -= attention * (to_attention.reshape(-1, 2 * BLOCK) @ ONES[: 2 * BLOCK]).reshape(n, BLOCK, 1)
     out["near"] = np.bincount(BACK.ravel(), weights=(to_attention.sum(axis=0) * MAY).ravel(), minlength=2 * BLOCK).astype(f4)
-    out["look"] = x.T @ (to_attention @ keys).reshape(-1, WIDTH)
+    out["look"] = given[:, :WIDTH].T @ (to_attention @ keys).reshape(-1, WIDTH)
     return out
 
 

@@ -13,29 +13,25 @@ from __future__ import annotations
 
 import base64
 import math
-import re
-from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
-from operator import mul
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import BATCH_BYTES, id_and_text, map_slices
+from .common import BATCH_BYTES, id_and_text, map_slices, slices
 from .repeats import written
 
 #: Ids of the model, words that go to all tasks, distinct words that a task counts before it passes them on, and ids of a shard.
 MODEL_IDS, HEAD_WORDS, COUNTED_WORDS, SHARD_IDS = 2048, 250_000, 800_000, 4_000_000
+#: Ids that are turned into the model's at a time.
+TURNED_IDS = 1 << 18
 #: Times that the first shard is learned from before the others.
 FIRST_EPOCHS = 3
-#: Bytes of a text that are split into words at a time.
-PIECE_BYTES = 1 << 20
-SPACE = re.compile(rb"[\t-\r ]")
 
 
 def held_out(id_col: Column) -> Column:
@@ -43,15 +39,13 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 7 == 2, F.lit(True))
 
 
-def words(text: str) -> Iterator[list[bytes]]:
-    """The words of a text, lower-cased where they are ASCII, in pieces of bounded size."""
-    raw, at = text.encode().lower(), 0
-    while at < len(raw):
-        stop = SPACE.search(raw, at + PIECE_BYTES) if len(raw) - at > PIECE_BYTES else None
-        end = stop.start() if stop else len(raw)
-        if found := raw[at:end].split():
-            yield found
-        at = end
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, lower-cased where they are ASCII, and where each text's words start and end among them."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    each, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    real = pc.not_equal(pc.binary_length(each), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return each.filter(real).cast(pa.binary()), before[ends - ends[0]]
 
 
 @lru_cache(maxsize=1)
@@ -66,17 +60,23 @@ def tokenizer(path: str):
 def count_words(docs: DataFrame) -> DataFrame:
     """word (binary) and n over all documents. docs: text."""
 
+    def summed(found: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return out.rename_columns({"n_sum": "n"}).select(["word", "n"])
+
     def work(batches):
-        found: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for piece in words(text):
-                    found.update(piece)
-                    if len(found) > COUNTED_WORDS:
-                        yield flush()
-                        found.clear()
-        yield flush()
+        found, held = [], 0
+        for part in slices(batches):
+            each = words(part.column("text"))[0].value_counts()
+            found.append(pa.table({"word": each.field("values"), "n": each.field("counts")}))
+            held += len(each)
+            if held > COUNTED_WORDS:
+                found = [summed(found)]
+                if (held := found[0].num_rows) > COUNTED_WORDS // 2:
+                    yield from found[0].to_batches()
+                    found, held = [], 0
+        if found:
+            yield from summed(found).to_batches()
 
     return docs.select("text").mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -93,39 +93,73 @@ def head_of(counted: DataFrame, most: int) -> tuple[int, dict[bytes, int]]:
         least = k
     if least == math.inf:
         return 1 << 62, {}
-    head = {bytes(r["word"]): r["n"] for r in counted.where(step >= int(least)).collect()}
+    found = counted.where(step >= int(least)).toArrow()
+    head = dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True))
     return min(head.values()), head
 
 
+class Head:
+    """The commonest words with the logs of their counts, and the tokenizer's ids of each, which a task finds when it first needs them."""
+
+    def __init__(self, path: str, counts: dict[bytes, int]):
+        self.path, self.words = path, list(counts)
+        self.logs = np.log10(np.array([*counts.values(), 0], float) + 1)  # the last is that of all other words
+        self.numbers: dict[bytes, int] | None = None
+
+    def begin(self) -> None:
+        ranks = tokenizer(self.path)[1]
+        self.begins = np.zeros(len(ranks), bool)
+        self.begins[[n for label, n in ranks.items() if label[:1] == b" "]] = True
+        self.ids, self.first, self.sizes = self.encoded(self.words)
+        self.numbers = {w: k for k, w in enumerate(self.words)}
+
+    def encoded(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all these words, each after a space, where those of each start, and how many they are. Only a word's first id begins with the space."""
+        ids = np.array(tokenizer(self.path)[0].encode_ordinary((b" " + b" ".join(some)).decode()) if some else [], "<u2")
+        first = np.flatnonzero(self.begins[ids])
+        return ids, first, np.diff(first, append=len(ids))
+
+    def look_up(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each word, which is -1 for those that aren't of the head; ids; and where those of each word start and how many they are."""
+        if self.numbers is None:
+            self.begin()
+        get = self.numbers.get
+        numbers = np.array([get(w, -1) for w in distinct], np.int64)
+        other = np.flatnonzero(numbers < 0)
+        ids, first, sizes = self.encoded([distinct[k] for k in other.tolist()])
+        starts, lengths = np.append(self.first, 0)[numbers], np.append(self.sizes, 0)[numbers]
+        starts[other], lengths[other] = first + len(self.ids), sizes
+        return numbers, np.concatenate([self.ids, ids]), starts, lengths
+
+
 READ = "doc_id long, held_out boolean, n_tokens long, n_known long, head double, tail array<struct<word:binary,n:int>>, ids binary"
 
 
 def read_texts(docs: DataFrame, path: str, head: dict[bytes, int]) -> DataFrame:
     """Each row with its number of tokens, those that the head knows and their part of the base score, its other words, and the ids of its text."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: math.log10(n + 1) for w, n in head.items()})
+    shared = docs.sparkSession.sparkContext.broadcast(Head(path, head))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        tool, known = tokenizer(path)[0], shared.value
-        total, found, logs, ids = [], [], [], []
-        tail_words, tail_counts, ends = [], [], [0]
-        for text in part.column("text").to_pylist():
-            counts, codes, size = Counter(), [], 1
-            for piece in words(text):
-                counts.update(piece)
-                size += len(piece)
-                codes.append(np.array(tool.encode_ordinary((b" " + b" ".join(piece)).decode()), "<u2").tobytes())
-            of_head = known.keys() & counts.keys()
-            tail = counts.keys() - of_head
-            times = [*map(counts.__getitem__, of_head)]
-            total.append(size)
-            found.append(sum(times))
-            logs.append(math.fsum(map(mul, times, map(known.__getitem__, of_head))))  # the same in whatever order
-            tail_words += tail
-            tail_counts += map(counts.__getitem__, tail)
-            ends.append(len(tail_words))
-            ids.append(b"".join(codes))
-        rest = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int32())], ["word", "n"])
-        columns = [part.column("doc_id"), part.column("held_out"), *(pa.array(x, pa.int64()) for x in (total, found)), pa.array(logs, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest), pa.array(ids, pa.binary())]
+        each, ends = words(part.column("text"))
+        coded = each.dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        numbers, ids, first, sizes = shared.value.look_up(coded.dictionary.to_pylist())
+        # A slice's ids are put together at once, and cut where its texts end.
+        lengths = sizes[at]
+        stops = np.concatenate([[0], np.cumsum(lengths)])
+        ids = ids[np.repeat(first[at] - stops[:-1], lengths) + np.arange(stops[-1])]
+        cuts = pa.py_buffer((2 * stops[ends]).astype(np.int32))
+        codes = pa.Array.from_buffers(pa.binary(), len(part), [None, cuts, pa.py_buffer(ids.tobytes())])
+        known = numbers[at] >= 0
+        logs, some = np.zeros(len(part)), np.diff(ends) > 0
+        if len(at):
+            logs[some] = np.add.reduceat(shared.value.logs[numbers[at]], ends[:-1][some])
+        text = np.repeat(np.arange(len(part)), np.diff(ends))[~known]
+        rare, times = np.unique(text << 32 | at[~known], return_counts=True)
+        tail = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(rare & 0xFFFFFFFF)), pa.array(times, pa.int32())], ["word", "n"])
+        parts = pa.array(np.searchsorted(rare >> 32, np.arange(len(part) + 1)), pa.int32())
+        of_head = np.diff(np.concatenate([[0], np.cumsum(known)])[ends])
+        columns = [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(ends) + 1), pa.array(of_head), pa.array(logs), pa.ListArray.from_arrays(parts, tail), codes]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "head", "tail", "ids"])
 
     return map_slices(docs, work, READ)
@@ -153,6 +187,18 @@ class Vocabulary:
             return self.flat[self.first[ids]]
         return self.flat[np.repeat(self.first[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
+    def of_all(self, raws: list[bytes]) -> list[np.ndarray]:
+        """`of` each, many at a time."""
+        out, at, sizes = [], 0, np.cumsum([0, *map(len, raws)]) // 2
+        while at < len(raws):
+            stop = max(at + 1, int(np.searchsorted(sizes, sizes[at] + TURNED_IDS, side="right")) - 1)
+            raw = b"".join(raws[at:stop])
+            turned = self.of(raw)
+            ends = np.concatenate([[0], np.cumsum(self.sizes[np.frombuffer(raw, "<u2")])])[sizes[at : stop + 1] - sizes[at]].tolist()
+            out += [turned[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            at = stop
+        return out
+
 
 def count_ids(rows: DataFrame, ids: int) -> np.ndarray:
     """How often each of the tokenizer's ids occurs in all rows."""
@@ -168,8 +214,8 @@ def count_ids(rows: DataFrame, ids: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
     out = np.zeros(ids, np.int64)
-    for k, n in rows.select("ids").mapInArrow(work, "id int, n long").groupBy("id").agg(F.sum("n")).collect():
-        out[k] = n
+    found = rows.select("ids").mapInArrow(work, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out[found["id"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -180,7 +226,7 @@ def count_pairs(rows: DataFrame, vocabulary) -> np.ndarray:
         v = vocabulary.value
         total = np.zeros(v.size * v.size, np.int64)
         for batch in batches:
-            texts = [v.of(raw) for raw in batch.column("ids").to_pylist()]
+            texts = v.of_all(batch.column("ids").to_pylist())
             end = np.array([v.end], np.int32)
             run = np.concatenate([end, *(x for t in texts for x in (t, end))]).astype(np.int64)
             np.add.at(total, run[:-1] * v.size + run[1:], 1)
@@ -188,10 +234,11 @@ def count_pairs(rows: DataFrame, vocabulary) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
 
     # At most a number for each pair of ids comes back, whatever the corpus's size.
-    found = rows.select("ids").mapInArrow(work, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("ids").mapInArrow(work, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     size = vocabulary.value.size
     out = np.zeros(size * size)
-    out[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    for batch in found.to_batches():
+        out[batch.column("pair").to_numpy()] = batch.column("n").to_numpy()
     return out.reshape(size, size)
 
 
@@ -202,7 +249,7 @@ def learned(rows: DataFrame, vocabulary, counts, shards: int) -> attention.Weigh
     def from_here(frame: DataFrame, w: attention.Weights) -> attention.Weights:
         def work(shard: pd.DataFrame) -> pd.DataFrame:
             v = vocabulary.value
-            texts = [v.of(raw) for raw in shard.sort_values(["doc_id", "ids"])["ids"]]
+            texts = v.of_all(shard.sort_values(["doc_id", "ids"])["ids"].tolist())
             found, seen = attention.trained(texts, v.end, counts.value, w)
             return pd.DataFrame({"seen": [seen], "weights": [attention.flat(found).astype(float)]})
 
@@ -245,7 +292,7 @@ def language_scores(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary.value
-        logs = attention.log_chances([v.of(raw) for raw in part.column("ids").to_pylist()], v.end, counts.value, weights)
+        logs = attention.log_chances(v.of_all(part.column("ids").to_pylist()), v.end, counts.value, weights)
         columns = [part.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "head")]
         return pa.RecordBatch.from_arrays([*columns, pa.array(logs / math.log(10))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "head", "score"])
 

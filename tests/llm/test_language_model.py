@@ -1,15 +1,17 @@
 """Base scores against a count of all words, the model against its own definition, a position at a time."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from prismatic.llm import attention
-from prismatic.llm.language_model import Vocabulary, language_scores, tokenizer
+from prismatic.llm.language_model import Head, Vocabulary, language_scores, tokenizer, words
 from prismatic.llm.queries import QUERIES
 
 from .plain import empty_documents, hard_documents
@@ -138,3 +140,40 @@ def test_the_query(spark, data):
     words = {i: (t or "").encode().lower().decode().split() for i, t in texts}
     ids = sum(len(tokenizer(TOKENIZER)[0].encode_ordinary(" " + " ".join(words[i]))) + 1 for i in out)
     assert -sum(found[i]["score"] for i in out) / ids / math.log10(2) < 6.6
+
+
+def test_counts_hold_few_arrays_at_a_time():
+    """The driver works these out for 2,048 ids, where an array of all pairs has 32 MB."""
+    pairs = np.random.default_rng(0).poisson(1.0, (1024, 1024)).astype(float)
+    tracemalloc.start()
+    attention.counts_of(pairs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.5 * pairs.nbytes
+
+
+def test_driver_collects_columns(spark, monkeypatch):
+    """Counts of words, ids and pairs come to the driver as columns; rows are collected only for a few numbers."""
+    collected, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda frame: collected.append(collect(frame)) or collected[-1])
+    docs = spark.createDataFrame([(k, " ".join(f"w{n}" for n in range(k, k + 4000))) for k in range(3)], "doc_id long, text string")
+    language_scores(docs, TOKENIZER)
+    assert collected and all(len(rows) <= attention.flat(attention.first_weights()).size for rows in collected)
+
+
+def test_words_are_parted_by_ascii_white_space_only():
+    texts = ["\x0b a\x0cB\x1c\x1d\x1e\x1fc\x85d e f É İ \t\r\n x", "", "   ", " a", "a ", "\x00 \x00"]
+    found, ends = words(pa.array(["cut off", *texts]).slice(1))
+    assert [found[a:b].to_pylist() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)] == [t.encode().lower().split() for t in texts]
+
+
+def test_a_word_is_encoded_once():
+    """In a slice each other word is encoded once, the head's words once in a task."""
+    head, tool = Head(TOKENIZER, {b"the": 5, "straße".encode(): 3}), tokenizer(TOKENIZER)[0]
+    asked, encoded = [], head.encoded
+    head.encoded = lambda some: asked.append(some) or encoded(some)
+    for distinct in ([b"the", "日本".encode(), b"xyzzyx"], [b"xyzzyx", b"the"], []):
+        numbers, ids, first, sizes = head.look_up(distinct)
+        assert [ids[a : a + n].tolist() for a, n in zip(first, sizes, strict=True)] == [tool.encode_ordinary(" " + w.decode()) for w in distinct]
+        assert numbers.tolist() == [0 if w == b"the" else -1 for w in distinct]
+    assert asked == [[b"the", "straße".encode()], ["日本".encode(), b"xyzzyx"], [b"xyzzyx"], []]
