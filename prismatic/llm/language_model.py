@@ -81,7 +81,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def head_of(counted: DataFrame, most: int) -> tuple[int, dict[bytes, int]]:
+def head_of(counted: DataFrame, most: int) -> tuple[int, pa.Table]:
     """The least count from which on there are no more words than `most`, and these words with their counts."""
     step = F.floor(F.log2("n") * 8)
     sizes = sorted((r["step"], r["count"]) for r in counted.groupBy(step.alias("step")).count().collect())
@@ -92,41 +92,39 @@ def head_of(counted: DataFrame, most: int) -> tuple[int, dict[bytes, int]]:
             break
         least = k
     if least == math.inf:
-        return 1 << 62, {}
-    found = counted.where(step >= int(least)).toArrow()
-    head = dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True))
-    return min(head.values()), head
+        return 1 << 62, pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+    head = counted.where(step >= int(least)).toArrow()
+    return pc.min(head["n"]).as_py(), head
 
 
 class Head:
     """The commonest words with the logs of their counts, and the tokenizer's ids of each, which a task finds when it first needs them."""
 
-    def __init__(self, path: str, counts: dict[bytes, int]):
-        self.path, self.words = path, list(counts)
-        self.logs = np.log10(np.array([*counts.values(), 0], float) + 1)  # the last is that of all other words
-        self.numbers: dict[bytes, int] | None = None
+    def __init__(self, path: str, words: pa.Array, counts: np.ndarray):
+        self.path, self.words = path, words
+        self.logs = np.log10(np.append(counts, 0) + 1.0)  # the last is that of all other words
+        self.begins: np.ndarray | None = None
 
     def begin(self) -> None:
         ranks = tokenizer(self.path)[1]
         self.begins = np.zeros(len(ranks), bool)
         self.begins[[n for label, n in ranks.items() if label[:1] == b" "]] = True
         self.ids, self.first, self.sizes = self.encoded(self.words)
-        self.numbers = {w: k for k, w in enumerate(self.words)}
 
-    def encoded(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encoded(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all these words, each after a space, where those of each start, and how many they are. Only a word's first id begins with the space."""
-        ids = np.array(tokenizer(self.path)[0].encode_ordinary((b" " + b" ".join(some)).decode()) if some else [], "<u2")
+        text = b"".join(b" " + w for w in some.to_numpy(zero_copy_only=False)).decode()
+        ids = np.array(tokenizer(self.path)[0].encode_ordinary(text), "<u2")
         first = np.flatnonzero(self.begins[ids])
         return ids, first, np.diff(first, append=len(ids))
 
-    def look_up(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The number of each word, which is -1 for those that aren't of the head; ids; and where those of each word start and how many they are."""
-        if self.numbers is None:
+        if self.begins is None:
             self.begin()
-        get = self.numbers.get
-        numbers = np.array([get(w, -1) for w in distinct], np.int64)
+        numbers = pc.fill_null(pc.index_in(distinct, self.words), -1).to_numpy().astype(np.int64)
         other = np.flatnonzero(numbers < 0)
-        ids, first, sizes = self.encoded([distinct[k] for k in other.tolist()])
+        ids, first, sizes = self.encoded(distinct.take(pa.array(other)))
         starts, lengths = np.append(self.first, 0)[numbers], np.append(self.sizes, 0)[numbers]
         starts[other], lengths[other] = first + len(self.ids), sizes
         return numbers, np.concatenate([self.ids, ids]), starts, lengths
@@ -135,15 +133,15 @@ class Head:
 READ = "doc_id long, held_out boolean, n_tokens long, n_known long, head double, tail array<struct<word:binary,n:int>>, ids binary"
 
 
-def read_texts(docs: DataFrame, path: str, head: dict[bytes, int]) -> DataFrame:
+def read_texts(docs: DataFrame, path: str, head: pa.Table) -> DataFrame:
     """Each row with its number of tokens, those that the head knows and their part of the base score, its other words, and the ids of its text."""
-    shared = docs.sparkSession.sparkContext.broadcast(Head(path, head))
+    shared = docs.sparkSession.sparkContext.broadcast(Head(path, pa.concat_arrays([pa.array([], pa.binary()), *head["word"].chunks]), head["n"].to_numpy()))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         each, ends = words(part.column("text"))
         coded = each.dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
-        numbers, ids, first, sizes = shared.value.look_up(coded.dictionary.to_pylist())
+        numbers, ids, first, sizes = shared.value.look_up(coded.dictionary)
         # A slice's ids are put together at once, and cut where its texts end.
         lengths = sizes[at]
         stops = np.concatenate([[0], np.cumsum(lengths)])

@@ -169,11 +169,11 @@ def test_words_are_parted_by_ascii_white_space_only():
 
 def test_a_word_is_encoded_once():
     """In a slice each other word is encoded once, the head's words once in a task."""
-    head, tool = Head(TOKENIZER, {b"the": 5, "straße".encode(): 3}), tokenizer(TOKENIZER)[0]
+    head, tool = Head(TOKENIZER, pa.array([b"the", "straße".encode()]), np.array([5, 3])), tokenizer(TOKENIZER)[0]
     asked, encoded = [], head.encoded
-    head.encoded = lambda some: asked.append(some) or encoded(some)
+    head.encoded = lambda some: asked.append(some.to_pylist()) or encoded(some)
     for distinct in ([b"the", "日本".encode(), b"xyzzyx"], [b"xyzzyx", b"the"], []):
-        numbers, ids, first, sizes = head.look_up(distinct)
+        numbers, ids, first, sizes = head.look_up(pa.array(distinct, pa.binary()))
         assert [ids[a : a + n].tolist() for a, n in zip(first, sizes, strict=True)] == [tool.encode_ordinary(" " + w.decode()) for w in distinct]
         assert numbers.tolist() == [0 if w == b"the" else -1 for w in distinct]
     assert asked == [[b"the", "straße".encode()], ["日本".encode(), b"xyzzyx"], [b"xyzzyx"], []]
