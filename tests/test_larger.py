@@ -61,6 +61,26 @@ def test_pairs_are_placed_where_they_are_made(spark, data):
     assert planned(QUERIES["l4_group_order"](spark, data), "Window") == 0
 
 
+def test_places_take_disk_as_the_vectors_do(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(matching, "BLOCK_ROWS", 100)
+    vectors = np.abs(np.random.default_rng(5).standard_normal((2000, 16)))
+    rows = [(k, k % 8, (v / np.linalg.norm(v)).tolist()) for k, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "asset_id long, group_id long, vector array<double>").write.parquet(f"{tmp_path}/library")
+    library = spark.read.parquet(f"{tmp_path}/library")
+    queries = library.where("asset_id % 10 = 0").selectExpr("asset_id AS query_id", "vector AS query_vector")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    matching.placed_by_group(queries, library).write.parquet(f"{tmp_path}/places")
+    assert shuffled() - before < 2 * vectors.nbytes  # not a vector for each block that it meets
+    assert spark.read.parquet(f"{tmp_path}/places").count() == 200 * 2000
+    assert sum(f.stat().st_size for f in (tmp_path / "places").glob("*.parquet")) < 2 * 200 * 2000
+
+
 def test_the_best_of_a_group_in_few_rows(spark, monkeypatch, many):
     monkeypatch.setattr(matching, "BLOCK_ROWS", 64)
     found = matching.best_scored(*many, top=3)
