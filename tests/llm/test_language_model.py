@@ -115,6 +115,13 @@ def test_gradient_is_that_of_the_loss():
         assert (up - down) / (2 * step) == pytest.approx(float((g * way).sum()), rel=1e-3, abs=1e-5), name
 
 
+def test_keys_are_turned_once_a_step():
+    counts, size = some_counts()
+    ids, follows = attention.stream([np.random.default_rng(4).integers(1, size, 40)], 0).windows(slice(None))
+    *_, keys, turned = attention.forward(ids, follows, counts, attention.first_weights())
+    assert turned.flags.c_contiguous and np.array_equal(turned, keys.transpose(0, 2, 1))
+
+
 def test_vocabulary_keeps_every_text():
     tool, ranks = tokenizer(TOKENIZER)
     counts = np.zeros(len(ranks), np.int64)
